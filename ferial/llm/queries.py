@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ferial.llm.leakage import find_leaks
 from ferial.llm.lookalike import lookalike_pairs
+from ferial.llm.sentences import split_sentences
 from ferial.llm.spans import shared_chars
 from ferial.runtime import table
 
@@ -26,6 +27,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_found, p7_found)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p6_found, p7_found, p9_found)}
 
 ORACLE: dict[str, str] = {}
