@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ferial.llm.leakage import find_leaks
 from ferial.llm.lookalike import lookalike_pairs
+from ferial.llm.mixture import mixture, shares
 from ferial.llm.sentences import split_sentences
 from ferial.llm.spans import shared_chars
 from ferial.runtime import table
@@ -27,10 +28,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id")
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_found, p7_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p6_found, p7_found, p8_mixture, p8_shares, p9_found)}
 
 ORACLE: dict[str, str] = {}
