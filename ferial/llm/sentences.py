@@ -25,6 +25,7 @@ _NUMBERED = (
     "гл стр ок г т разд κεφ σελ στ αρ πίν".split()
 )
 _LATIN_PAIRS = ("e.g", "i.e", "E.g", "I.e", "p. ex", "p. ej", "p.ej", "z. B", "z.B", "d. h", "d.h", "u. a", "т. е", "т.е", "π.χ", "π. χ", "а.е")
+_BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ue001\ue002"
 _MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
 
 _OWN_STOP = r"[\p{IsDevanagari}\p{IsBengali}\p{IsEthiopic}\p{IsThai}\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
@@ -38,30 +39,38 @@ def _words(words: list[str] | tuple[str, ...]) -> str:
     return "|".join(w.replace(".", r"\.").replace(" ", r"[ \u00a0\u202f]?") for w in sorted(set(words), key=lambda w: (-len(w), w)))
 
 
+_NOT_LAST = r"(?!\s*+(?:\ue001|\z))"
+# A full stop that ends nothing. The mark comes first and looks behind second, so that only marks are examined.
+_IDLE = "|".join(
+    (
+        # decimals and figures
+        r"(?<=\p{N}.)(?=\p{N})",
+        # addresses
+        r"(?=[\p{Alnum}/])(?<=(?:https?://|www\.)\S{0,200}.)",
+        # initials, also right after a letter without case
+        rf"(?=\s*+[\p{{L}}\p{{N}}]){_NOT_LAST}(?<=(?<![\p{{Lu}}\p{{Ll}}\p{{Lt}}\p{{M}}])\p{{Lu}}.)",
+        r"(?=\s?B[.])(?<=(?<!\p{L})[zZ].)",
+        # shortened words
+        rf"{_NOT_LAST}(?<=(?<![\p{{L}}\p{{M}}])(?:{_words([*_LATIN_PAIRS, *_TITLES])}).)",
+        rf"(?=\s*+(?:\p{{N}}|[IVXLC]++(?!\p{{L}})))(?<=(?<![\p{{L}}\p{{M}}])(?:{_words(_NUMBERED)}).)",
+        # a citation: a short capitalised name before a number
+        r"(?=\s*+\p{N})(?<=(?<![\p{L}\p{M}])\p{Lu}\p{Ll}{1,3}.)",
+        # ordinals before a month
+        rf"(?=\s++(?:{_MONTHS})(?!\p{{L}}))(?<=(?<!\p{{N}})\p{{N}}{{1,2}}.)",
+        # scripts with full stops of their own, and single Arabic or Hebrew letters
+        rf"{_NOT_LAST}(?<={_OWN_STOP}\p{{M}}?.)",
+        rf"{_NOT_LAST}(?<=(?<![\p{{L}}\p{{M}}])[\p{{IsArabic}}\p{{IsHebrew}}].)",
+    )
+)
+_BLANK = r"[ \u00a0\u2000-\u200a\u202f\u3000]"
 #: (pattern, placeholder) in order; every pattern matches one character
 _MASKS = (
-    (r"\n(?=[^\S\n]*\n)", _HARD),
-    # decimals and figures
-    (r"(?<=\p{N})[.．](?=\p{N})", _DOT),
-    # addresses
-    (r"(?<=[\p{Alnum}/])[.?!](?=[a-z0-9]{2,}(?:[/.?#:@]|\b(?![\s\p{Alpha}]*[A-Z])))(?<=(?:https?://|www\.|@)[^\s]{0,200})", _DOT),
-    # initials, also right after a letter without case
-    (r"(?<=(?<![\p{Lu}\p{Ll}\p{Lt}\p{M}])\p{Lu})[.．](?!\s*+(?:\ue001|\z))(?=\s*+[\p{L}\p{N}])", _DOT),
-    (r"(?<=(?<!\p{L})[zZ])[.](?=\s?B[.\ue000])", _DOT),
-    # the first of two shortened words, then the second
-    (rf"(?<=(?<![\p{{L}}\p{{M}}])(?:{_words(_LATIN_PAIRS)}))[.](?!\s*+(?:\ue001|\z))", _DOT),
-    (rf"(?<=(?<![\p{{L}}\p{{M}}])(?:{_words(_TITLES)}))[.．](?!\s*+(?:\ue001|\z))", _DOT),
-    (rf"(?<=(?<![\p{{L}}\p{{M}}])(?:{_words(_NUMBERED)}))[.．](?=\s*+(?:\p{{N}}|[IVXLC]++(?!\p{{L}})))", _DOT),
-    # a citation: a short capitalised name before a number
-    (r"(?<=(?<![\p{L}\p{M}])\p{Lu}\p{Ll}{1,3})[.](?=\s*+\p{N})", _DOT),
-    # ordinals before a month
-    (rf"(?<=(?<!\p{{N}})\p{{N}}{{1,2}})[.](?=\s++(?:{_MONTHS})(?!\p{{L}}))", _DOT),
-    # scripts with full stops of their own, and single Arabic or Hebrew letters
-    (rf"(?<={_OWN_STOP}[\p{{M}}]?)[.](?!\s*+(?:\ue001|\z))", _DOT),
-    (r"(?<=(?<![\p{L}\p{M}])[\p{IsArabic}\p{IsHebrew}])[.](?!\s*+(?:\ue001|\z))", _DOT),
+    (r"\n(?=[^\S\n]*+\n)", _HARD),
+    # full stops before a small letter end nothing anyway
+    (rf"[.．](?!\s*+\p{{Ll}})(?:{_IDLE})", _DOT),
     # blanks that end a Thai unit: between Thai letters, but not at the repetition sign or an era
-    (rf"(?<={_THAI}|[”»!?])[ \u00a0\u2000-\u200a\u202f\u3000](?=[ \u00a0\u2000-\u200a\u202f\u3000]*+(?:(?![ก-ฮ][.]\s?[ก-ฮ][.]){_THAI}|[“«](?={_THAI})))(?<=(?:{_THAI}|[”»!?]).)", _SOFT),
-)
+    (rf"{_BLANK}(?={_BLANK}*+(?:(?![ก-ฮ]\ue000\s?[ก-ฮ]\ue000){_THAI}|[“«](?={_THAI})))(?<=(?:{_THAI}|[”»!?]).)", _SOFT),
+)
 
 _QUOTES = (
     r"“[^”\ue001]{0,5000}+”",
@@ -87,8 +96,14 @@ _STOP = rf"(?:{_ANY_STOP}|{_GREEK_ASK})(?:[^\S\n\ue001]?(?:{_ANY_STOP}))*+(?:{_C
 _FREE = r"(?<=[。｡।॥።፧፨？！][”’»）)\]」』›]{0,3})(?!\s*+[,:،、，)\]])"
 _FINAL = rf"{_STOP}(?:{_END}|{_FREE})"
 _PLAIN = rf"[^{_STOPS}{_OPENERS}\ue001\ue002]++"
+# most text, in classes that are quick to test
+_ASCII = r"[a-zA-Z ,\n]++"
+_COMMON = (
+    r"[a-zA-Z0-9 ,\n\u00a0\u00c0-\u037d\u037f-\u055f\u0561-\u0588\u05d0-\u060a\u060d-\u061a\u0620-\u06d3"
+    r"\u06d5-\u0963\u0966-\u1361\u1369-\u2017\u3040-\u9fff\uac00-\ud7a3\ue000]++"
+)
 _LOOP = (
-    rf"(?:{_PLAIN}"
+    rf"(?:{_ASCII}|{_COMMON}|{_PLAIN}"
     rf"|{_QUOTE}(?!{_QUOTE_ENDS})"
     rf"|(?!{_QUOTE})[{_OPENERS}]"
     rf"|(?!{_FINAL}){_STOP}"
@@ -120,13 +135,13 @@ def split_sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     src = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text") > 0)
     cut = src.select("id", F.posexplode(pieces(F.col("text"))).alias("pos", "piece"))
-    blank = r"[\s\p{Z}\x85\ue001\ue002]"
+    blanks = F.lit(_BLANKS)
     sized = cut.select(
         "id",
         "pos",
         F.length("piece").alias("n"),
-        (F.length("piece") - F.length(F.regexp_replace("piece", f"^{blank}++", ""))).alias("lead"),
-        F.length(F.regexp_replace("piece", f"{blank}++$", "")).alias("last"),
+        (F.length("piece") - F.length(F.ltrim("piece", blanks))).alias("lead"),
+        F.length(F.rtrim("piece", blanks)).alias("last"),
     )
     w = Window.partitionBy("id").orderBy("pos")
     placed = sized.withColumn("end", F.sum("n").over(w)).where("last > lead")
