@@ -59,8 +59,8 @@ def escape_html(c: Column) -> Column:
 
 
 def bind_midpoint(c: Column) -> Column:
-    """The asterisk of a verse kept with the word before it."""
-    return F.regexp_replace(c, r"(\S+)[ \t]*\*", "$1 *")
+    """The asterisk of a verse bound to the word before it by a no-break space."""
+    return F.regexp_replace(c, r"(\S+)[ \t]*\*", "$1\u00a0*")
 
 
 def mark_placeholder(c: Column, mark: str = "(N)") -> Column:

@@ -82,13 +82,13 @@ def unmatched(rows: DataFrame, corrections: DataFrame, keys: list[str]) -> DataF
 
 def provenance(corrections: DataFrame, sources: list[str]) -> DataFrame:
     """``id, problem`` for missing and repeated ids, unknown sources and blank reasons."""
-    n = F.count("*").over(Window.partitionBy("id"))
+    counted = corrections.withColumn("__n", F.count("*").over(Window.partitionBy("id")))
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     problems = [
-        F.when(blank("id"), "no id"), F.when(~blank("id") & (n > 1), "repeated id"),
+        F.when(blank("id"), "no id"), F.when(~blank("id") & (F.col("__n") > 1), "repeated id"),
         F.when(~F.coalesce(F.col("source"), F.lit("")).isin(*sources), "unknown source"), F.when(blank("reason"), "no reason"),
     ]
-    return corrections.select("id", F.explode(F.array_compact(F.array(*problems))).alias("problem"))
+    return counted.select("id", F.explode(F.array_compact(F.array(*problems))).alias("problem"))
 
 
 def shared_users(corrections: DataFrame, refs: DataFrame) -> DataFrame:

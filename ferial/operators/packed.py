@@ -5,6 +5,7 @@
     field    <- blank* (entry (divider entry)*)? blank* eof
     entry    <- quoted / bracketed / bare
     quoted   <- '"' ( '""' / !'"' . )* '"' &end / "'" (!("'" &end) .)* "'" &end / '“' (!'”' .)* '”' &end
+              / '‘' (!('’' &end) .)* '’' &end / '«' (!'»' .)* '»' &end / '„' (!('“' / '”') .)* ('“' / '”') &end
     bracketed<- balanced (...) or [...], then bare text up to the next divider
     bare     <- (bracketed / !divider .)*
     divider  <- '<br' blank* '/'? '>' / line break / tab / '|' / '•' / '；' / ';' not closing an entity / blank '/' blank
@@ -30,7 +31,8 @@ _ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,31}|#[0-9]{1,7}|#[xX][0-9A-Fa-f
 _END = re.compile(rf"\s*(?:{_DIV}|\Z)", re.IGNORECASE)
 _BLANK = re.compile(r"[^\S\n\r\t]*")
 _DOUBLE = re.compile(r'"((?:""|[^"])*+)"')
-_CURLY = re.compile(r"“([^”]*+)”")
+_MARKED = {"“": re.compile(r"“([^”]*+)”"), "«": re.compile(r"«([^»]*+)»"), "„": re.compile(r"„([^“”]*+)[“”]")}
+_SINGLE = {"'": "'", "‘": "’"}
 _STOP = re.compile(r"[(\[&]|" + _DIV, re.IGNORECASE)
 _BRACKET = re.compile(r"[()\[\]]")
 _PAIR = {"(": ")", "[": "]"}
@@ -42,16 +44,17 @@ def _quoted(s: str, i: int) -> tuple[int, str] | None:
         m = _DOUBLE.match(s, i)
         if m and _END.match(s, m.end()):
             return m.end(), m.group(1).replace('""', '"')
-    elif mark == "“":
-        m = _CURLY.match(s, i)
+    elif mark in _MARKED:
+        m = _MARKED[mark].match(s, i)
         if m and _END.match(s, m.end()):
             return m.end(), m.group(1)
-    elif mark == "'":
-        j = s.find("'", i + 1)
+    elif mark in _SINGLE:
+        close = _SINGLE[mark]
+        j = s.find(close, i + 1)
         while j >= 0:
             if _END.match(s, j + 1):
                 return j + 1, s[i + 1 : j]
-            j = s.find("'", j + 1)
+            j = s.find(close, j + 1)
     return None
 
 
@@ -98,7 +101,7 @@ def split_packed(text: str | None) -> list[tuple[int, str, str]]:
             i = _BLANK.match(text, i).end()
         else:
             end, bad = _bare(text, i, partners)
-            flag = "malformed_quote" if text[i : i + 1] in ('"', "“") else "malformed_bracket" if bad else ""
+            flag = "malformed_quote" if text[i : i + 1] in ('"', "“", "«", "„", "‘") else "malformed_bracket" if bad else ""
             piece, i = text[i:end], end
         piece = piece.strip()
         if piece and not (not q and piece.lower() == "or"):

@@ -12,6 +12,7 @@ def test_dividers_quotes_and_brackets():
     assert pieces("Ps 1, 2; (Tol 5:8-17);  ; Coll 307/4\nOr\nX<br />\nY|Z • W；V / U\tT") == ["Ps 1, 2", "(Tol 5:8-17)", "Coll 307/4", "X", "Y", "Z", "W", "V", "U", "T"]
     assert pieces('"Ps ""9:5; 7"""; a') == ['Ps "9:5; 7"', "a"]
     assert pieces("'St X's / Y' / Feast of the Day (Green/Red)") == ["St X's / Y", "Feast of the Day (Green/Red)"]
+    assert pieces("‘a; don’t’ | «b; c» ; „d; e“ ; ‘f’ g") == ["a; don’t", "b; c", "d; e", "‘f’ g"]
     assert pieces("“Lauds | a”；the “b” reading") == ["Lauds | a", "the “b” reading"]
     assert pieces("A &amp; B, Wardens - PF<BR />C&ndash;end;D") == ["A &amp; B, Wardens - PF", "C&ndash;end", "D"]
     assert pieces(None) == pieces("") == pieces(" \n ") == pieces("Or") == pieces('""') == []
