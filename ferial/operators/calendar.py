@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferial.runtime import small
+
 # fixed values: the periods by the bound that opens them, in order of the year. Ordinary time opens the day after Trinity.
 SEASONS = (
     ("advent_i", "Advent"), ("christmas", "Christmas"), ("epiphany", "Epiphany"), ("ash_wednesday", "Lent"), ("passiontide", "Passiontide"),
@@ -20,21 +24,23 @@ _INSTEAD = {"passiontide": "palm_sunday", "ascension": "pentecost"}
 
 def season_intervals(bounds: DataFrame, form: bool = False) -> DataFrame:
     """``season, start, end`` (end exclusive, null is open) of ``bounds (key, start)``; missing bounds are skipped."""
-    spark = bounds.sparkSession
     table = FORM_SEASONS if form else SEASONS
-    rows = [(i, k, _INSTEAD.get(k), s) for i, (k, s) in enumerate(table)]
-    names = spark.createDataFrame(rows, "rank int, key string, instead string, season string")
-    known = bounds.where("start IS NOT NULL").select(F.col("key").alias("k"), "start")
-    found = (
-        names.join(known, (F.col("k") == F.col("key")) | (F.col("k") == F.col("instead")))
-        .groupBy("rank", "key", "season")
-        .agg(F.coalesce(F.max(F.when(F.col("k") == F.col("key"), F.col("start"))), F.max("start")).alias("start"))
-    )
-    found = found.withColumn("start", F.when(F.col("key") == "trinity_sunday", F.date_add("start", 1)).otherwise(F.col("start")))
-    # a bound opened later in the year wins where two open on one day; a period that a later one precedes is empty
-    order = Window.partitionBy(F.lit(0)).orderBy("rank")  # a dozen rows
-    later = F.min("start").over(order.rowsBetween(1, Window.unboundedFollowing))
-    return found.withColumn("end", later).where("end IS NULL OR end > start").select("season", "start", "end")
+    keys = sorted({k for k, _ in table} | set(_INSTEAD.values()))
+    # one row per named bound: at most as many rows as there are keys
+    found = bounds.where(F.col("key").isin(keys) & F.col("start").isNotNull()).groupBy("key").agg(F.min("start").alias("start")).collect()
+    at = {r.key: r.start for r in found}
+    opened = []
+    for key, season in table:
+        start = at.get(key) or at.get(_INSTEAD.get(key))
+        if start:
+            opened.append((season, start + timedelta(days=1) if key == "trinity_sunday" else start))
+    # the later period of the year wins: an earlier one ends where any later one opens
+    rows = []
+    for i, (season, start) in enumerate(opened):
+        end = min((s for _, s in opened[i + 1 :]), default=None)
+        if end is None or start < end:
+            rows.append((season, start, end))
+    return small(bounds.sparkSession, rows, "season string, start date, end date")
 
 
 def as_of(df: DataFrame, at: str, intervals: DataFrame, value: str, default: Column | None = None, max_rows: int = 10_000) -> DataFrame:

@@ -12,7 +12,7 @@ from ferial.functions.dates import week_index, weekday
 from ferial.operators import audit, calendar, corrections, geometry, lookup, segments
 from ferial.operators.rejects import CALENDAR, parse_records
 from ferial.plans import office
-from ferial.runtime import ensure_checkpoint_dir, table
+from ferial.runtime import ensure_checkpoint_dir, small, table
 from ferial.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,7 +62,7 @@ _PERIOD_SQL = f"(SELECT season, CAST(s AS DATE) AS s, CAST(e AS DATE) AS e FROM
 
 
 def _periods(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_PERIODS, "season string, s string, e string").select("season", F.to_date("s").alias("start"), F.to_date("e").alias("end"))
+    return small(spark, _PERIODS, "season string, s string, e string").select("season", F.to_date("s").alias("start"), F.to_date("e").alias("end"))
 
 
 @query(f"""
@@ -99,7 +99,7 @@ def _season_case(form: bool) -> str:
 
 def _seasons(spark, d):
     days = _calendar(spark, d).select(F.col("cal_date").alias("date"), "row_id")
-    bounds = spark.createDataFrame(_BOUNDS, "key string, d string").select("key", F.to_date("d").alias("start"))
+    bounds = small(spark, _BOUNDS, "key string, d string").select("key", F.to_date("d").alias("start"))
     return office.with_seasons(days, bounds)
 
 
@@ -116,7 +116,7 @@ def season_of_day(spark, d):
       ON f.k = CASE WHEN s = 'OrdinaryTime' THEN 'ordinary-' || ['sunday','monday','tuesday','wednesday','thursday','friday','saturday'][CAST(dayofweek(cal_date) AS INT) + 1] ELSE lower(s) END || '-mp'
     GROUP BY 1""")
 def computed_key_lookup(spark, d):
-    forms = spark.createDataFrame([("advent-mp", "A"), ("lent-mp", "L"), ("ordinary-monday-mp", "M")], "form_key string, title string")
+    forms = small(spark, [("advent-mp", "A"), ("lent-mp", "L"), ("ordinary-monday-mp", "M")], "form_key string, title string")
     keyed = _seasons(spark, d).withColumn("form_key", calendar.form_key(F.col("form_season"), F.lit("mp"), weekday(F.col("date"))))
     return keyed.join(forms, "form_key", "left").groupBy("form_key").agg(F.count("*").alias("days"), F.count("title").alias("found"))
 
@@ -383,7 +383,7 @@ def _lum(c: str) -> str:
 
 @query(f"SELECT a, b, round((greatest({_lum('a')}, {_lum('b')}) + 0.05) / (least({_lum('a')}, {_lum('b')}) + 0.05), 3) AS contrast FROM ({_values(_HEX)}) t(a, b)")
 def contrast_math(spark, d):
-    return spark.createDataFrame(_HEX, "a string, b string").select("a", "b", F.round(colour.contrast(F.col("a"), F.col("b")), 3).alias("contrast"))
+    return small(spark, _HEX, "a string, b string").select("a", "b", F.round(colour.contrast(F.col("a"), F.col("b")), 3).alias("contrast"))
 
 
 @query(f"SELECT row_id, len(list_distinct(list_transform(string_split(colour, '/'), lambda x: trim(x)))) AS colours FROM (SELECT row_id, regexp_extract(name, '\\(([A-Z][a-z]+(?:/[A-Z][a-z]+)?)\\)', 1) AS colour FROM {_CAL}) WHERE colour <> ''")
@@ -401,7 +401,7 @@ _PHRASES = [("gate", "g"), ("quiet gate", "qg"), ("sheaf", "s"), ("first sheaf",
     WITH h AS (SELECT row_id, tag, row_number() OVER (PARTITION BY row_id ORDER BY length(p) DESC, p) AS n FROM {_CAL} JOIN ({_values(_PHRASES)}) t(p, tag) ON contains(lower(name), p))
     SELECT c.row_id, h.tag FROM {_CAL} c LEFT JOIN h ON h.row_id = c.row_id AND h.n = 1""")
 def phrase_longest_match(spark, d):
-    phrases = spark.createDataFrame(_PHRASES, "phrase string, tag string")
+    phrases = small(spark, _PHRASES, "phrase string, tag string")
     return lookup.longest_phrase(_calendar(spark, d), "name", phrases, "phrase", "tag").select("row_id", "tag")
 
 
@@ -414,7 +414,7 @@ _KEYS = ["red", "red widget", "bolt", "Blue", "large brown ring x", "small ring"
          r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY tier, CASE WHEN tier = 2 THEN strpos(lower(n), lower(k)) ELSE 0 END, CASE WHEN tier = 2 THEN -length(k) ELSE length(k) END, k) AS i FROM h WHERE tier IS NOT NULL)
     SELECT p_partkey, k AS known_as, tier FROM part JOIN r ON p_name = n AND i = 1""")
 def ranked_contains_join(spark, d):
-    keys = spark.createDataFrame([(x,) for x in _KEYS], "known_as string")
+    keys = small(spark, [(x,) for x in _KEYS], "known_as string")
     part = table(spark, d, "part")
     best = lookup.ranked_contains(part, "p_name", keys, "known_as")
     return part.join(best, "p_name").select("p_partkey", "known_as", "tier")
@@ -457,7 +457,7 @@ def paragraph_intervals(spark, d):
 def fallback_lookup(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("s"))
     first = table(spark, d, "mix_targets").select(F.col("source").alias("s"), F.col("target_share").alias("share"))
-    second = spark.createDataFrame([("misc", 0.01), ("office", 0.9)], "s string, share double")
+    second = small(spark, [("misc", 0.01), ("office", 0.9)], "s string, share double")
     return lookup.fallback(docs, first, second, "s", "share").select("doc_id", "share", "source")
 
 
@@ -471,7 +471,7 @@ _LABELS = [(1, "red", 0), (1, "small ring", 1), (2, "the Widget", 0), (2, "large
     SELECT p_partkey, label, pos FROM h WHERE n = 1""")
 def bidirectional_contains(spark, d):
     left = table(spark, d, "part").select("p_partkey", "p_name", (1 + F.col("p_partkey") % 3).alias("g"))
-    right = spark.createDataFrame(_LABELS, "g int, label string, pos int")
+    right = small(spark, _LABELS, "g int, label string, pos int")
     return lookup.containment_either_way(left, right, "g", "p_name", "label", "pos").select("p_partkey", "label", "pos")
 
 
@@ -576,7 +576,7 @@ _FIX = [("c1", "Brand#1", 1, "ring", "band", None), ("c2", "Brand#1", 2, "band",
 
 
 def _fixes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_FIX, "id string, p_brand string, ord int, old string, new string, count int")
+    return small(spark, _FIX, "id string, p_brand string, ord int, old string, new string, count int")
 
 
 @query("""
@@ -599,7 +599,7 @@ def correction_counts(spark, d):
 def equality_corrections(spark, d):
     nation = table(spark, d, "nation")
     c = nation.where("n_nationkey = 1").select("n_nationkey", F.col("n_name").alias("old"), F.lit("renamed").alias("new"))
-    c = c.unionByName(spark.createDataFrame([(2, "nobody", "x")], "n_nationkey int, old string, new string"))
+    c = c.unionByName(small(spark, [(2, "nobody", "x")], "n_nationkey int, old string, new string"))
     return corrections.replace_equal(nation, c, ["n_nationkey"], "n_name").select("n_nationkey", "n_name", "outcome")
 
 
@@ -642,7 +642,7 @@ def integrity_antijoins(spark, d):
     SELECT coalesce(f.rule, w.rule) AS rule, coalesce(f.id, w.id) AS id, CASE WHEN f.id IS NOT NULL AND w.id IS NOT NULL THEN 'waived' WHEN f.id IS NOT NULL THEN 'fail' ELSE 'stale' END AS outcome FROM f FULL JOIN w ON f.rule = w.rule AND f.id = w.id""")
 def waiver_reconcile(spark, d):
     f = _orphans(spark, d)
-    w = f.where("rule = 'shared-section' AND id < 'd'").unionByName(spark.createDataFrame([("line-part", "-7")], "rule string, id string"))
+    w = f.where("rule = 'shared-section' AND id < 'd'").unionByName(small(spark, [("line-part", "-7")], "rule string, id string"))
     return audit.waivers(f, w, ["rule", "id"])
 
 
@@ -652,7 +652,7 @@ def waiver_reconcile(spark, d):
         CASE WHEN expected IS NULL THEN 'new' WHEN coalesce(found, 0) = 0 THEN 'stale' WHEN found <> expected THEN 'count' ELSE 'known' END AS outcome FROM f FULL JOIN k ON f.section = k.section AND f.kind = k.kind""")
 def baseline_reconcile(spark, d):
     f = _segments(spark, d).where("trim(coalesce(text, '')) = 'N'").select("section", "kind")
-    known = f.where("kind = 'leader'").distinct().withColumn("lines", F.lit(1)).unionByName(spark.createDataFrame([("nowhere", "leader", 3)], "section string, kind string, lines int"))
+    known = f.where("kind = 'leader'").distinct().withColumn("lines", F.lit(1)).unionByName(small(spark, [("nowhere", "leader", 3)], "section string, kind string, lines int"))
     return audit.baseline(f, known, ["section", "kind"])
 
 
@@ -744,7 +744,7 @@ _EXEMPT = [("_shared", "opening-has-leader-and-response"), ("_shared", "dismissa
     SELECT form, CAST(greatest(0, 100 - sum(CASE tier WHEN 1 THEN 10 WHEN 2 THEN 3 ELSE 5 END)) AS BIGINT) AS score FROM {_RULE_SQL} r
     WHERE NOT EXISTS (SELECT 1 FROM ({_values(_EXEMPT)}) e(f, u) WHERE e.f = r.form AND e.u = r.rule) GROUP BY 1""")
 def penalty_score(spark, d):
-    return audit.penalty_scores(_rules(spark, d), spark.createDataFrame(_EXEMPT, "form string, rule string"))
+    return audit.penalty_scores(_rules(spark, d), small(spark, _EXEMPT, "form string, rule string"))
 
 
 @query(f"SELECT coalesce(min(score), 100) AS score FROM ({ORACLE['penalty_score']})")
@@ -869,14 +869,14 @@ def office_assembly(spark, d):
     # one calendar serves a date: the one with the least name
     one = last.groupBy("cal_date").agg(F.min_by(F.struct("name", "eucharist", "morning", "evening", "extra"), "calendar_id").alias("r")).select(F.col("cal_date").alias("date"), "r.*")
     days = office.parse_days(one)
-    bounds = spark.createDataFrame(_BOUNDS, "key string, d string").select("key", F.to_date("d").alias("start"))
+    bounds = small(spark, _BOUNDS, "key string, d string").select("key", F.to_date("d").alias("start"))
     key = F.regexp_replace(F.regexp_replace("form", r"_\d+$", ""), "_", "-")
     s = _segments(spark, d).where("kind NOT IN ('shared', 'alternatives') AND form <> '_shared'")
     first_form = s.groupBy(key.alias("k")).agg(F.min("form").alias("form"))
     forms = s.join(first_form, "form").select(F.col("k").alias("form"), "section_ord", "seq", "kind", "text")
     p = _psalter(spark, d).where("psalter = 'psalter_common' AND type <> 'head'").select(F.col("psalm").try_cast("int").alias("num"), F.col("seq").alias("v"), "text")
     verses = _psalter(spark, d).where("type = 'verse'").select(F.col("psalter").alias("book"), F.col("page_no").alias("ch"), F.col("seq").alias("v"), "text")
-    books = spark.createDataFrame([("Sar", "psalter_common")], "abbrev string, book string")
+    books = small(spark, [("Sar", "psalter_common")], "abbrev string, book string")
     collects = _psalter(spark, d).where("type = 'head'").groupBy(F.col("page_no").cast("string").alias("page")).agg(F.min("title").alias("text"))
     return office.assemble(days, bounds, forms, p, verses, books, collects)
 
@@ -910,7 +910,7 @@ def reject_edits(spark, d):
 def similarity_nearmiss(spark, d):
     """Names close to a phrase that they do not hold."""
     names = _calendar(spark, d).where("name IS NOT NULL").select(F.lower(F.regexp_extract("name", r"(?:of|after) (?:the )?([A-Z][a-z]+(?: [A-Z][a-z]+)?)", 1)).alias("n")).where("n <> ''").distinct()
-    phrases = F.broadcast(spark.createDataFrame(_PHRASES, "phrase string, tag string"))
+    phrases = F.broadcast(small(spark, _PHRASES, "phrase string, tag string"))
     near = names.join(phrases, ~F.contains(F.col("n"), F.col("phrase"))).withColumn("ratio", text.similarity(F.col("n"), F.col("phrase"))).where("ratio >= 0.72")
     return near.groupBy("n").agg(F.max_by("phrase", F.struct("ratio", -F.length("phrase"))).alias("phrase"), F.round(F.max("ratio"), 3).alias("ratio"))
 

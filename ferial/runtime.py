@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -44,5 +47,12 @@ def text_digest(col: Column) -> tuple[Column, Column]:
     return F.xxhash64(col), F.xxhash64(F.reverse(col))
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A literal table as a local relation: its size is known to the planner, and reading it is no job."""
+    shape = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(shape)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(shape.names, r)) for r in rows], schema=arrow), shape)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

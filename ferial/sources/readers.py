@@ -78,8 +78,8 @@ def chapter_arrays(docs: DataFrame, body: str, book: str) -> DataFrame:
 def usfx_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     """``book, ch, first_v``: the first verse of every paragraph of USFX files."""
     books = spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("x"))
-    book = books.select(F.explode(F.expr(r"regexp_extract_all(x, '(?s)<book id=\"[^\"]+\".*?</book>', 0)")).alias("b"))
-    named = book.select(F.regexp_extract("b", r'<book id="([^"]+)"', 1).alias("book"), F.posexplode(F.expr(r"regexp_extract_all(b, '<(?:c|p|v)[ >/][^>]*>?', 0)")).alias("i", "t"))
+    book = books.select(F.explode(F.regexp_extract_all("x", F.lit(r'(?s)<book id="[^"]+".*?</book>'), F.lit(0))).alias("b"))
+    named = book.select(F.regexp_extract("b", r'<book id="([^"]+)"', 1).alias("book"), F.posexplode(F.regexp_extract_all("b", F.lit(r"<(?:c|v)\s[^>]*>|<p(?:\s[^>]*)?>"), F.lit(0))).alias("i", "t"))
     kind = F.regexp_extract("t", r"^<([cpv])", 1)
     ident = F.regexp_extract("t", r'id="(\d+)"', 1).try_cast("int")
     w = Window.partitionBy("book").orderBy("i")
