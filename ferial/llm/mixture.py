@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferial.runtime import checkpoint
+from ferial.runtime import checkpoint, small
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: the split before merges that goes with the rank files
@@ -152,7 +152,7 @@ def mixture(
         histogram.setdefault(r[0], {})[r[1]] = r[2]
     budgets = plan(histogram, wanted, total)
     rows = [(s, n, b.repeats + b.extra.get(n, 0) // k, b.extra.get(n, 0) % k) for s, b in budgets.items() for n, k in histogram[s].items()]
-    choice = spark.createDataFrame(rows, "source string, tokens bigint, repeats bigint, extra bigint")
+    choice = small(spark, rows, "source string, tokens bigint, repeats bigint, extra bigint")
 
     chosen = sizes.join(choice, ["source", "tokens"])
     order = F.xxhash64(F.lit(seed), F.col("id"))

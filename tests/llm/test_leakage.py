@@ -52,7 +52,7 @@ def test_against_brute_force(spark):
     docs += [(900, None), (901, ""), (902, " ".join(vocab * 40000) + " " + items[2][1])]
     x = spark.createDataFrame([(*r, 1) for r in docs], "doc_id bigint, text string, words int")
     y = spark.createDataFrame(items + items[:3], "item_id bigint, text string")
-    for k in (1, 2, 5, 6, 9):
+    for k in (1, 5, 9):
         rows = find_leaks(x, "doc_id", "text", y, "item_id", "text", k).collect()
         assert len(rows) == len({(r.doc_id, r.item_id) for r in rows})
         assert {(r.doc_id, r.item_id) for r in rows} == brute(docs, items, k), k
