@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CLOSED = re.compile(r'\s*+"((?:""|[^"])*+)"\s*+(?=,|\Z)')
+#: what counts as blank around a field; control characters do not, they make a value invalid
+_BLANKS = " \t\r\n\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_CLOSED = re.compile(rf'[{_BLANKS}]*+"((?:""|[^"])*+)"[{_BLANKS}]*+(?=,|\Z)')
 _OPEN = re.compile(r'[^",]*+(?=,|\Z)')
 
 _START, _BARE, _QUOTED, _CLOSE, _AFTER = range(5)
@@ -36,7 +38,7 @@ def strict_fields(record: str) -> list[str] | None:
             m = _OPEN.match(record, i)
             if not m:
                 return None
-            out.append(m.group(0).strip())
+            out.append(m.group(0).strip(_BLANKS))
         i = m.end()
         if i >= n:
             return out
@@ -82,7 +84,7 @@ def quote_edits(record: str) -> list[str]:
             for s in (_START, _BARE, _CLOSE, _AFTER):
                 go(s, _START, 0, "")
             go(_QUOTED, _QUOTED, 0, "")
-        elif ch.isspace():
+        elif ch in _BLANKS:
             go(_START, _START, 0, "")
             go(_BARE, _BARE, 0, "")
             go(_QUOTED, _QUOTED, 0, "")
@@ -142,7 +144,7 @@ def valid_date(v: str) -> bool:
 
 def _valid_title(line: str) -> bool:
     title = _OBSERVANCE.fullmatch(line).group(1)
-    return bool(title.strip()) and not title.startswith("- ") and " - " not in title and not any(c in "()[]" for c in title)
+    return bool(title.strip(_BLANKS)) and not title.startswith("- ") and " - " not in title and not any(c in "()[]" for c in title)
 
 
 def valid_name(v: str) -> bool:
@@ -175,7 +177,7 @@ def judge(record: str | None, contract: RecordContract) -> tuple[list[str] | Non
     if not least <= len(fields) <= most:
         lacking = least - len(fields)
         return None, "columns", "row", f"insert {lacking} delimiters" if lacking > 0 else f"delete {len(fields) - most} delimiters"
-    fields = [f.strip() for f in fields]
+    fields = [f.strip(_BLANKS) for f in fields]
     by = dict(zip(contract.fields, fields + [""] * contract.optional))
     for name, ok in contract.checks:
         if not ok(by[name]):

@@ -18,6 +18,7 @@ def test_reasons():
     assert reason(OK + ",,") == ("columns", "row")
     assert reason('2031-01-02,A "Day",,x,y') == ("quoting", "row")
     assert reason('2031-01-02,"A" b,,x,y,z,z') == ("quoting", "row")
+    assert reason('2031-01-02,\x0bA,,x,y') == reason('2031-01-02,"A\x1c",,x,y') == ("value", "name")
     assert reason("2031-02-29,A,,x,y") == ("value", "cal_date")
     assert reason("2032-02-29,A,,x,y") == (None, None)
     for bad in ("", "- A", "A - PF - HD", "A (red)", "A [n]", "A<br>", "A (Red) - PF", "A\x07", "A�"):
