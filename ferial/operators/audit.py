@@ -13,22 +13,31 @@ from ferial.functions.text import squash
 PENALTY = {1: 10, 2: 3, 3: 5}
 
 
+def with_stats(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame:
+    """Each row with aggregates of its group, by an aggregate (combined on the map side) and a join: a hot group is never
+    gathered in one task as a window would. Null keys are a group."""
+    renamed = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    s = df.groupBy(*renamed).agg(*[c.alias(n) for n, c in stats.items()])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return df.join(s, same).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
 def peer_zscore(df: DataFrame, peer: list[str], value: str, least: float = 2.0) -> DataFrame:
     """Rows whose value lies ``least`` population deviations or more from their peers' mean, with ``z`` to one decimal.
 
     Alone, or where all are equal, nothing lies apart.
     """
-    w = Window.partitionBy(*peer)
-    s = F.stddev_pop(value).over(w)
-    z = F.when((F.count(value).over(w) > 1) & (s > 0), F.abs(F.col(value) - F.avg(value).over(w)) / s)
-    return df.withColumn("z", F.round(z, 1)).where(F.col("z") >= least)
+    out = with_stats(df, peer, __n=F.count(value), __m=F.avg(value), __s=F.stddev_pop(value))
+    z = F.when((F.col("__n") > 1) & (F.col("__s") > 0), F.abs(F.col(value) - F.col("__m")) / F.col("__s"))
+    return out.withColumn("z", F.round(z, 1)).where(F.col("z") >= least).drop("__n", "__m", "__s")
 
 
 def boolean_minority(df: DataFrame, peer: list[str], flag: str, most: int = 2) -> DataFrame:
     """Rows on the rarer side of a flag that both sides of their peers show, where at most ``most`` are on it; on a tie ``true`` is rarer."""
-    w = Window.partitionBy(*peer)
-    yes, no = F.count_if(F.col(flag)).over(w), F.count_if(~F.col(flag)).over(w)
-    out = df.withColumn("__y", yes).withColumn("__n", no).where((F.least("__y", "__n") > 0) & (F.least("__y", "__n") <= most))
+    out = with_stats(df, peer, __y=F.count_if(F.col(flag)), __n=F.count_if(~F.col(flag)))
+    out = out.where((F.least("__y", "__n") > 0) & (F.least("__y", "__n") <= most))
     return out.where(F.col(flag) != (F.col("__y") > F.col("__n"))).drop("__y", "__n")
 
 
@@ -88,7 +97,17 @@ def conservation(left: DataFrame, right: DataFrame, unit: str, text: str) -> Dat
     marked = l.join(exact, ["unit", "line"], "left").withColumn("__s", squash(F.col("line"))).join(near, ["unit", "__s"], "left")
     done = marked.where("__v OR __w").select("unit", "line", "n", F.when(F.col("__v"), "verbatim").otherwise("whitespace").alias("rule"))
     open_ = marked.where("__v IS NULL AND __w IS NULL").select("unit", "line", "n", "__s")
-    inside = open_.join(r, "unit").where(F.contains(squash(F.col("other")), F.col("__s")) & (F.col("__s") != "")).select("unit", "line").distinct().withColumn("__p", F.lit(True))
+    # a line inside another has all its inner words there as words: the longest of them finds the candidates by an equi
+    # join; lines of one or two words have none and are searched in their unit
+    words = F.split("__s", " ")
+    longest = F.array_max(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda x: F.struct(F.length(x), x.alias("w"))))
+    keyed = open_.where("__s <> ''").withColumn("__w", longest.getField("w"))
+    flat = r.select("unit", squash(F.col("other")).alias("__o")).distinct()
+    by_word = flat.select("unit", "__o", F.explode(F.array_distinct(F.split("__o", " "))).alias("__w"))
+    held = F.contains(F.col("__o"), F.col("__s"))
+    long_ = keyed.where("__w IS NOT NULL").join(by_word, ["unit", "__w"]).where(held).select("unit", "line")
+    short = keyed.where("__w IS NULL").join(flat, "unit").where(held).select("unit", "line")
+    inside = long_.unionByName(short).distinct().withColumn("__p", F.lit(True))
     rest = open_.join(inside, ["unit", "line"], "left").select("unit", "line", "n", F.when(F.col("__p"), "part").otherwise("unaccounted").alias("rule"))
     return done.unionByName(rest)
 
@@ -120,18 +139,28 @@ def moved(before: DataFrame, after: DataFrame, part: list[str], order: str, cols
 
 
 def nearest_rank(df: DataFrame, part: list[str], value: str, q: float) -> DataFrame:
-    """The value at place ⌊q·n⌋ (from 0) of the sorted values; ranks by window, no list is collected."""
-    w = Window.partitionBy(*part).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*part))
-    ranked = df.where(F.col(value).isNotNull()).select(*part, value).withColumn("__r", F.row_number().over(w) - 1).withColumn("__n", n)
-    return ranked.where(F.col("__r") == F.least(F.floor(F.col("__n") * q), F.col("__n") - 1)).select(*part, F.col(value).alias("quantile"))
+    """The value at place ⌊q·n⌋ (from 0) of the sorted values, exactly.
+
+    Approximate cut points divide every part into 64 buckets; their counts tell which one holds the place, and only
+    that bucket is ranked, so no part is sorted as a whole.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*part, F.col(value).alias("__x"))
+    cuts = known.groupBy(*part).agg(F.percentile_approx("__x", [i / 64 for i in range(1, 64)], 10_000).alias("__c"), F.count("*").alias("__n"))
+    placed = known.join(cuts, part).withColumn("__b", F.size(F.filter("__c", lambda c: c < F.col("__x"))))
+    w = Window.partitionBy(*part).orderBy("__b")  # at most 64 rows
+    counts = placed.groupBy(*part, "__b", "__n").agg(F.count("*").alias("__k")).withColumn("__before", F.sum("__k").over(w) - F.col("__k"))
+    want = F.least(F.floor(F.col("__n") * q), F.col("__n") - 1) - F.col("__before")
+    hit = counts.withColumn("__want", want).where("__want >= 0 AND __want < __k").select(*part, "__b", "__want")
+    rows = placed.drop("__c", "__n").join(hit, [*part, "__b"])
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*part, "__b").orderBy("__x")) - 1)
+    return ranked.where("__r = __want").select(*part, F.col("__x").alias("quantile"))
 
 
 def collision_keys(df: DataFrame, name: str, detail: str, date: str) -> DataFrame:
     """``key``: the name where it is unique, else with its detail, else (without one) its date."""
-    n = F.count("*").over(Window.partitionBy(name))
     detailed = F.when(F.trim(F.coalesce(F.col(detail), F.lit(""))) != "", F.concat_ws(", ", name, detail)).otherwise(F.concat(F.col(name), F.lit(" ("), F.col(date), F.lit(")")))
-    return df.withColumn("__n", n).withColumn("key", F.when(F.col("__n") == 1, F.col(name)).otherwise(detailed)).drop("__n")
+    out = with_stats(df, [name], __n=F.count("*"))
+    return out.withColumn("key", F.when(F.col("__n") == 1, F.col(name)).otherwise(detailed)).drop("__n")
 
 
 def worst(df: DataFrame, unit: str, count: str, k: int = 5) -> DataFrame:
