@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferial.runtime import checkpoint, text_digest
@@ -227,16 +227,9 @@ def shared_chars(rows: DataFrame, id_col: str, text_col: str, min_chars: int = 8
     windows = checkpoint(candidates.mapInArrow(_window_batches(min_chars), "w1 bigint, w2 bigint, t1 bigint, t2 bigint, pos int"))
     held = windows.join(_in_two_texts(windows, ["w1", "w2"]), ["w1", "w2"], "left_semi").select("t1", "t2", "pos")
     size = F.lit(min_chars)
-    gaps = held.groupBy("t1", "t2").agg(F.array_sort(F.collect_list("pos")).alias("p"))
-    covered = gaps.select(
-        "t1",
-        "t2",
-        F.aggregate(
-            F.arrays_zip(F.col("p").alias("a"), F.expr("slice(p, 2, size(p))").alias("b")),
-            F.lit(0).cast("bigint"),
-            lambda acc, x: acc + F.least(size, F.coalesce(x["b"] - x["a"], size)),
-        ).alias("shared_chars"),
-    )
+    # the window and the sum need one exchange by text; its rows spill, no list is held
+    gap = F.lead("pos").over(Window.partitionBy("t1", "t2").orderBy("pos")) - F.col("pos")
+    covered = held.withColumn("gap", F.least(size, F.coalesce(gap, size))).groupBy("t1", "t2").agg(F.sum("gap").cast("bigint").alias("shared_chars"))
     whole = texts.where("several").select("t1", "t2", F.length("text").cast("bigint").alias("shared_chars"))
     part = covered.join(whole.select("t1", "t2"), ["t1", "t2"], "left_anti")
     ids = base.groupBy("id").agg(F.max(F.struct("t1", "t2")).alias("t")).select("id", "t.t1", "t.t2")
