@@ -43,7 +43,7 @@ def _digests(fields: list[str]) -> tuple:
 
 
 def checksum_leaves(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per finest key range: count and two XOR digests of either copy."""
+    """One row per finest key range: the difference of the two copies' counts and of two XOR digests."""
 
     def in_force(df: DataFrame, fields: list[str], side: int) -> DataFrame:
         h1, h2 = _digests(fields)
@@ -59,29 +59,18 @@ def checksum_leaves(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
         )
 
     fields = [c for c in left.columns if c not in {*keys, "__version", "__leaf"}]
-    both = in_force(left, fields, 0).unionByName(in_force(right, fields, 1))
-    aggs = []
-    for side, name in ((0, "l"), (1, "r")):
-        here = F.col("side") == side
-        aggs += [
-            F.count(F.when(here, 1)).alias(f"{name}_n"),
-            F.coalesce(F.bit_xor(F.when(here, F.col("d1"))), F.lit(0)).cast("bigint").alias(f"{name}_x1"),
-            F.coalesce(F.bit_xor(F.when(here, F.col("d2"))), F.lit(0)).cast("bigint").alias(f"{name}_x2"),
-        ]
-    return both.groupBy("__leaf").agg(*aggs)
+    both = in_force(left, fields, 1).unionByName(in_force(right, fields, -1))
+    # equal rows of the two copies cancel in the XOR, so a range is equal where nothing is left of it
+    return both.groupBy("__leaf").agg(F.sum("side").alias("n"), F.bit_xor("d1").alias("x1"), F.bit_xor("d2").alias("x2"))
 
 
 def differing_leaves(leaves: DataFrame, depth: int, step: int) -> DataFrame:
     """Walks the checksum tree from the root; keeps only children of ranges that differ."""
-    differ = (F.col("l_n") != F.col("r_n")) | (F.col("l_x1") != F.col("r_x1")) | (F.col("l_x2") != F.col("r_x2"))
-    levels = list(range(depth % step or step, depth, step)) if depth > step else []
+    differ = (F.col("n") != 0) | (F.col("x1") != 0) | (F.col("x2") != 0)
     found = None
-    for level in levels:
+    for level in range(depth % step or step, depth, step):
         node = F.shiftright("__leaf", depth - level).alias("node")
-        nodes = leaves.groupBy(node).agg(
-            *[F.sum(c).alias(c) for c in ("l_n", "r_n")],
-            *[F.bit_xor(c).alias(c) for c in ("l_x1", "l_x2", "r_x1", "r_x2")],
-        )
+        nodes = leaves.groupBy(node).agg(F.sum("n").alias("n"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
         if found is not None:
             nodes = nodes.withColumn("up", F.shiftright("node", step)).join(found, "up", "left_semi")
         found = nodes.where(differ).select(F.col("node").alias("up"))
@@ -99,7 +88,7 @@ def diff_copies(
     version: str | None = None,
     left_only: str = "only_left",
     right_only: str = "only_right",
-    leaf_rows: int = 64,
+    leaf_rows: int = 4,
     step: int = 4,
 ) -> DataFrame:
     """Rows ``keys + (diff)``: a key in force on one side only, or one row per differing field.

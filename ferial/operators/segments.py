@@ -165,7 +165,8 @@ def roman(n: Column) -> Column:
 def first_copies(blocks: DataFrame, key: str, order: list[str], content: Column) -> tuple[DataFrame, DataFrame]:
     """Shared blocks hoisted by key: the first copy of each, and the later copies whose squashed content differs."""
     signed = blocks.withColumn("__sig", F.sha2(F.regexp_replace(content, r"(?U)\s+", " "), 256))
-    w = Window.partitionBy(key).orderBy(*order)
-    marked = signed.withColumn("__r", F.row_number().over(w)).withColumn("__f", F.first("__sig").over(w))
-    return marked.where("__r = 1").drop("__r", "__f", "__sig"), marked.where("__r > 1 AND __sig <> __f").drop("__r", "__f", "__sig")
-
+    place = F.struct(*order)
+    first = signed.groupBy(F.col(key).alias("__k")).agg(F.min_by("__sig", place).alias("__f"), F.min(place).alias("__p"))
+    marked = signed.join(first, F.col(key).eqNullSafe(F.col("__k"))).withColumn("__first", place.eqNullSafe(F.col("__p")))
+    spare = ["__k", "__f", "__p", "__sig", "__first"]
+    return marked.where("__first").drop(*spare), marked.where("NOT __first AND NOT (__sig <=> __f)").drop(*spare)
