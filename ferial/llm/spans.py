@@ -29,6 +29,7 @@ _ROUNDS = 3
 _LONGEST = 2**_ROUNDS
 _CONTEXT = 11  # 5 for runs and pairs of characters, then 2 and 4
 _BLOCK_CHARS = 1_000_000
+_LEN_BITS = 20  # a place is a position and a length in one long
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -155,14 +156,9 @@ def _anchor_batches(min_chars: int):
                 chars, offsets = _chars(texts[i:j])
                 name, start, stop = anchors(chars, offsets, min_chars)
                 doc = np.searchsorted(offsets, start, side="right") - 1
+                place = (start - offsets[doc]) << _LEN_BITS | (stop - start)
                 rows = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(name.view(np.int64)), b.column(0).take(rows), b.column(1).take(rows),
-                        pa.array((start - offsets[doc]).astype(np.int32)), pa.array((stop - start).astype(np.int32)),
-                    ],
-                    names=["name", "t1", "t2", "pos", "len"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array(place)], names=["name", "t1", "t2", "place"])
 
     return run
 
@@ -177,8 +173,9 @@ def _window_batches(min_chars: int):
                 part = marks.slice(i, j - i)
                 flat = part.flatten()
                 doc = np.repeat(np.arange(j - i), np.asarray(part.value_lengths()))
-                pos = offsets[doc] + np.asarray(flat.field("pos"))
-                end = pos + np.asarray(flat.field("len"))
+                flat = np.asarray(flat)
+                pos = offsets[doc] + (flat >> _LEN_BITS)
+                end = pos + (flat & ((1 << _LEN_BITS) - 1))
                 lo = np.maximum(end - min_chars, offsets[doc])
                 hi = np.minimum(pos, offsets[doc + 1] - min_chars) + 1
                 ok = hi > lo
@@ -201,9 +198,11 @@ def _window_batches(min_chars: int):
 
 
 def _in_two_texts(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys that occur in more than one text; partial aggregates before the shuffle, whatever a key's size."""
-    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("t1", "t2") for f in (F.min, F.max)]
-    return df.groupBy(*keys).agg(*ends).where("min_t1 <> max_t1 OR min_t2 <> max_t2").select(*keys)
+    """The keys that occur in more than one text; partial aggregates before the shuffle, whatever a key's size.
+
+    The first 64 bits of a text's digest tell two texts with the same key apart.
+    """
+    return df.groupBy(*keys).agg(F.min("t1").alias("a"), F.max("t1").alias("b")).where("a <> b").select(*keys)
 
 
 def shared_chars(rows: DataFrame, id_col: str, text_col: str, min_chars: int = 80) -> DataFrame:
@@ -219,9 +218,9 @@ def shared_chars(rows: DataFrame, id_col: str, text_col: str, min_chars: int = 8
     base = base.select("id", "text", t1.alias("t1"), t2.alias("t2"))
     texts = base.groupBy("t1", "t2").agg(F.first("text").alias("text"), (F.min("id") != F.max("id")).alias("several"))
 
-    found = texts.select("t1", "t2", "text").mapInArrow(_anchor_batches(min_chars), "name bigint, t1 bigint, t2 bigint, pos int, len int")
+    found = texts.select("t1", "t2", "text").mapInArrow(_anchor_batches(min_chars), "name bigint, t1 bigint, t2 bigint, place bigint")
     shared = found.join(_in_two_texts(found, ["name"]), "name", "left_semi")
-    marks = shared.groupBy("t1", "t2").agg(F.collect_list(F.struct("pos", "len")).alias("marks"))
+    marks = shared.groupBy("t1", "t2").agg(F.collect_list("place").alias("marks"))
     # texts held by several ids are shared whole; their windows are still needed by others
     candidates = texts.join(marks, ["t1", "t2"]).select("t1", "t2", "text", "marks")
     windows = checkpoint(candidates.mapInArrow(_window_batches(min_chars), "w1 bigint, w2 bigint, t1 bigint, t2 bigint, pos int"))
