@@ -78,11 +78,11 @@ def eve_target(line: Column) -> Column:
 
 
 def office_branches(raw: Column) -> Column:
-    """The primary branch and the alternate after a line that is only ``Or``; further branches are not read."""
-    return F.slice(F.transform(F.split(clean(raw), r"\nOr\s*\n", -1), lambda x: F.trim(x)), 1, 2)
+    """The primary branch and the alternates, each after a line that is only ``Or``."""
+    return F.transform(F.split(clean(raw), r"(?:^|\n)Or[^\S\n]*(?=\n|$)", -1), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
 
 
-def office_fields(branch: Column) -> Column:
+def office_fields(branch: Column, divider: str = r"[;\n]") -> Column:
     """``struct(lessons_pick, label, rubric, psalms, year_note, collect, lessons)`` of one branch.
 
     Only the first ``Ps`` field holds psalms; a later one is a lesson. ``Coll above`` and the like are no lessons.
@@ -92,7 +92,7 @@ def office_fields(branch: Column) -> Column:
     prefix = F.when(~text.startswith("Ps "), _lit_or_null(F.regexp_extract(text, r"^([^:;\n0-9]+):\s", 1)))
     named = ~F.exists(F.split(prefix, r"\s+"), lambda w: w.rlike(r"^[a-zà-ÿ]") & ~F.lower(w).isin("of", "the", "and", "or", "de", "du", "in"))
     body = F.when(prefix.isNull(), text).otherwise(F.trim(F.substr(text, F.length(prefix) + 2)))
-    fields = F.filter(F.transform(F.split(body, r"[;\n]"), lambda x: F.trim(x)), lambda x: x != "")
+    fields = F.filter(F.transform(F.split(body, divider), lambda x: F.trim(x)), lambda x: x != "")
     is_ps = lambda x: F.regexp_replace(x, r"^\(Year \d+\)\s*", "").startswith("Ps ")
     first = F.try_element_at(F.filter(fields, is_ps), F.lit(1))
     collect = F.try_element_at(F.filter(fields, lambda x: x.rlike(r"^Coll\s")), F.lit(-1))

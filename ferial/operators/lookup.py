@@ -76,13 +76,15 @@ def containment_either_way(left: DataFrame, right: DataFrame, on: str, a: str, b
 def verses_in_ranges(ranges: DataFrame, verses: DataFrame) -> DataFrame:
     """Verses of ``(book, ch, v, …)`` in ranges ``(book, start_ch, start_v, end_ch, end_v, …)``.
 
-    The book is an equi join and the place a residual comparison of (chapter, verse) pairs, so first, middle and
-    last chapters need no cases; reversed ranges hold nothing.
+    Ranges meet the few chapters of their book first, so that verses join by (book, chapter); the place is a residual
+    comparison of (chapter, verse) pairs, so first, middle and last chapters need no cases; reversed ranges hold nothing.
     """
     place = F.struct(F.col("ch"), F.col("v"))
     low = F.struct(F.col("start_ch").alias("ch"), F.col("start_v").alias("v"))
     high = F.struct(F.col("end_ch").alias("ch"), F.col("end_v").alias("v"))
-    return ranges.join(verses, "book").where((place >= low) & (place <= high))
+    chapters = verses.select("book", "ch").distinct()
+    near = ranges.join(chapters, "book").where(F.col("ch").between(F.col("start_ch"), F.col("end_ch")))
+    return near.join(verses, ["book", "ch"]).where((place >= low) & (place <= high))
 
 
 def fallback(wanted: DataFrame, first: DataFrame, second: DataFrame, on: str, value: str) -> DataFrame:

@@ -21,9 +21,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _DIV = r"(?:<br\s*/?>|\r\n|[\n\r\t|•；;]|(?<=\s)/(?=\s))"
 _DIVIDER = re.compile(_DIV, re.IGNORECASE)
@@ -87,8 +89,11 @@ def _bare(s: str, i: int, partners: dict[int, int]) -> tuple[int, bool]:
     return len(s), bad
 
 
-def split_packed(text: str | None) -> list[tuple[int, str, str]]:
-    """``(pos, piece, flag)`` for every value of a packed field; flag is empty, or names what was malformed."""
+def split_packed(text: str | None, keep_or: bool = False) -> list[tuple[int, str, str]]:
+    """``(pos, piece, flag)`` for every value of a packed field; flag is empty, or names what was malformed.
+
+    ``keep_or`` leaves a bare ``Or`` in the list, so that branches can be told apart.
+    """
     if not text:
         return []
     out: list[tuple[int, str, str]] = []
@@ -104,7 +109,7 @@ def split_packed(text: str | None) -> list[tuple[int, str, str]]:
             flag = "malformed_quote" if text[i : i + 1] in ('"', "“", "«", "„", "‘") else "malformed_bracket" if bad else ""
             piece, i = text[i:end], end
         piece = piece.strip()
-        if piece and not (not q and piece.lower() == "or"):
+        if piece and (keep_or or q or piece.lower() != "or"):
             out.append((len(out) + 1, piece, flag))
         m = _DIVIDER.match(text, i)
         if not m:
@@ -115,6 +120,19 @@ def split_packed(text: str | None) -> list[tuple[int, str, str]]:
     return out
 
 
+@F.pandas_udf(StringType())
+def unpacked(c: pd.Series) -> pd.Series:
+    """A packed field with each value on a line of its own, without the marks around it; a bare ``Or`` is a line ``Or``."""
+
+    def lay(text: str | None) -> str | None:
+        if text is None:
+            return None
+        pieces = (" ".join(p.split()) for _, p, _ in split_packed(text, keep_or=True))
+        return "\n".join("Or" if p.lower() == "or" else p for p in pieces)
+
+    return c.map(lay)
+
+
 _PIECES = pa.list_(pa.struct([("pos", pa.int32()), ("piece", pa.string()), ("flag", pa.string())]))
 
 

@@ -32,6 +32,31 @@ def dereference(edges: DataFrame, roots: DataFrame, max_depth: int = 32) -> Data
     return seen.join(known, "key", "left").select("root", "key", "depth", F.coalesce("__known", F.lit(False)).alias("found"))
 
 
+def expand_shared(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``rows (form, section_ord, section, seq, kind, text, group_label, shared_key)`` with every reference replaced by its block.
+
+    ``blocks (key, seq, kind, text, group_label, shared_key)`` may hold references too: they are followed level by
+    level until none is left. A reference to no block, or back into a block it stands in, stays as a row of kind
+    ``unresolved`` with its key as text. ``seq`` is counted anew, from 0, in each ``section_ord`` of a form.
+    """
+    held = ["kind", "text", "group_label", "shared_key"]
+    inner = blocks.select(F.col("key").alias("__k"), F.col("seq").alias("__s"), *[F.col(c).alias(f"__{c}") for c in held])
+    out = rows.select("form", "section_ord", "section", F.array("seq").alias("place"), F.expr("cast(array() as array<string>)").alias("trail"), *held)
+    shared = F.col("kind").eqNullSafe("shared")
+    done, pending = out.where(~shared), checkpoint(out.where(shared))
+    while not pending.isEmpty():
+        looped = F.array_contains("trail", F.coalesce("shared_key", F.lit("")))
+        step = pending.join(inner, (F.col("shared_key") == F.col("__k")) & ~looped, "left")
+        lost = step.where("__k IS NULL").select("form", "section_ord", "section", "place", "trail", F.lit("unresolved").alias("kind"), F.col("shared_key").alias("text"), "group_label", "shared_key")
+        found = step.where("__k IS NOT NULL").select(
+            "form", "section_ord", "section", F.concat("place", F.array("__s")).alias("place"), F.concat("trail", F.array("shared_key")).alias("trail"), *[F.col(f"__{c}").alias(c) for c in held]
+        )
+        both = checkpoint(found.unionByName(lost))
+        done, pending = done.unionByName(both.where(~shared)), both.where(shared)
+    w = Window.partitionBy("form", "section_ord").orderBy("section", "place", "kind", "text")
+    return done.withColumn("seq", F.row_number().over(w) - 1).select("form", "section_ord", "section", "seq", "kind", "text", "group_label")
+
+
 def runs(df: DataFrame, part: list[str], order: list[str], same: list[str]) -> DataFrame:
     """Each row with ``run``: the number of its stretch of equal ``same`` values within the part, from 1."""
     w = Window.partitionBy(*part).orderBy(*order)

@@ -863,22 +863,23 @@ def appointed_psalms(spark, d):
 
 @query()
 def office_assembly(spark, d):
-    """The composite: every calendar row's offices assembled from forms, psalter and collects."""
+    """The composite: the offices of every calendar's every date, from forms with their shared blocks, psalter and collects."""
     cal = _calendar(spark, d)
     last = readers.keep_last(cal.select("calendar_id", "cal_date", "src_file", "row_id", "name", "eucharist", "morning", "evening", "extra"), ["calendar_id", "cal_date"], [F.col("src_file"), F.col("row_id")])
-    # one calendar serves a date: the one with the least name
-    one = last.groupBy("cal_date").agg(F.min_by(F.struct("name", "eucharist", "morning", "evening", "extra"), "calendar_id").alias("r")).select(F.col("cal_date").alias("date"), "r.*")
-    days = office.parse_days(one)
+    days = office.parse_days(last.withColumnRenamed("cal_date", "date"))
     bounds = small(spark, _BOUNDS, "key string, d string").select("key", F.to_date("d").alias("start"))
-    key = F.regexp_replace(F.regexp_replace("form", r"_\d+$", ""), "_", "-")
-    s = _segments(spark, d).where("kind NOT IN ('shared', 'alternatives') AND form <> '_shared'")
-    first_form = s.groupBy(key.alias("k")).agg(F.min("form").alias("form"))
-    forms = s.join(first_form, "form").select(F.col("k").alias("form"), "section_ord", "seq", "kind", "text")
+    s = _segments(spark, d)
+    blocks = s.where("form = '_shared'").select(F.col("section").alias("key"), "seq", "kind", "text", "group_label", "shared_key")
+    forms = segments.expand_shared(s.where("form <> '_shared'"), blocks)
+    # all_saints_mp_0000012 serves allsaints-mp, ordinary_mp_0000007 the seven ordinary-…day-mp
+    season, hour = F.replace(F.regexp_extract("form", r"^(.*)_[a-z]+_\d+$", 1), F.lit("_"), F.lit("")), F.regexp_extract("form", r"_([a-z]+)_\d+$", 1)
+    names = F.when(season == "ordinary", F.array(*[F.lit(f"ordinary-{x}") for x in ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")])).otherwise(F.array(season))
+    editions = s.where("form <> '_shared'").select("form").distinct().select("form", F.explode(names).alias("name")).select("form", F.concat_ws("-", "name", hour).alias("key"))
     p = _psalter(spark, d).where("psalter = 'psalter_common' AND type <> 'head'").select(F.col("psalm").try_cast("int").alias("num"), F.col("seq").alias("v"), "text")
     verses = _psalter(spark, d).where("type = 'verse'").select(F.col("psalter").alias("book"), F.col("page_no").alias("ch"), F.col("seq").alias("v"), "text")
     books = small(spark, [("Sar", "psalter_common")], "abbrev string, book string")
     collects = _psalter(spark, d).where("type = 'head'").groupBy(F.col("page_no").cast("string").alias("page")).agg(F.min("title").alias("text"))
-    return office.assemble(days, bounds, forms, p, verses, books, collects)
+    return office.assemble(days, bounds, forms, p, verses, books, collects, editions)
 
 
 @query("""
