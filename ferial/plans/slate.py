@@ -861,6 +861,26 @@ def appointed_psalms(spark, d):
     return f.join(v, "num").where(F.col("first").isNull() | F.col("v").between(F.col("first"), F.col("last"))).groupBy("row_id", "num").agg(F.count("*").alias("verses"))
 
 
+def _psalm_entries_of_offices(spark, d):
+    """``row_id, office, slot, choice, ord, num, first, last, optional`` of both fields of every calendar row."""
+    # a row stands for a day: repeated dates of a calendar are rows of their own here
+    days = _calendar(spark, d).select(F.col("row_id").cast("string").alias("calendar_id"), F.col("cal_date").alias("date"), "morning", "evening")
+    offices = office.day_offices(days).withColumn("row_id", F.col("calendar_id").cast("bigint"))
+    sets = offices.select("row_id", "office", "slot", F.posexplode(grammar.psalm_sets(F.col("psalms"))).alias("choice", "tokens"))
+    return sets.select("row_id", "office", "slot", "choice", F.posexplode(grammar.psalm_entries(F.col("tokens"))).alias("ord", "e")).select("row_id", "office", "slot", "choice", "ord", "e.*")
+
+
+@query()
+def appointed_psalms_all(spark, d):
+    """Every psalm entry of both offices, every branch and choice, with how many verses the common psalter holds for it (0 if none)."""
+    f = _psalm_entries_of_offices(spark, d)
+    v = _psalter(spark, d).where("psalter = 'psalter_common' AND type = 'verse'").select(F.col("psalm").try_cast("int").alias("num"), F.col("seq").alias("v")).where("num IS NOT NULL").distinct()
+    # one row a psalm, so that an entry meets one row and not all its verses
+    per = v.groupBy("num").agg(F.collect_list("v").alias("vs"))
+    inside = F.filter("vs", lambda x: F.col("first").isNull() | x.between(F.col("first"), F.col("last")))
+    return f.join(per, "num", "left").withColumn("verses", F.coalesce(F.size(inside).cast("bigint"), F.lit(0))).select("row_id", "office", "slot", "choice", "ord", "num", "first", "last", "optional", "verses")
+
+
 @query()
 def office_assembly(spark, d):
     """The composite: the offices of every calendar's every date, from forms with their shared blocks, psalter and collects."""

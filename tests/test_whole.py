@@ -3,7 +3,11 @@
 from datetime import date
 
 from ferial.operators import segments
-from ferial.plans import office
+from ferial.plans import office, slate
+
+
+def save(df, folder, name):
+    df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
 
 def test_every_calendar_branch_and_choice(spark):
@@ -43,3 +47,25 @@ def test_shared_blocks_are_expanded(spark):
     rows = spark.createDataFrame([("f", 1, "s", 0, "leader", "x", None, None), ("f", 1, "s", 1, "shared", None, None, "a"), ("f", 1, "s", 2, "leader", "y", None, None), ("f", 1, "s", 3, "shared", None, None, "none")], "form string, section_ord int, section string, seq int, kind string, text string, group_label string, shared_key string")
     got = [(r.seq, r.kind, r.text) for r in segments.expand_shared(rows, blocks).orderBy("seq").collect()]
     assert got == [(0, "leader", "x"), (1, "leader", "A0"), (2, "response", "B"), (3, "unresolved", "a"), (4, "leader", "A2"), (5, "leader", "y"), (6, "unresolved", "none")]
+
+
+def calendar(spark, folder, rows):
+    """Calendar rows ``(row_id, name, morning, evening)``."""
+    df = spark.createDataFrame([(i, "c", date(2030, 12, 1), f"f{i % 2}", n, None, m, e, None, None) for i, n, m, e in rows], "row_id long, calendar_id string, cal_date date, src_file string, name string, eucharist string, morning string, evening string, extra string, loaded_at timestamp")
+    save(df, folder, "calendar_rows")
+
+
+def psalter(spark, folder):
+    lines = [("psalter_common", "1", 7, s, "verse") for s in (1, 2, 3)] + [("psalter_common", "2", 7, 4, "verse"), ("psalter_common", "2", 7, 5, "cont"), ("psalter_b", "9", 7, 1, "verse")]
+    save(spark.createDataFrame([(i, *x, None, f"t{i}") for i, x in enumerate(lines)], "line_id long, psalter string, psalm string, page_no int, seq int, type string, title string, text string"), folder, "psalter_lines")
+
+
+def test_appointed_psalms_all(spark, tmp_path):
+    d = str(tmp_path)
+    calendar(spark, d, [(1, "x", "'Ps 1:1-2, (3), 2' | Bk 1:2", "Ps 2<br>Or<br>Ps 1 or 9"), (2, "x", " Ps 1; Coll 3", None), (3, "x", "Bk 1:1", "")])
+    psalter(spark, d)
+    got = sorted((r.row_id, r.office, r.slot, r.choice, r.ord, r.num, r.verses) for r in slate.appointed_psalms_all(spark, d).collect())
+    assert got == [
+        (1, "ep", "alternate", 0, 0, 1, 3), (1, "ep", "alternate", 1, 0, 9, 0), (1, "ep", "primary", 0, 0, 2, 1),
+        (1, "mp", "primary", 0, 0, 1, 2), (1, "mp", "primary", 0, 1, 1, 1), (1, "mp", "primary", 0, 2, 2, 1), (2, "mp", "primary", 0, 0, 1, 3),
+    ]
