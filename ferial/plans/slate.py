@@ -205,6 +205,15 @@ def upsert_rows(spark, d):
     return sinks.upsert(old, new, ["row_id"])
 
 
+@query(ORACLE["keep_last_file"])
+def upsert_deliveries(spark, d):
+    """Each calendar's last file upserted into what its earlier files left: every row is in one of the two."""
+    rows = _calendar(spark, d).select("calendar_id", "cal_date", "src_file", "row_id")
+    last = rows.withColumn("new", F.col("src_file").eqNullSafe(F.max("src_file").over(Window.partitionBy("calendar_id"))))
+    old, new = (readers.keep_last(x.drop("new"), ["calendar_id", "cal_date"], [F.col("src_file"), F.col("row_id")]) for x in (last.where("NOT new"), last.where("new")))
+    return sinks.upsert(old, new, ["calendar_id", "cal_date"]).select("calendar_id", "cal_date", "row_id")
+
+
 @query(f"SELECT strftime(cal_date, '%Y-%m') AS month, count(*) AS days FROM {_CAL} WHERE strftime(cal_date, '%Y-%m') BETWEEN strftime(DATE '2031-06-15' - 93, '%Y-%m') AND strftime(DATE '2031-06-15' + 93, '%Y-%m') GROUP BY 1")
 def retention_window(spark, d):
     rows = _calendar(spark, d).withColumn("month", F.date_format("cal_date", "yyyy-MM"))
@@ -361,6 +370,12 @@ def read_more(spark, d):
     return rows.select("seg_id", text.read_more_cut(F.col("text")).alias("cut"))
 
 
+@query()
+def read_more_all(spark, d):
+    """As ``read_more``, of every text whatever its characters; SQL counts some of them otherwise, so there is no twin."""
+    return _segments(spark, d).where("text IS NOT NULL").select("seg_id", text.read_more_cut(F.col("text")).alias("cut"))
+
+
 @query(rf"""
     WITH v AS (SELECT psalter, psalm, page_no, seq, line_id, text, type, sum(CASE WHEN regexp_matches(text, '^\d+\s{{1,2}}') THEN 1 ELSE 0 END) OVER (PARTITION BY psalter, psalm, page_no ORDER BY seq, line_id) AS verse FROM {_PSA} WHERE type <> 'head' AND text IS NOT NULL)
     SELECT psalter, psalm, page_no, CAST(verse AS BIGINT) AS verse, string_agg(text, ' ' ORDER BY seq, line_id) AS text FROM v GROUP BY 1, 2, 3, 4""")

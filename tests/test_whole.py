@@ -69,3 +69,19 @@ def test_appointed_psalms_all(spark, tmp_path):
         (1, "ep", "alternate", 0, 0, 1, 3), (1, "ep", "alternate", 1, 0, 9, 0), (1, "ep", "primary", 0, 0, 2, 1),
         (1, "mp", "primary", 0, 0, 1, 2), (1, "mp", "primary", 0, 1, 1, 1), (1, "mp", "primary", 0, 2, 2, 1), (2, "mp", "primary", 0, 0, 1, 3),
     ]
+
+
+def test_read_more_all_keeps_every_script(spark, tmp_path):
+    d, texts = str(tmp_path), {1: "plain", 2: "Sérvael " * 20, 3: "ж" * 120, 4: None}
+    rows = [(i, "f", "s", 1, i, str(i), 0, None, None, "leader", t, None, None) for i, t in texts.items()]
+    save(spark.createDataFrame(rows, "seg_id long, form string, section string, section_ord int, seq int, path string, depth int, group_no int, group_label string, kind string, text string, shared_key string, loaded_at timestamp"), d, "segments")
+    got = {r.seg_id: r.cut for r in slate.read_more_all(spark, d).collect()}
+    assert got == {1: "plain", 2: ("Sérvael " * 10).rstrip(), 3: "ж" * 80}
+
+
+def test_upsert_deliveries_takes_every_row(spark, tmp_path):
+    d = str(tmp_path)
+    days = [(1, "c", 1, "a"), (7, "c", 1, "b"), (11, "c", 2, "a"), (13, "c", 3, "b"), (17, "e", 1, "a"), (19, "e", 1, "a")]
+    df = spark.createDataFrame([(i, c, date(2030, 12, n), f, None) for i, c, n, f in days], "row_id long, calendar_id string, cal_date date, src_file string, loaded_at timestamp")
+    save(df, d, "calendar_rows")
+    assert sorted(r.row_id for r in slate.upsert_deliveries(spark, d).collect()) == [7, 11, 13, 19]
