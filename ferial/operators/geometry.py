@@ -14,11 +14,13 @@ def span_kind(size: Column, flags: Column, color: Column, body_size: float = 11.
     )
 
 
-def lines_of(spans: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """``page, line, y, x, text``: spans whose baselines lie within ``tolerance`` of their line's first, left to right.
+def lines_of(spans: DataFrame, tolerance: float = 3.0, part: tuple[str, ...] = ("page",)) -> DataFrame:
+    """``part, line, y, x, text``: spans whose baselines lie within ``tolerance`` of their line's first, left to right.
 
-    The line's first baseline is carried on, so that a slope does not chain: a fold over each page, in pandas.
+    The line's first baseline is carried on, so that a slope does not chain: a fold over each page, in pandas. ``part`` names
+    what makes a page: its number, and the book where there are several.
     """
+    types = dict(spans.dtypes)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         rows: list[list] = []
@@ -27,10 +29,10 @@ def lines_of(spans: DataFrame, tolerance: float = 3.0) -> DataFrame:
                 rows.append([s.y0, []])
             rows[-1][1].append((s.x0, s.text or ""))
         return pd.DataFrame(
-            [(int(pdf["page"].iloc[0]), i, y, min(p)[0], " ".join(t for _, t in sorted(p)).strip()) for i, (y, p) in enumerate(rows)], columns=["page", "line", "y", "x", "text"]
+            [(*(pdf[c].iloc[0] for c in part), i, y, min(p)[0], " ".join(t for _, t in sorted(p)).strip()) for i, (y, p) in enumerate(rows)], columns=[*part, "line", "y", "x", "text"]
         )
 
-    return spans.groupBy("page").applyInPandas(fold, "page int, line int, y double, x double, text string")
+    return spans.groupBy(*part).applyInPandas(fold, ", ".join(f"{c} {types[c]}" for c in part) + ", line int, y double, x double, text string")
 
 
 def reflow(lines: DataFrame, part: list[str], order: list[str], gap: float = 15.0, slack: float = 60.0) -> DataFrame:

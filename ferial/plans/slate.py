@@ -973,8 +973,8 @@ def stream_event_windows(spark, d):
 
 @query()
 def geometry_lines(spark, d):
-    """Psalter lines laid on pages as spans and read back as lines."""
-    spans = _psalter(spark, d).where("psalter = 'psalter_common' AND text IS NOT NULL").select(
-        F.col("page_no").alias("page"), (F.when(F.col("type") == "cont", 40.0).otherwise(20.0)).alias("x0"), (F.col("seq") * 12.0).alias("y0"), "text"
+    """The lines of every psalter laid on pages as spans and read back; ``seq`` counts within a psalm's part of a page."""
+    spans = _psalter(spark, d).where("text IS NOT NULL").select(
+        "psalter", "psalm", F.col("page_no").alias("page"), (F.when(F.col("type") == "cont", 40.0).otherwise(20.0)).alias("x0"), (F.col("seq") * 12.0).alias("y0"), "text"
     )
-    return geometry.lines_of(spans)
+    return geometry.lines_of(spans, part=("psalter", "psalm", "page"))

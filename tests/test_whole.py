@@ -85,3 +85,10 @@ def test_upsert_deliveries_takes_every_row(spark, tmp_path):
     df = spark.createDataFrame([(i, c, date(2030, 12, n), f, None) for i, c, n, f in days], "row_id long, calendar_id string, cal_date date, src_file string, loaded_at timestamp")
     save(df, d, "calendar_rows")
     assert sorted(r.row_id for r in slate.upsert_deliveries(spark, d).collect()) == [7, 11, 13, 19]
+
+
+def test_geometry_lines_of_every_psalter(spark, tmp_path):
+    d = str(tmp_path)
+    psalter(spark, d)
+    got = sorted((r.psalter, r.psalm, r.page, r.line, r.text) for r in slate.geometry_lines(spark, d).collect())
+    assert got == [("psalter_b", "9", 7, 0, "t5"), *[("psalter_common", "1", 7, i, f"t{i}") for i in range(3)], ("psalter_common", "2", 7, 0, "t3"), ("psalter_common", "2", 7, 1, "t4")]
