@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ferial.functions import colour, grammar, text
 from ferial.functions.dates import week_index, weekday
 from ferial.operators import audit, calendar, corrections, geometry, lookup, segments
+from ferial.operators.packed import unpacked
 from ferial.operators.rejects import CALENDAR, parse_records
 from ferial.plans import office
 from ferial.runtime import ensure_checkpoint_dir, small, table
@@ -885,6 +886,19 @@ def _psalm_entries_of_offices(spark, d):
     return sets.select("row_id", "office", "slot", "choice", F.posexplode(grammar.psalm_entries(F.col("tokens"))).alias("ord", "e")).select("row_id", "office", "slot", "choice", "ord", "e.*")
 
 
+@query()
+def psalm_entries_all(spark, d):
+    """The psalm entries of both fields of every calendar row, all branches and choices."""
+    return _psalm_entries_of_offices(spark, d)
+
+
+@query()
+def name_rank_colour_all(spark, d):
+    """Every observance of every name, in order, with its rank and colour."""
+    lines_ = grammar.observance_lines(unpacked(F.col("name")))
+    return _calendar(spark, d).where("name IS NOT NULL").select("row_id", F.posexplode(lines_).alias("ord", "line")).select("row_id", "ord", grammar.name_meta(F.col("line")).alias("m")).select("row_id", "ord", "m.*")
+
+
 @query()
 def appointed_psalms_all(spark, d):
     """Every psalm entry of both offices, every branch and choice, with how many verses the common psalter holds for it (0 if none)."""
@@ -945,7 +959,8 @@ def reject_edits(spark, d):
 @query()
 def similarity_nearmiss(spark, d):
     """Names close to a phrase that they do not hold."""
-    names = _calendar(spark, d).where("name IS NOT NULL").select(F.lower(F.regexp_extract("name", r"(?:of|after) (?:the )?([A-Z][a-z]+(?: [A-Z][a-z]+)?)", 1)).alias("n")).where("n <> ''").distinct()
+    held = F.regexp_extract_all("name", F.lit(r"(?:of|after) (?:the )?([A-Z][a-z]+(?: [A-Z][a-z]+)?)"), F.lit(1))
+    names = _calendar(spark, d).where("name IS NOT NULL").select(F.explode(held).alias("n")).select(F.lower("n").alias("n")).where("n <> ''").distinct()
     phrases = F.broadcast(small(spark, _PHRASES, "phrase string, tag string"))
     near = names.join(phrases, ~F.contains(F.col("n"), F.col("phrase"))).withColumn("ratio", text.similarity(F.col("n"), F.col("phrase"))).where("ratio >= 0.72")
     return near.groupBy("n").agg(F.max_by("phrase", F.struct("ratio", -F.length("phrase"))).alias("phrase"), F.round(F.max("ratio"), 3).alias("ratio"))

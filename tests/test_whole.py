@@ -92,3 +92,14 @@ def test_geometry_lines_of_every_psalter(spark, tmp_path):
     psalter(spark, d)
     got = sorted((r.psalter, r.psalm, r.page, r.line, r.text) for r in slate.geometry_lines(spark, d).collect())
     assert got == [("psalter_b", "9", 7, 0, "t5"), *[("psalter_common", "1", 7, i, f"t{i}") for i in range(3)], ("psalter_common", "2", 7, 0, "t3"), ("psalter_common", "2", 7, 1, "t4")]
+
+
+def test_every_part_of_a_name_and_field(spark, tmp_path):
+    d = str(tmp_path)
+    calendar(spark, d, [(1, "Feast of Xyzzy - HD (Red) / 'Eve of the Quiet Gater - Mem'; Blessed A (Blue)", "Ps 1:2-3, (5) | Ps 9", "Ps 4 or 6"), (2, None, None, "Coll 1")])
+    got = [(r.row_id, r.ord, r.name, r.rank, r.colour) for r in slate.name_rank_colour_all(spark, d).orderBy("row_id", "ord").collect()]
+    assert got == [(1, 0, "Feast of Xyzzy", "holy_day", "Red"), (1, 1, "Eve of the Quiet Gater", "memorial", None), (1, 2, "Blessed A", "feria", "Blue")]
+    entries = sorted((r.office, r.choice, r.ord, r.num, r.first or 0, r.last or 0, r.optional) for r in slate.psalm_entries_all(spark, d).collect())
+    assert entries == [("ep", 0, 0, 4, 0, 0, False), ("ep", 1, 0, 6, 0, 0, False), ("mp", 0, 0, 1, 2, 3, False), ("mp", 0, 1, 1, 5, 5, True)]
+    calendar(spark, d, [(1, "Feast of Xyzzy; Eve of the Quiet Gat", None, None)])
+    assert [(r.n, r.phrase) for r in slate.similarity_nearmiss(spark, d).collect()] == [("quiet gat", "quiet gate")]
