@@ -84,11 +84,11 @@ def test_edits_are_fewest_where_quoting_holds():
             assert not any(fits(x) for x in one_edit(s)), (s, edits)
 
 
-def test_nothing_is_rejected_without_the_program(monkeypatch):
+def test_the_cost_of_the_program_decides(monkeypatch):
     bad = ['2031-01-02,A "Day",,x,y', "2031-01-02,A", OK + ",,"]
     assert [v.reason for v in judge(bad, CALENDAR)] == ["quoting", "columns", "columns"]
-    monkeypatch.setattr(rejects, "least_edits", lambda block, least, most: [(1, []) for _ in block])
-    assert [v.reason for v in judge(bad, CALENDAR)] == ["columns"] * 3
+    monkeypatch.setattr(rejects, "least_edits", lambda block, least, most: [(rejects._QUOTING, []) for _ in block])
+    assert [v.reason for v in judge(bad, CALENDAR)] == ["quoting"] * 3
 
 
 def test_long_and_table_edges(spark):
