@@ -2,14 +2,14 @@
 
 Every key gets a position in a 63-bit key space (a hash of the key, so positions are even
 whatever the keys look like). Each copy is reduced to the version of every key that is in
-force; per range of positions a checksum (the XOR of two independent row digests, and a
-count) is built for the finest ranges and rolled up to a tree. Both trees are compared from
-the root; only ranges that differ are split further. Field values are read, shuffled and
+force; per finest range of positions a checksum (the XOR of two independent row digests, and a
+count) is built, and from there every level of a tree from the level below it. The trees are compared from
+the root: of each level only the children of ranges that differ are looked at. Field values are read, shuffled and
 compared in the finest differing ranges only.
 
-At scale: the first pass shuffles 16-byte digests instead of values, the tree has one node
-for ``leaf_rows`` keys, and the second pass moves only rows of differing ranges. A key
-repeated in a third of all rows is pre-aggregated before the shuffle.
+At scale: the first pass shuffles digests instead of values; the tree has one leaf for ``leaf_rows`` keys and a
+256th more above them, so that all of it is written once and read once; the second pass moves only rows of
+differing ranges. A key repeated in a third of all rows is pre-aggregated before the shuffle.
 """
 
 from __future__ import annotations
@@ -64,20 +64,25 @@ def checksum_leaves(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return both.groupBy("__leaf").agg(F.sum("side").alias("n"), F.bit_xor("d1").alias("x1"), F.bit_xor("d2").alias("x2"))
 
 
-def differing_leaves(leaves: DataFrame, depth: int, step: int) -> DataFrame:
-    """Walks the checksum tree from the root; keeps only children of ranges that differ."""
+def checksum_tree(leaves: DataFrame, depth: int, step: int) -> list[DataFrame]:
+    """The levels of the tree from the leaves to the root, each built from the one below: ``node, n, x1, x2``."""
+    levels = [checkpoint(leaves.withColumnRenamed("__leaf", "node"))]
+    while depth > 0:
+        up = F.shiftright("node", min(step, depth)).alias("node")
+        levels.append(checkpoint(levels[-1].groupBy(up).agg(F.sum("n").alias("n"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))))
+        depth -= step
+    return levels
+
+
+def differing_leaves(levels: list[DataFrame], depth: int, step: int) -> DataFrame:
+    """Walks the checksum tree from the root; of every level only children of ranges that differ are compared."""
     differ = (F.col("n") != 0) | (F.col("x1") != 0) | (F.col("x2") != 0)
-    found = None
-    for level in range(depth % step or step, depth, step):
-        node = F.shiftright("__leaf", depth - level).alias("node")
-        nodes = leaves.groupBy(node).agg(F.sum("n").alias("n"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
-        if found is not None:
-            nodes = nodes.withColumn("up", F.shiftright("node", step)).join(found, "up", "left_semi")
-        found = nodes.where(differ).select(F.col("node").alias("up"))
-    out = leaves
-    if found is not None:
-        out = leaves.withColumn("up", F.shiftright("__leaf", step)).join(found, "up", "left_semi")
-    return out.where(differ).select("__leaf")
+    shifts = [min(step, depth - step * i) for i in range(len(levels) - 1)]
+    found = levels[-1].where(differ).select("node")
+    for level, shift in zip(levels[-2::-1], reversed(shifts)):
+        up = found.select(F.col("node").alias("up"))
+        found = level.withColumn("up", F.shiftright("node", shift)).join(up, "up", "left_semi").where(differ).select("node")
+    return found.select(F.col("node").alias("__leaf"))
 
 
 def diff_copies(
@@ -88,8 +93,8 @@ def diff_copies(
     version: str | None = None,
     left_only: str = "only_left",
     right_only: str = "only_right",
-    leaf_rows: int = 4,
-    step: int = 4,
+    leaf_rows: int = 256,
+    step: int = 8,
 ) -> DataFrame:
     """Rows ``keys + (diff)``: a key in force on one side only, or one row per differing field.
 
@@ -103,8 +108,7 @@ def diff_copies(
     n = max(left.count(), right.count())
     depth = min(_BITS, max(0, math.ceil(math.log2(max(n, 1) / leaf_rows)))) if n > leaf_rows else 0
     lhs, rhs = (_prepared(x, keys, fields, version, depth) for x in (left, right))
-    leaves = checkpoint(checksum_leaves(lhs, rhs, keys))
-    wanted = differing_leaves(leaves, depth, step)
+    wanted = differing_leaves(checksum_tree(checksum_leaves(lhs, rhs, keys), depth, step), depth, step)
 
     h1, h2 = _digests(fields)
     version_key = F.struct(F.col("__version"), h1, h2, F.struct(*fields).alias("v"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the checkpoint folder: a cut of lineage for rows that are read more than once."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_below(df: DataFrame, weight: Column, most: int) -> DataFrame:
+    """``df`` marked for broadcast where the sum of ``weight`` over its rows is at most ``most``; a written table, it is read twice."""
+    total = df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
+
+
 def null_safe_hash(*cols: Column) -> Column:
     """64-bit hash in which a null differs from every value and from a null in another place.
 

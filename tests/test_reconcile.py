@@ -1,7 +1,10 @@
 import random
 from datetime import datetime
 
-from ferial.operators.reconcile import diff_copies
+from pyspark.sql import functions as F
+
+from ferial.operators import reconcile
+from ferial.operators.reconcile import checksum_tree, diff_copies, differing_leaves
 
 SCHEMA = "form string, seq int, type string, text string, loaded_at timestamp, __side string, diff int"
 
@@ -56,3 +59,25 @@ def test_edges(spark):
     assert run(spark, [], []) == []
     assert run(spark, [row], [("f", 1, "", "x" * 199999 + "y", t, "s", 1)]) == ["('f', 1, 'text')", "('f', 1, 'type')"]
     assert run(spark, [(*row[:4], None, "s", 1), row], [row]) == []
+
+
+def test_the_walk_follows_the_tree(spark):
+    """A leaf under a range whose checksum agrees is not looked at; without the walk it would be found."""
+    leaves = spark.createDataFrame([(i, 0, 0, 0) for i in range(64)], "__leaf bigint, n bigint, x1 bigint, x2 bigint")
+    odd = F.when(F.col("__leaf") == 5, 7).when(F.col("__leaf") == 40, 11).when(F.col("__leaf").isin(20, 21), 9).otherwise(0).cast("bigint")
+    levels = checksum_tree(leaves.withColumn("x1", odd), 6, 2)
+    assert [x.count() for x in levels] == [64, 16, 4, 1]
+    # 20 and 21 lie in one range, and equal checksums cancel there
+    assert sorted(r[0] for r in differing_leaves(levels, 6, 2).collect()) == [5, 40]
+    assert differing_leaves(checksum_tree(leaves, 6, 4), 6, 4).count() == 0
+
+
+def test_values_are_read_in_differing_ranges_only(spark, monkeypatch):
+    t = datetime(2030, 1, 1)
+    a = [(f"f{i}", i, "a", "x", t, "s", 1) for i in range(400)]
+    b = [(*r[:3], "y" if r[1] == 77 else "x", *r[4:]) for r in a]
+    seen = []
+    walk = reconcile.differing_leaves
+    monkeypatch.setattr(reconcile, "differing_leaves", lambda *x: seen.append(walk(*x)) or seen[-1])
+    assert run(spark, a, b, leaf_rows=8, step=3) == ["('f77', 77, 'text')"]
+    assert seen[0].count() == 1
