@@ -19,9 +19,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferial.runtime import checkpoint, null_safe_hash
+from ferial.runtime import broadcast_below, checkpoint, null_safe_hash, written
 
 _BITS = 63
+_BROADCAST_LEAVES = 1_000_000
 
 
 def _positioned(df: DataFrame, keys: list[str], depth: int) -> DataFrame:
@@ -93,7 +94,7 @@ def diff_copies(
     version: str | None = None,
     left_only: str = "only_left",
     right_only: str = "only_right",
-    leaf_rows: int = 256,
+    leaf_rows: int = 16,
     step: int = 8,
 ) -> DataFrame:
     """Rows ``keys + (diff)``: a key in force on one side only, or one row per differing field.
@@ -108,7 +109,8 @@ def diff_copies(
     n = max(left.count(), right.count())
     depth = min(_BITS, max(0, math.ceil(math.log2(max(n, 1) / leaf_rows)))) if n > leaf_rows else 0
     lhs, rhs = (_prepared(x, keys, fields, version, depth) for x in (left, right))
-    wanted = differing_leaves(checksum_tree(checksum_leaves(lhs, rhs, keys), depth, step), depth, step)
+    wanted = written(differing_leaves(checksum_tree(checksum_leaves(lhs, rhs, keys), depth, step), depth, step))
+    wanted = broadcast_below(wanted, F.lit(1), _BROADCAST_LEAVES)
 
     h1, h2 = _digests(fields)
     version_key = F.struct(F.col("__version"), h1, h2, F.struct(*fields).alias("v"))

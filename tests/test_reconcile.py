@@ -81,3 +81,5 @@ def test_values_are_read_in_differing_ranges_only(spark, monkeypatch):
     monkeypatch.setattr(reconcile, "differing_leaves", lambda *x: seen.append(walk(*x)) or seen[-1])
     assert run(spark, a, b, leaf_rows=8, step=3) == ["('f77', 77, 'text')"]
     assert seen[0].count() == 1
+    monkeypatch.setattr(reconcile, "_BROADCAST_LEAVES", 0)
+    assert run(spark, a, b, leaf_rows=8, step=3) == ["('f77', 77, 'text')"]
