@@ -1,21 +1,25 @@
 """Long exact spans that records share, found by recompression.
 
-A text is parsed into symbols in rounds: the first round names short runs of one character, each
-round then names adjacent pairs whose left symbol falls in one half of the alphabet and whose
-right symbol in the other. Names and halves are hashes of what a symbol spells, so every shard names
-alike without talking to another, and a cut depends on its neighbourhood of ``_CONTEXT`` characters only:
-equal substrings are cut alike but for their ends. Symbols are kept to 8 characters. From each cut a high-level
-symbol spells the next 26 to 33 characters; of all that begin within 24 characters the one with the least
-name is kept. Any two equal substrings of 80 characters therefore keep a common
-high-level symbol (80 >= 2 * context + 24 + 33).
-
-Symbols kept by two different texts reveal candidates; all windows of ``min_chars`` around them are
-then named by 128-bit hashes, and those of more than one text are the shared ones. Groups are aggregated
-(never paired), texts that are equal count as one before any of this, and their ids come back at the end.
+A text is parsed into symbols in rounds. Each round is a Spark job over all texts: it counts the pairs of neighbouring
+symbols globally, splits the alphabet of the most frequent ones into left and right symbols so that much is joined (a greedy
+maximum cut), and names every pair of a left and a right symbol. A pair is one symbol from then on, in every
+text, so equal substrings get equal symbols but for their ends. The first round also names runs of two equal characters.
+Symbols of round r have at most 2^r characters, and whether two join depends on the two alone, so a boundary of round r is decided
+within ``_context(r)`` characters.
+
+A high-level symbol begins at a boundary of the last round and spells at least ``spell`` characters, up to a boundary of the
+round before. Any two equal substrings of ``min_chars`` hold a common one (``_layout``). High-level symbols of
+two different texts reveal candidates; all windows of ``min_chars`` around them are then named by 128-bit hashes, and those
+of more than one text are the shared ones. Groups are aggregated (never paired), texts that are equal count as one before
+any of this, and their ids come back at the end.
+
+The naming tables hold at most ``NAMES`` pairs a round, whatever the corpus: more would make the symbols longer and so
+the work less, but no result depends on it.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferial.runtime import checkpoint, text_digest
+from ferial.runtime import broadcast_below, text_digest, written
 
-_ROUNDS = 3
-_LONGEST = 2**_ROUNDS
-_CONTEXT = 11  # 5 for runs and pairs of characters, then 2 and 4
+NAMES = 1 << 16
+_ROUNDS = 6
 _BLOCK_CHARS = 1_000_000
 _LEN_BITS = 20  # a place is a position and a length in one long
+_MARKS = 4_000_000  # places that may be broadcast
+_LIVE = 1_000_000  # names that may be broadcast
+_RUN_NAME, _PAIR_NAME = 0x110000, 0x220000  # names below are characters, then runs of two, then pairs
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+Names = tuple[np.ndarray, np.ndarray]  # pairs in order, the symbols that name them
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -65,68 +72,114 @@ class Hashes:
             return _mix((self.sums[stop] - self.sums[start]) * self.back[start], self.salt + 7)
 
 
-def cuts(chars: np.ndarray, doc_start: np.ndarray, h: Hashes) -> np.ndarray:
-    """Where symbols begin after all rounds, over texts laid end to end (``doc_start``: True at a first character)."""
+def _context(r: int) -> int:
+    """Characters to either side that decide a boundary of round r: two for runs, then the longest symbol of every round before."""
+    return 2**r + 2 if r else 0
+
+
+def _layout(min_chars: int) -> tuple[int, int]:
+    """The number of rounds, and how many characters a high-level symbol spells at least.
+
+    Within equal substrings boundaries agree ``_context`` from the ends; up to a symbol less one is lost before the first of
+    the last round, and as much of the round before after the last character spelled.
+    """
+    if not 1 <= min_chars < 1 << _LEN_BITS:
+        raise ValueError(f"min_chars must be from 1 to {(1 << _LEN_BITS) - 1}")
+    for r in range(_ROUNDS, 0, -1):
+        spell = min_chars - _context(r) - (2**r - 1) - (2 ** (r - 1) - 1) - _context(r - 1)
+        if 3 * spell >= min_chars:
+            return r, spell
+    return 0, min_chars
+
+
+def _pairs(start: np.ndarray, symbol: np.ndarray, doc_start: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """All neighbours that round r may join: where the right one stands among the symbols, and the pair as one number."""
+    stop = np.append(start[1:], len(doc_start))
+    right = 1 + np.flatnonzero((stop[1:] - start[:-1] <= 2**r) & ~doc_start[start[1:]])
+    return right, symbol[right - 1] << 32 | symbol[right]
+
+
+def parse(chars: np.ndarray, doc_start: np.ndarray, tables: list[Names]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Starts and names of the symbols before and after each of the rounds, over texts laid end to end (``doc_start``: True at a first character)."""
+    n = len(chars)
+    start, symbol = np.arange(n), chars.astype(np.int64)
+    levels = [(start, symbol)]
+    for r, (pairs, names) in enumerate(tables, 1):
+        if r == 1:
+            start, symbol = _named_runs(chars, doc_start)
+        right, key = _pairs(start, symbol, doc_start, r)
+        if len(pairs):
+            at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+            hit = pairs[at] == key
+            right, at = right[hit], at[hit]
+            symbol = symbol.copy()
+            symbol[right - 1] = names[at]
+            keep = np.ones(len(start), bool)
+            keep[right] = False
+            start, symbol = start[keep], symbol[keep]
+        levels.append((start, symbol))
+    return levels
+
+
+def _named_runs(chars: np.ndarray, doc_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of exactly two equal characters as one symbol; characters of longer runs stay single."""
     n = len(chars)
     same = np.zeros(n, bool)
     same[1:] = (chars[1:] == chars[:-1]) & ~doc_start[1:]
-    # runs of two: equal to the character before, and neither neighbour goes on
     follows = np.zeros(n, bool)
     follows[:-1] = same[1:]
     precedes = np.zeros(n, bool)
     precedes[1:] = same[:-1]
     start = np.flatnonzero(~(same & ~follows & ~precedes))
-    for r in range(1, _ROUNDS + 1):
-        stop = np.append(start[1:], n)
-        half = (_mix(h.of(start, stop), 100 + r) & np.uint64(1)).astype(bool)
-        joined = np.zeros(len(start), bool)
-        joined[1:] = ~half[:-1] & half[1:] & (stop[1:] - start[:-1] <= 2**r) & ~doc_start[start[1:]]
-        start = start[~joined]
-    return start
-
-
-def _sliding(values: np.ndarray, width: int, op: np.ufunc, fill: np.uint64) -> np.ndarray:
-    """``op`` over values[s : s + width] for every s, by prefixes and suffixes of blocks."""
-    n = len(values)
-    padded = np.full((n // width + 2) * width, fill, np.uint64)
-    padded[:n] = values
-    grid = padded.reshape(-1, width)
-    head = op.accumulate(grid, axis=1).ravel()
-    tail = op.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(tail[:n], head[width - 1 : n + width - 1])
-
-
-def _layout(min_chars: int) -> tuple[int, int]:
-    """Characters of a high-level symbol at least, and the width in which one is kept."""
-    room = min_chars - 2 * _CONTEXT - _LONGEST
-    if room < 12:
-        raise ValueError(f"min_chars must be at least {12 + 2 * _CONTEXT + _LONGEST}")
-    spell = room // 2 + 1
-    return spell, room - spell
+    size = np.diff(np.append(start, n))
+    return start, chars[start].astype(np.int64) + np.where(size == 2, _RUN_NAME, 0)
+
+
+def maximum_cut(pairs: list[tuple[int, int, int]]) -> set[int]:
+    """The left symbols of a split of the alphabet: symbols by weight, each to the side where it is expected to join more."""
+    after, before, weight = defaultdict(list), defaultdict(list), defaultdict(int)
+    for a, b, n in pairs:
+        if a != b:
+            after[a].append((b, n))
+            before[b].append((a, n))
+            weight[a] += n
+            weight[b] += n
+    left: dict[int, bool] = {}
+    for s in sorted(weight, key=lambda x: (-weight[x], x)):
+        as_left = sum(n * (0.5 if b not in left else not left[b]) for b, n in after[s])
+        as_right = sum(n * (0.5 if a not in left else left[a]) for a, n in before[s])
+        left[s] = as_left >= as_right
+    return {s for s, is_left in left.items() if is_left}
+
+
+def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """Per block of the batches of ``(t, text)``: characters, offsets, first characters, and t."""
+    for b in batches:
+        texts = b.column(1).to_pylist()
+        for i, j in _blocks(texts):
+            chars, offsets = _chars(texts[i:j])
+            doc_start = np.zeros(len(chars) + 1, bool)
+            doc_start[offsets] = True
+            yield chars, offsets, doc_start[:-1], b.column(0).slice(i, j - i)
+
+
+def name_pairs(texts: DataFrame, tables: list[Names]) -> Names:
+    """The next round: counts all pairs of all texts as the rounds so far parse them, and names those that are joined."""
+    r = len(tables) + 1
+    shared = texts.sparkSession.sparkContext.broadcast(tables)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chars, _, doc_start, _ in _texts_of(batches):
+            levels = parse(chars, doc_start, shared.value)
+            start, symbol = levels[-1] if r > 1 else _named_runs(chars, doc_start)
+            key, n = np.unique(_pairs(start, symbol, doc_start, r)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["pair", "n"])
 
-def anchors(chars: np.ndarray, offsets: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names, starts and ends of the high-level symbols kept."""
-    spell, width = _layout(min_chars)
-    n = len(chars)
-    doc_start = np.zeros(n + 1, bool)
-    doc_start[offsets] = True
-    h = Hashes(chars, _B1, 0)
-    start = cuts(chars, doc_start[:n], h)
-    edge = np.append(start, n)
-    stop = edge[np.minimum(np.searchsorted(edge, start + spell), len(edge) - 1)]
-    end = offsets[np.searchsorted(offsets, start, side="right")]
-    ok = (stop - start >= spell) & (stop <= end)
-    start, stop = start[ok], stop[ok]
-    name = h.of(start, stop)
-    most = np.uint64(2**64 - 1)
-    dense = np.full(n, most, np.uint64)
-    dense[start] = name
-    least = _sliding(dense, width, np.minimum, most)
-    # kept if least in one of the windows that begin up to width - 1 before it
-    lead = np.concatenate((np.zeros(width - 1, np.uint64), least))
-    kept = name == _sliding(lead, width, np.maximum, np.uint64(0))[start]
-    return name[kept], start[kept], stop[kept]
+    counts = texts.select("t", "text").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    top = [(p >> 32, p & 0xFFFFFFFF, n) for p, n in counts.orderBy(F.desc("n"), "pair").limit(NAMES).collect()]
+    left = maximum_cut(top)
+    joined = np.sort(np.array([a << 32 | b for a, b, _ in top if a != b and a in left and b not in left], np.int64))
+    return joined, np.arange(len(joined), dtype=np.int64) + (_PAIR_NAME + (r - 1) * NAMES)
 
 
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -148,17 +201,46 @@ def _chars(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint32), offsets
 
 
-def _anchor_batches(min_chars: int):
+def high_symbols(chars: np.ndarray, offsets: np.ndarray, doc_start: np.ndarray, tables: list[Names], spell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, starts and ends of the high-level symbols."""
+    levels = parse(chars, doc_start, tables)
+    start = levels[-1][0]
+    edge = np.append(levels[-2][0] if tables else start, len(chars))
+    stop = edge[np.minimum(np.searchsorted(edge, start + spell), len(edge) - 1)]
+    end = offsets[np.searchsorted(offsets, start, side="right")]
+    ok = (stop - start >= spell) & (stop <= end)
+    start, stop = start[ok], stop[ok]
+    return Hashes(chars, _B1, 0).of(start, stop), start, stop
+
+
+def _name_batches(tables, spell: int):
+    """``name, t`` of the high-level symbols of every block: a name with its least text, and its greatest if that is another."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            for i, j in _blocks(texts):
-                chars, offsets = _chars(texts[i:j])
-                name, start, stop = anchors(chars, offsets, min_chars)
-                doc = np.searchsorted(offsets, start, side="right") - 1
-                place = (start - offsets[doc]) << _LEN_BITS | (stop - start)
-                rows = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array(place)], names=["name", "t1", "t2", "place"])
+        for chars, offsets, doc_start, t in _texts_of(batches):
+            name, start, _ = high_symbols(chars, offsets, doc_start, tables.value, spell)
+            t = np.asarray(t)[np.searchsorted(offsets, start, side="right") - 1]
+            order = np.lexsort((t, name))
+            name, t = name[order], t[order]
+            first = np.ones(len(name), bool)
+            first[1:] = name[1:] != name[:-1]
+            last = np.append(first[1:], True) if len(name) else first
+            opening = np.flatnonzero(first)
+            other = t[last] != t[opening]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate((name[opening], name[opening][other])).view(np.int64)), pa.array(np.concatenate((t[opening], t[last][other])))], names=["name", "t"]
+            )
+
+    return run
+
+
+def _place_batches(tables, spell: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chars, offsets, doc_start, t in _texts_of(batches):
+            name, start, stop = high_symbols(chars, offsets, doc_start, tables.value, spell)
+            doc = np.searchsorted(offsets, start, side="right") - 1
+            place = (start - offsets[doc]) << _LEN_BITS | (stop - start)
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), t.take(pa.array(doc)), pa.array(place)], names=["name", "t", "place"])
 
     return run
 
@@ -166,8 +248,8 @@ def _anchor_batches(min_chars: int):
 def _window_batches(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            marks = b.column(3)
+            texts = b.column(1).to_pylist()
+            marks = b.column(2)
             for i, j in _blocks(texts):
                 chars, offsets = _chars(texts[i:j])
                 part = marks.slice(i, j - i)
@@ -189,20 +271,27 @@ def _window_batches(min_chars: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(Hashes(chars, _B1, 1).of(start, stop).view(np.int64)), pa.array(Hashes(chars, _B2, 2).of(start, stop).view(np.int64)),
-                        b.column(0).take(rows), b.column(1).take(rows), pa.array((start - offsets[doc]).astype(np.int32)),
+                        b.column(0).take(rows), pa.array((start - offsets[doc]).astype(np.int32)),
                     ],
-                    names=["w1", "w2", "t1", "t2", "pos"],
+                    names=["w1", "w2", "t", "pos"],
                 )
 
     return run
 
 
 def _in_two_texts(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys that occur in more than one text; partial aggregates before the shuffle, whatever a key's size.
+    """The keys that occur in more than one text; partial aggregates before the shuffle, whatever a key's size."""
+    return df.groupBy(*keys).agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select(*keys)
 
-    The first 64 bits of a text's digest tell two texts with the same key apart.
-    """
-    return df.groupBy(*keys).agg(F.min("t1").alias("a"), F.max("t1").alias("b")).where("a <> b").select(*keys)
+
+def revealed(texts: DataFrame, tables: list[Names], spell: int) -> DataFrame:
+    """``t, marks``: the texts that share a high-level symbol with another, and where such symbols stand in them."""
+    src, shared = texts.select("t", "text"), texts.sparkSession.sparkContext.broadcast(tables)
+    # blocks give a name at most twice, so a plain exchange moves less than partial aggregates of mostly single names
+    names = src.mapInArrow(_name_batches(shared, spell), "name bigint, t bigint").repartition("name")
+    live = written(_in_two_texts(names, ["name"]))
+    places = src.mapInArrow(_place_batches(shared, spell), "name bigint, t bigint, place bigint")
+    return places.join(broadcast_below(live, F.lit(1), _LIVE), "name", "left_semi").groupBy("t").agg(F.collect_list("place").alias("marks"))
 
 
 def shared_chars(rows: DataFrame, id_col: str, text_col: str, min_chars: int = 80) -> DataFrame:
@@ -211,26 +300,29 @@ def shared_chars(rows: DataFrame, id_col: str, text_col: str, min_chars: int = 8
 
     Defined results: null, empty and short texts share nothing; a row repeated under its own id counts once; equal
     texts under different ids are shared whole; other columns are ignored. An id with several texts is judged
-    by its greatest text.
+    by its greatest text. ``min_chars`` is at least 1.
     """
+    rounds, spell = _layout(min_chars)
     t1, t2 = text_digest(F.col("text"))
     base = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text") >= min_chars)
     base = base.select("id", "text", t1.alias("t1"), t2.alias("t2"))
-    texts = base.groupBy("t1", "t2").agg(F.first("text").alias("text"), (F.min("id") != F.max("id")).alias("several"))
-
-    found = texts.select("t1", "t2", "text").mapInArrow(_anchor_batches(min_chars), "name bigint, t1 bigint, t2 bigint, place bigint")
-    shared = found.join(_in_two_texts(found, ["name"]), "name", "left_semi")
-    marks = shared.groupBy("t1", "t2").agg(F.collect_list("place").alias("marks"))
+    several = (F.min("id") != F.max("id")).alias("several")
+    # numbered before they are written, so that every later job reads the same numbers
+    texts = written(base.groupBy("t1", "t2").agg(F.first("text").alias("text"), several).withColumn("t", F.monotonically_increasing_id()))
+
+    tables: list[Names] = []
+    for _ in range(rounds):
+        tables.append(name_pairs(texts, tables))
+    marks = written(revealed(texts, tables, spell))
     # texts held by several ids are shared whole; their windows are still needed by others
-    candidates = texts.join(marks, ["t1", "t2"]).select("t1", "t2", "text", "marks")
-    windows = checkpoint(candidates.mapInArrow(_window_batches(min_chars), "w1 bigint, w2 bigint, t1 bigint, t2 bigint, pos int"))
-    held = windows.join(_in_two_texts(windows, ["w1", "w2"]), ["w1", "w2"], "left_semi").select("t1", "t2", "pos")
+    candidates = texts.select("t", "text").join(broadcast_below(marks, F.size("marks"), _MARKS), "t").select("t", "text", "marks")
+    windows = written(candidates.mapInArrow(_window_batches(min_chars), "w1 bigint, w2 bigint, t bigint, pos int"))
+    held = windows.join(_in_two_texts(windows, ["w1", "w2"]), ["w1", "w2"], "left_semi").select("t", "pos")
     size = F.lit(min_chars)
     # the window and the sum need one exchange by text; its rows spill, no list is held
-    gap = F.lead("pos").over(Window.partitionBy("t1", "t2").orderBy("pos")) - F.col("pos")
-    covered = held.withColumn("gap", F.least(size, F.coalesce(gap, size))).groupBy("t1", "t2").agg(F.sum("gap").cast("bigint").alias("shared_chars"))
-    whole = texts.where("several").select("t1", "t2", F.length("text").cast("bigint").alias("shared_chars"))
-    part = covered.join(whole.select("t1", "t2"), ["t1", "t2"], "left_anti")
+    gap = F.lead("pos").over(Window.partitionBy("t").orderBy("pos")) - F.col("pos")
+    covered = held.withColumn("gap", F.least(size, F.coalesce(gap, size))).groupBy("t").agg(F.sum("gap").cast("bigint").alias("part"))
+    whole = F.when(F.col("several"), F.length("text").cast("bigint"))
+    found = texts.select("t", "t1", "t2", whole.alias("whole")).join(covered, "t", "left").select("t1", "t2", F.coalesce("whole", "part").alias("shared_chars")).where("shared_chars > 0")
     ids = base.groupBy("id").agg(F.max(F.struct("t1", "t2")).alias("t")).select("id", "t.t1", "t.t2")
-    out = ids.join(whole.unionByName(part), ["t1", "t2"])
-    return out.select(F.col("id").alias(id_col), "shared_chars")
+    return ids.join(found, ["t1", "t2"]).select(F.col("id").alias(id_col), "shared_chars")
