@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,6 @@ _MARKS = 4_000_000  # places that may be broadcast
 _LIVE = 1_000_000  # names that may be broadcast
 _RUN_NAME, _PAIR_NAME = 0x110000, 0x220000  # names below are characters, then runs of two, then pairs
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-Names = tuple[np.ndarray, np.ndarray]  # pairs in order, the symbols that name them
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -56,15 +56,21 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
         return np.multiply.accumulate(out)
 
 
+@cache
+def _block_powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, for blocks of up to ``size`` characters."""
+    return _powers(np.uint64(base), size), _powers(np.uint64(pow(base, -1, 2**64)), size)
+
+
 class Hashes:
     """Hashes of any substrings of one block of characters, by prefix sums of a polynomial modulo 2**64."""
 
     def __init__(self, chars: np.ndarray, base: np.uint64, salt: int):
         with np.errstate(over="ignore"):
-            inverse = np.uint64(pow(int(base), -1, 2**64))
-            self.back = _powers(inverse, len(chars))
+            # a power of two not below the block, so that few sizes are kept
+            power, self.back = _block_powers(int(base), 1 << max(len(chars), 1).bit_length())
             self.sums = np.zeros(len(chars) + 1, np.uint64)
-            np.cumsum(_mix(chars.astype(np.uint64), salt) * _powers(base, len(chars))[:-1], out=self.sums[1:])
+            np.cumsum(_mix(chars.astype(np.uint64), salt) * power[: len(chars)], out=self.sums[1:])
         self.salt = salt
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -72,6 +78,24 @@ class Hashes:
             return _mix((self.sums[stop] - self.sums[start]) * self.back[start], self.salt + 7)
 
 
+class Names:
+    """What one round names: pairs in order and the symbols that stand for them."""
+
+    def __init__(self, pairs: np.ndarray, names: np.ndarray):
+        self.pairs, self.names = pairs, names
+
+    @cached_property
+    def sides(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per symbol: is it the left, is it the right of any pair? Most neighbours are told apart by these."""
+        a, b = self.pairs >> 32, self.pairs & 0xFFFFFFFF
+        sides = np.zeros((2, _PAIR_NAME + _ROUNDS * NAMES), bool)
+        sides[0, a], sides[1, b] = True, True
+        return sides[0], sides[1]
+
+    def __reduce__(self):
+        return Names, (self.pairs, self.names)
+
+
 def _context(r: int) -> int:
     """Characters to either side that decide a boundary of round r: two for runs, then the longest symbol of every round before."""
     return 2**r + 2 if r else 0
@@ -92,10 +116,16 @@ def _layout(min_chars: int) -> tuple[int, int]:
     return 0, min_chars
 
 
-def _pairs(start: np.ndarray, symbol: np.ndarray, doc_start: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
-    """All neighbours that round r may join: where the right one stands among the symbols, and the pair as one number."""
-    stop = np.append(start[1:], len(doc_start))
-    right = 1 + np.flatnonzero((stop[1:] - start[:-1] <= 2**r) & ~doc_start[start[1:]])
+def _pairs(start: np.ndarray, symbol: np.ndarray, doc_start: np.ndarray, r: int, among: Names | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours that round r may join (``among``: names may have been given to): where the right one stands among the
+    symbols, and the pair as one number."""
+    if among is None:
+        right = np.arange(1, len(start))
+    else:
+        left_side, right_side = among.sides
+        right = 1 + np.flatnonzero(left_side[symbol[:-1]] & right_side[symbol[1:]])
+    after = np.append(start, len(doc_start))[right + 1]
+    right = right[(after - start[right - 1] <= 2**r) & ~doc_start[start[right]]]
     return right, symbol[right - 1] << 32 | symbol[right]
 
 
@@ -104,16 +134,16 @@ def parse(chars: np.ndarray, doc_start: np.ndarray, tables: list[Names]) -> list
     n = len(chars)
     start, symbol = np.arange(n), chars.astype(np.int64)
     levels = [(start, symbol)]
-    for r, (pairs, names) in enumerate(tables, 1):
+    for r, named in enumerate(tables, 1):
         if r == 1:
             start, symbol = _named_runs(chars, doc_start)
-        right, key = _pairs(start, symbol, doc_start, r)
-        if len(pairs):
-            at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-            hit = pairs[at] == key
+        if len(named.pairs):
+            right, key = _pairs(start, symbol, doc_start, r, named)
+            at = np.minimum(np.searchsorted(named.pairs, key), len(named.pairs) - 1)
+            hit = named.pairs[at] == key
             right, at = right[hit], at[hit]
             symbol = symbol.copy()
-            symbol[right - 1] = names[at]
+            symbol[right - 1] = named.names[at]
             keep = np.ones(len(start), bool)
             keep[right] = False
             start, symbol = start[keep], symbol[keep]
@@ -179,7 +209,7 @@ def name_pairs(texts: DataFrame, tables: list[Names]) -> Names:
     top = [(p >> 32, p & 0xFFFFFFFF, n) for p, n in counts.orderBy(F.desc("n"), "pair").limit(NAMES).collect()]
     left = maximum_cut(top)
     joined = np.sort(np.array([a << 32 | b for a, b, _ in top if a != b and a in left and b not in left], np.int64))
-    return joined, np.arange(len(joined), dtype=np.int64) + (_PAIR_NAME + (r - 1) * NAMES)
+    return Names(joined, np.arange(len(joined), dtype=np.int64) + (_PAIR_NAME + (r - 1) * NAMES))
 
 
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:

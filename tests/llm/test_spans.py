@@ -92,7 +92,7 @@ def test_rounds_name_globally_and_decide_the_symbols(spark):
             assert spelled.setdefault(int(s), chars[a:b].tobytes()) == chars[a:b].tobytes()
     with_rounds = len(spans.high_symbols(chars, offsets, doc_start, tables, spell)[0])
     # without the rounds every character begins a symbol
-    without = len(spans.high_symbols(chars, offsets, doc_start, [(np.zeros(0, np.int64),) * 2] * n, spell)[0])
+    without = len(spans.high_symbols(chars, offsets, doc_start, [spans.Names(np.zeros(0, np.int64), np.zeros(0, np.int64))] * n, spell)[0])
     assert with_rounds < 0.3 * without
     # names counted over other texts cut otherwise
     other = rounds(spark, [t[::-1] for t in texts], n)
