@@ -6,17 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferial.llm.leakage import find_leaks
-from ferial.llm.lookalike import lookalike_pairs
+from ferial.llm.lookalike import lookalike_classes, lookalike_pairs
 from ferial.llm.mixture import mixture, shares
 from ferial.llm.sentences import split_sentences
 from ferial.llm.spans import shared_chars
 from ferial.runtime import table
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = table(spark, sf_dir, "segments").select(F.col("seg_id").alias("id"), "text")
     lines = table(spark, sf_dir, "psalter_lines").select(F.col("line_id").alias("id"), "text")
-    return lookalike_pairs(segments.unionByName(lines), "id", "text")
+    return segments.unionByName(lines)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_pairs(_lines(spark, sf_dir), "id", "text")
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes behind the pairs: one row per row, whatever the size of a class."""
+    return lookalike_classes(_lines(spark, sf_dir), "id", "text")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +49,6 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_found, p7_found, p8_mixture, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p6_found, p7_found, p8_mixture, p8_shares, p9_found)}
 
 ORACLE: dict[str, str] = {}
