@@ -4,8 +4,9 @@ Every shard of training text gets a suffix array over its words (by doubling: ra
 finally ``min_words`` words). The suffixes of all test items are looked up in every shard by binary search at
 the same lengths, those that no longer occur dropping out at each. A hit gives all places in the
 shard by its interval of the suffix array; hits that continue each other are one longer match. One
-pass over the corpus, no shuffle of text. Items go to the shards in blocks of a fixed number of words
-(a stated query set, its size checked), so that what is broadcast is bounded whatever the item set.
+pass over the corpus, no shuffle of text. Items come in blocks of a bounded number of characters (a stated query set): a
+shard is indexed once, and the blocks are looked up in it one after the other, so that the driver and a worker hold one block at
+a time whatever the item set. Words are compared by 64-bit names.
 """
 
 from __future__ import annotations
@@ -92,12 +93,30 @@ def _suffixes(begin: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return first + np.arange(int(size.sum())), item
 
 
-def match_block(texts: list[str], item_names: np.ndarray, item_begin: np.ndarray, min_words: int) -> dict[str, np.ndarray]:
-    """Per text and item of a block: the longest match in words, where it begins in the text and in the item."""
-    names, begin = words(texts)
+class Shard:
+    """A block of texts with the suffix array of its words."""
+
+    def __init__(self, texts: list[str], min_words: int):
+        names, self.begin = words(texts)
+        self.min_words = min_words
+        self.index = SuffixArray(_with_ends(names, self.begin), min_words)
+
+    def matches(self, item_names: np.ndarray, item_begin: np.ndarray) -> dict[str, np.ndarray]:
+        """Per text and item: the longest match in words, where it begins in the text and in the item."""
+        return _matches(self.index, self.begin, item_names, item_begin, self.min_words)
+
+
+def _value(block, keep: bool):
+    """What a broadcast holds; unless ``keep``, the worker forgets it and reads it from its disk again for the next shard."""
+    value = block.value
+    if not keep and hasattr(block, "_value"):
+        del block._value
+    return value
+
+
+def _matches(sa: SuffixArray, begin: np.ndarray, item_names: np.ndarray, item_begin: np.ndarray, min_words: int) -> dict[str, np.ndarray]:
     suffix, item = _suffixes(item_begin, min_words)
     # an item may not run on into the next: the lookup of whole lengths takes care, as suffixes stop in time
-    sa = SuffixArray(_with_ends(names, begin), min_words)
     shift = np.arange(len(begin) - 1)  # one end mark after each text
     text_at = begin[:-1] + shift
     by_suffix = np.full(int(suffix.max()) + 1 if len(suffix) else 1, -1, np.int64)
@@ -148,32 +167,34 @@ def find_leaks(docs: DataFrame, doc_id: str, text_col: str, items: DataFrame, it
     blocks = -(-total // ITEM_BLOCK_CHARS)
     src = docs.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text_col}`").alias("t")).where(F.length("t") > 0)
     dtype, itype = src.schema["d"].dataType.simpleString(), asked.schema["i"].dataType.simpleString()
-    out = None
+    shared = []
     for k in range(max(blocks, 1)):
         part = asked.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k) if blocks > 1 else asked
         rows = part.orderBy("i").toArrow()
         names, begin = words(rows.column("t").to_pylist())
-        shared = spark.sparkContext.broadcast((np.maximum(names, 1), begin, rows.column("i").combine_chunks()))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            item_names, item_begin, ids = shared.value
-            for b in batches:
-                texts = b.column(1).to_pylist()
-                at = 0
-                while at < len(texts):
-                    end, size = at, 0
-                    while end < len(texts) and (end == at or size + len(texts[end]) <= _BLOCK_CHARS):
-                        size += len(texts[end])
-                        end += 1
-                    m = match_block(texts[at:end], item_names, item_begin, min_words)
+        # the driver keeps a block on disk only
+        shared.append(spark.sparkContext.broadcast((np.maximum(names, 1), begin, rows.column("i").combine_chunks())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            at = 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and (end == at or size + len(texts[end]) <= _BLOCK_CHARS):
+                    size += len(texts[end])
+                    end += 1
+                shard = Shard(texts[at:end], min_words)
+                for block in shared:
+                    item_names, item_begin, ids = _value(block, keep=len(shared) == 1)
+                    m = shard.matches(item_names, item_begin)
                     yield pa.RecordBatch.from_arrays(
                         [b.column(0).take(pa.array(m["text"] + at)), ids.take(pa.array(m["item"])), *[pa.array(m[c].astype(np.int64)) for c in ("words", "doc_word", "item_word")]],
                         names=["d", "i", "words", "doc_word", "item_word"],
                     )
-                    at = end
+                at = end
 
-        found = src.mapInArrow(run, f"d {dtype}, i {itype}, words bigint, doc_word bigint, item_word bigint")
-        out = found if out is None else out.unionByName(found)
+    out = src.mapInArrow(run, f"d {dtype}, i {itype}, words bigint, doc_word bigint, item_word bigint")
     return out.withColumnsRenamed({"d": doc_id, "i": item_id})
 
 

@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferial.runtime import checkpoint, small
+from ferial.runtime import broadcast_below, checkpoint, small, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: the split before merges that goes with the rank files
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _KNAPSACK = 1 << 16
+_CHOICES = 200_000  # rows of the choice table that may be broadcast
 
 
 @cache
@@ -152,9 +153,9 @@ def mixture(
         histogram.setdefault(r[0], {})[r[1]] = r[2]
     budgets = plan(histogram, wanted, total)
     rows = [(s, n, b.repeats + b.extra.get(n, 0) // k, b.extra.get(n, 0) % k) for s, b in budgets.items() for n, k in histogram[s].items()]
-    choice = small(spark, rows, "source string, tokens bigint, repeats bigint, extra bigint")
+    choice = written(small(spark, rows, "source string, tokens bigint, repeats bigint, extra bigint"))
 
-    chosen = sizes.join(choice, ["source", "tokens"])
+    chosen = sizes.join(broadcast_below(choice, F.lit(1), _CHOICES), ["source", "tokens"])
     order = F.xxhash64(F.lit(seed), F.col("id"))
     part = chosen.where("extra > 0").select("id", "source", "tokens", "repeats", "extra", order.alias("h"))
     part = part.withColumn("bucket", F.shiftrightunsigned("h", 54))  # 1,024 of them, in the order of the hash
