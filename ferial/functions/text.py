@@ -27,6 +27,11 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, r"<[^>]+>", "")
 
 
+def strip(c: Column) -> Column:
+    """``c`` without blanks of any kind and line breaks at its ends."""
+    return F.regexp_replace(c, "^[\\s\\x0B\\p{Z}\uFEFF]+|[\\s\\x0B\\p{Z}\uFEFF]+$", "")
+
+
 def squash(c: Column) -> Column:
     """Every run of white space (no-break spaces too) one space, none at the ends."""
     return F.trim(F.regexp_replace(c, _SPACE, " "))

@@ -24,14 +24,17 @@ def with_stats(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame:
     return df.join(s, same).drop(*[f"__k{i}" for i in range(len(keys))])
 
 
-def peer_zscore(df: DataFrame, peer: list[str], value: str, least: float = 2.0) -> DataFrame:
-    """Rows whose value lies ``least`` population deviations or more from their peers' mean, with ``z`` to one decimal.
+def peer_zscore(df: DataFrame, peer: list[str], value: str, most: float = 2.0) -> DataFrame:
+    """Rows whose value lies more than ``most`` population deviations from their peers' mean, with ``z`` to one decimal; a value of 0
+    among peers with a positive mean always stands out (``z`` is null), any other 0 never.
 
-    Alone, or where all are equal, nothing lies apart.
+    Alone, or where all are equal, nothing lies apart; nulls are no peers.
     """
-    out = with_stats(df, peer, __n=F.count(value), __m=F.avg(value), __s=F.stddev_pop(value))
-    z = F.when((F.col("__n") > 1) & (F.col("__s") > 0), F.abs(F.col(value) - F.col("__m")) / F.col("__s"))
-    return out.withColumn("z", F.round(z, 1)).where(F.col("z") >= least).drop("__n", "__m", "__s")
+    out = with_stats(df, peer, __n=F.count(value), __m=F.avg(value), __s=F.stddev_pop(value)).where("__n > 1 AND __s > 0")
+    z = F.abs(F.col(value) - F.col("__m")) / F.col("__s")
+    zero = F.col(value) == 0
+    out = out.where((zero & (F.col("__m") > 0)) | (~zero & (z > most)))
+    return out.withColumn("z", F.when(~zero, F.round(z, 1))).drop("__n", "__m", "__s")
 
 
 def boolean_minority(df: DataFrame, peer: list[str], flag: str, most: int = 2) -> DataFrame:
@@ -50,11 +53,27 @@ def singletons(df: DataFrame, unit: str, text: str) -> DataFrame:
     return df.groupBy(text).agg(F.min(unit).alias(unit), F.max(unit).alias("__m")).where(F.col(unit) == F.col("__m")).drop("__m")
 
 
-def penalty_scores(findings: DataFrame, exempt: DataFrame, unit: str = "form") -> DataFrame:
-    """``unit, score``: 100 less the penalties of its tiers, at least 0; findings in ``exempt (unit, rule)`` cost nothing."""
-    cost = F.coalesce(*[F.when(F.col("tier") == t, p) for t, p in PENALTY.items()], F.lit(0))
-    kept = findings.join(exempt.select(unit, "rule").distinct(), [unit, "rule"], "left_anti")
-    return kept.groupBy(unit).agg(F.greatest(F.lit(0), 100 - F.sum(cost)).cast("bigint").alias("score"))
+def penalty_scores(failures: DataFrame, outliers: DataFrame | None = None, exempt: DataFrame | None = None, unresolved: DataFrame | None = None, unit: str = "form") -> DataFrame:
+    """``unit, score``: 100 less all penalties of a unit, at least 0.
+
+    ``failures (unit, tier)`` cost by tier; ``outliers (unit, metric, z, flag)`` by their distance (15 from 3.0 on, else 5, also
+    where z is null because the value is 0) or, where ``flag`` is true, 5 for standing alone with it, nothing if
+    ``exempt (unit, metric)`` names them; a day that did not resolve or a render that failed (``unresolved (unit)``) 100. A
+    unit whose findings are all exempt scores 100; findings without a unit count for ``__global__``.
+    """
+    key = F.coalesce(F.col(unit), F.lit("__global__")).alias(unit)
+    tier = F.coalesce(*[F.when(F.col("tier") == t, p) for t, p in PENALTY.items()], F.lit(0))
+    parts = [failures.select(key, tier.alias("cost"))]
+    if outliers is not None:
+        known = (exempt if exempt is not None else outliers.limit(0)).select(F.col(unit).alias("__u"), F.col("metric").alias("__m")).distinct().withColumn("__x", F.lit(True))
+        cost = F.when(F.coalesce("__x", F.lit(False)), 0).when(F.coalesce(F.col("z") >= 3.0, F.lit(False)) & ~F.col("flag"), 15).otherwise(5)
+        parts.append(outliers.join(known, (F.col(unit) == F.col("__u")) & (F.col("metric") == F.col("__m")), "left").select(key, cost.alias("cost")))
+    if unresolved is not None:
+        parts.append(unresolved.select(key, F.lit(100).alias("cost")))
+    total = parts[0]
+    for p in parts[1:]:
+        total = total.unionByName(p)
+    return total.groupBy(unit).agg(F.greatest(F.lit(0), 100 - F.sum("cost")).cast("bigint").alias("score"))
 
 
 def overall(scores: DataFrame) -> DataFrame:
@@ -183,28 +202,6 @@ class Rule:
     broken: Column
 
 
-def _has(section: str, test: Column | None = None) -> Column:
-    here = F.col("section") == section
-    return F.coalesce(F.bool_or(here & test if test is not None else here), F.lit(False))
-
-
-def coherence_rules() -> list[Rule]:
-    """The structural rules that flattened segments alone decide; callers add their own ``Rule``s to the list."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    spoken = F.col("kind").isin("leader", "response")
-    return [
-        Rule("dismissal-has-amen", 1, _has("dismissal") & ~_has("dismissal", text.contains("Amen"))),
-        Rule("no-stray-space-before-period", 1, F.coalesce(F.bool_or(text.rlike(r"Amen \.|\w \.$")), F.lit(False))),
-        Rule("non-empty-responses", 1, F.coalesce(F.bool_or((F.col("kind") == "response") & (F.length(F.trim(text)) < 3)), F.lit(False))),
-        Rule("opening-has-leader-and-response", 1, ~(_has("opening_responses", F.col("kind") == "leader") & _has("opening_responses", F.col("kind") == "response"))),
-        Rule("no-empty-segments", 1, F.coalesce(F.bool_or(F.trim(text) == "N"), F.lit(False))),
-        Rule("canticle-has-verse-content", 1, _has("canticle") & ~_has("canticle", F.col("kind") == "leader")),
-        Rule("canticle-has-verse-breaks", 2, _has("canticle") & ~_has("canticle", (F.col("kind") == "leader") & text.contains("\n"))),
-        Rule("intercessions-nonempty", 2, _has("intercessions") & ~_has("intercessions", (F.length(F.trim(text)) > 2) & (F.trim(text) != "N"))),
-        Rule("no-prose-line-breaks", 2, F.coalesce(F.bool_or(spoken & ~F.col("section").isin("canticle", "psalm", "doxology") & F.trim(text).contains("\n")), F.lit(False))),
-    ]
-
-
 def run_rules(segments: DataFrame, unit: str, rules: list[Rule]) -> DataFrame:
     """``unit, rule, tier`` of all rules that fire; one aggregation for all of them."""
     out = segments.groupBy(unit).agg(*[r.broken.alias(f"r{i}") for i, r in enumerate(rules)])
@@ -220,15 +217,24 @@ def required_missing(have: DataFrame, unit: str, section: str, required: list[st
 
 
 class GateError(ValueError):
-    """Blocking findings; nothing was written."""
+    """Blocking findings; nothing was written. ``findings`` holds all of them as JSON, the message the first hundred."""
 
+    def __init__(self, findings: DataFrame):
+        super().__init__(f"{findings.count()} findings: " + "; ".join(r[0] for r in findings.orderBy("finding").take(100)))
+        self.findings = findings
 
-def gate(findings: list[DataFrame]) -> None:
-    """Raises if any of the findings has a row; all are looked at before anything is written."""
+
+def all_findings(findings: list[DataFrame]) -> DataFrame | None:
+    """``finding``: every row of every audit as JSON."""
     total = None
     for f in findings:
         f = f.select(F.to_json(F.struct("*")).alias("finding"))
         total = f if total is None else total.unionByName(f)
-    rows = [] if total is None else total.orderBy("finding").limit(100).collect()
-    if rows:
-        raise GateError("; ".join(r[0] for r in rows))
+    return total
+
+
+def gate(findings: list[DataFrame]) -> None:
+    """Raises if any of the findings has a row; all are looked at before anything is written."""
+    total = all_findings(findings)
+    if total is not None and not total.isEmpty():
+        raise GateError(total)

@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferial.operators.hot import row_at
 from ferial.runtime import small
 
 # fixed values: the periods by the bound that opens them, in order of the year. Ordinary time opens the day after Trinity.
@@ -44,44 +45,54 @@ def season_intervals(bounds: DataFrame, form: bool = False) -> DataFrame:
 
 
 def as_of(df: DataFrame, at: str, intervals: DataFrame, value: str, default: Column | None = None, max_rows: int = 10_000) -> DataFrame:
-    """Each row with the ``value`` of the interval ``[start, end)`` that holds ``at``; ``default`` outside all.
+    """Each row with the ``value`` of the interval ``[start, end)`` (a null end is open) that opened last at or before ``at``.
 
-    A table of at most ``max_rows`` intervals is broadcast (its size is counted); beyond that the intervals are
-    laid among the rows and carried forward by a window over ``at``'s day buckets, without a nested loop.
+    An interval is overtaken by the next one that opens, whether it has ended or not: where the last one opened has ended, or none
+    has opened, the row has ``default``. Of intervals that open together the one that ends last counts (ties: the greatest
+    value); a null start opens nothing. A table of at most ``max_rows`` intervals is broadcast (its size is counted); beyond
+    that they are laid among the rows and carried forward, with the same result.
     """
     fill = default if default is not None else F.lit(None)
-    if intervals.limit(max_rows + 1).count() <= max_rows:
-        iv = F.broadcast(intervals.select(F.col("start").alias("__s"), F.col("end").alias("__e"), F.col(value).alias("__v")))
-        hit = (F.col(at) >= F.col("__s")) & (F.col("__e").isNull() | (F.col(at) < F.col("__e")))
-        return df.join(iv, hit, "left").withColumn(value, F.coalesce("__v", fill)).drop("__s", "__e", "__v")
-    return as_of_sorted(df, at, intervals, value, fill)
+    if intervals.limit(max_rows + 1).count() > max_rows:
+        return as_of_sorted(df, at, intervals, value, fill)
+    w = Window.partitionBy(F.lit(0)).orderBy("__s")  # at most max_rows
+    iv = _one_per_start(intervals, value).withColumn("__next", F.lead("__s").over(w))
+    kept = [c for c in df.columns if c != value]
+    hit = (F.col(f"`{at}`") >= F.col("__s")) & (F.col("__next").isNull() | (F.col(f"`{at}`") < F.col("__next")))
+    open_ = F.col("__s").isNotNull() & (F.col("__e").isNull() | (F.col(f"`{at}`") < F.col("__e")))
+    out = df.join(F.broadcast(iv), hit, "left").withColumn("__v", F.coalesce(F.when(open_, F.col("__v")), fill))
+    return out.select(*[F.col(f"`{c}`") for c in kept], F.col("__v").alias(value))
+
+
+def _one_per_start(intervals: DataFrame, value: str) -> DataFrame:
+    last = F.max(F.struct(F.col("end").isNull().alias("o"), F.col("end").alias("e"), F.col(value).alias("v"))).alias("m")
+    one = intervals.where(F.col("start").isNotNull()).groupBy(F.col("start").alias("__s")).agg(last)
+    return one.select("__s", F.col("m.e").alias("__e"), F.col("m.v").alias("__v"))
 
 
 def as_of_sorted(df: DataFrame, at: str, intervals: DataFrame, value: str, fill: Column) -> DataFrame:
-    """As-of join of two large tables: both are cut at quantiles of ``at``, and the last interval is carried forward within
-    each part. What opens before a part and is still open there is found by one aggregate per part, so parts work alone.
+    """``as_of`` of two large tables: both are cut at quantiles of ``at``, and the last interval is carried forward within
+    each part. What opened last before a part is found by one aggregate per part, so parts work alone.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = df.select(F.percentile_approx(at, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    limits = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast(f"array<{df.schema[at].dataType.simpleString()}>")
+    kind = df.schema[at].dataType
+    limits = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast(f"array<{kind.simpleString()}>")
     part = F.size(F.filter(limits, lambda c: c <= F.col("__at")))
-    kind, none = df.schema[at].dataType, F.lit(None)
-    row = F.struct(*[F.col(c) for c in df.columns])
-    rows = df.select(row.alias("__row"), F.col(at).alias("__at"), F.lit(1).alias("__kind"), none.cast(intervals.schema[value].dataType).alias("__v"), none.cast(kind).alias("__e"))
-    marks = intervals.select(
-        none.cast(rows.schema["__row"].dataType).alias("__row"), F.col("start").cast(kind).alias("__at"), F.lit(0).alias("__kind"), F.col(value).alias("__v"), F.col("end").cast(kind).alias("__e")
-    )
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(f"`{at}`").alias("__at"), F.lit(1).alias("__kind"))
+    marks = _one_per_start(intervals, value).select(F.col("__s").cast(kind).alias("__at"), F.lit(0).alias("__kind"), F.struct(F.col("__v"), F.col("__e").cast(kind).alias("__e")).alias("__m"))
     marks = marks.withColumn("__part", part)
-    both = rows.withColumn("__part", part).unionByName(marks)
-    last = marks.groupBy("__part").agg(F.max_by(F.struct("__v", "__e"), "__at").alias("m"))
+    both = rows.withColumn("__part", part).unionByName(marks, allowMissingColumns=True)
+    last = marks.groupBy("__part").agg(F.max_by("__m", "__at").alias("m"))
     every = df.sparkSession.range(len(set(cuts)) + 1).select(F.col("id").cast("int").alias("__part")).join(last, "__part", "left")
     earlier = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     carried = every.select("__part", F.last("m", ignorenulls=True).over(earlier).alias("__before"))
     w = Window.partitionBy("__part").orderBy("__at", "__kind")
-    held = F.coalesce(F.last(F.when(F.col("__kind") == 0, F.struct("__v", "__e")), ignorenulls=True).over(w), F.col("__before"))
-    out = both.join(F.broadcast(carried), "__part", "left").withColumn("__m", held).where("__kind = 1")
-    open_ = F.col("__m").isNotNull() & (F.col("__m.__e").isNull() | (F.col("__at") < F.col("__m.__e")))
-    return out.select("__row.*", F.coalesce(F.when(open_, F.col("__m.__v")), fill).alias(value))
+    held = F.coalesce(F.last("__m", ignorenulls=True).over(w), F.col("__before"))
+    out = both.join(F.broadcast(carried), "__part", "left").withColumn("__held", held).where("__kind = 1")
+    open_ = F.col("__held").isNotNull() & (F.col("__held.__e").isNull() | (F.col("__at") < F.col("__held.__e")))
+    kept = [F.col(f"__row.`{c}`").alias(c) for c in df.columns if c != value]
+    return out.select(*kept, F.coalesce(F.when(open_, F.col("__held.__v")), fill).alias(value))
 
 
 def form_key(season: Column, office: Column, weekday: Column) -> Column:
@@ -111,7 +122,5 @@ def nth_occurrence(df: DataFrame, key: str, date: str, upto: int) -> DataFrame:
 
 
 def middle_pick(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The row at place ⌊n/2⌋ of every key."""
-    w = Window.partitionBy(key).orderBy(*order)
-    n = F.count("*").over(Window.partitionBy(key))
-    return df.withColumn("__n", n).withColumn("__r", F.row_number().over(w) - 1).where("__r = floor(__n / 2)").drop("__n", "__r")
+    """The row at place ⌊n/2⌋ of every key, whatever its size; null keys are one key. ``order`` begins with a number, date or time."""
+    return row_at(df, [key], order, F.floor(F.col("__n") / 2))

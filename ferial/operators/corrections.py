@@ -7,45 +7,59 @@ from pyspark.sql import functions as F
 
 from ferial.functions.text import occurrences
 
+#: corrections of every row (``*``) that go to a task at once
 MAX_CORRECTIONS = 100_000
 
 
 class CorrectionError(ValueError):
-    """Corrections that do not match; carries the misses as rows."""
+    """Corrections that do not match; ``misses`` holds all of them as rows, the message the first five."""
 
-    def __init__(self, misses: list):
-        super().__init__(f"{len(misses)} corrections did not match, first: {misses[:5]}")
+    def __init__(self, misses: DataFrame):
+        super().__init__(f"{misses.count()} corrections did not match, first: {[tuple(r) for r in misses.orderBy('id').take(5)]}")
         self.misses = misses
 
 
+def _blocks(corrections: DataFrame, key: str) -> list[DataFrame]:
+    """The corrections in blocks of rising ``ord`` with at most ``MAX_CORRECTIONS`` of every row in each (more only where they share one ``ord``)."""
+    anywhere = corrections.where(F.col(key) == "*")
+    n = anywhere.count()
+    if n <= MAX_CORRECTIONS:
+        return [corrections]
+    many = -(-n // MAX_CORRECTIONS)
+    # few and evenly spread: the cut points only decide where a block ends
+    cuts = sorted(set(anywhere.select(F.percentile_approx("ord", [i / many for i in range(1, many)] or [0.5], 10_000)).first()[0]))
+    ends = [None, *cuts, None]
+    inside = lambda a, b: (F.lit(True) if a is None else F.col("ord") > a) & (F.lit(True) if b is None else F.col("ord") <= b)
+    return [corrections.where(inside(a, b)) for a, b in zip(ends, ends[1:])]
+
+
 def _targets(rows: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
-    """Rows with the corrections that aim at them: by ``key``, or at every row where it is ``*``.
-
-    The manifest is a stated set, its size checked; ``*`` never reaches keys that begin with an underscore.
-    """
-    n = corrections.limit(MAX_CORRECTIONS + 1).count()
-    if n > MAX_CORRECTIONS:
-        raise ValueError(f"more than {MAX_CORRECTIONS} corrections; apply them in blocks")
-    c = F.broadcast(corrections.select(F.col("id").alias("c_id"), F.col(key).alias("c_key"), "ord", "old", "new"))
+    """Rows with the corrections that aim at them: by ``key``, or at every row where it is ``*``, which never reaches keys
+    that begin with an underscore. Those of every row are a block (``_blocks``), so their number is bounded."""
+    c = corrections.select(F.col("id").alias("c_id"), F.col(key).alias("c_key"), "ord", "old", "new")
     named = rows.join(c, F.col(key) == F.col("c_key"))
-    anywhere = rows.join(F.broadcast(corrections.where(F.col(key) == "*").select(F.col("id").alias("c_id"), F.col(key).alias("c_key"), "ord", "old", "new")), ~F.col(key).startswith("_"))
+    anywhere = rows.join(F.broadcast(c.where("c_key = '*'")), ~F.col(key).startswith("_"))
     return named.unionByName(anywhere)
 
 
 def apply_replacements(rows: DataFrame, corrections: DataFrame, key: str, row_id: str, text: str) -> DataFrame:
     """``rows`` with ``text`` corrected by ``corrections (id, <key>, ord, old, new)``: every occurrence of ``old``, one
     correction after the other, so that a later one sees what an earlier one wrote. ``row_id`` identifies a row."""
-    aimed = _targets(rows, corrections, key)
-    steps = aimed.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("ord", "old", "new"))).alias("__steps"))
-    out = rows.join(steps, row_id, "left")
-    fixed = F.aggregate(F.col("__steps"), F.col(text), lambda acc, s: F.replace(acc, s["old"], s["new"]))
-    return out.withColumn(text, F.when(F.col("__steps").isNull(), F.col(text)).otherwise(fixed)).drop("__steps")
+    for block in _blocks(corrections, key):
+        steps = _targets(rows, block, key).groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("ord", "old", "new"))).alias("__steps"))
+        out = rows.join(steps, row_id, "left")
+        fixed = F.aggregate(F.col("__steps"), F.col(text), lambda acc, s: F.replace(acc, s["old"], s["new"]))
+        rows = out.withColumn(text, F.when(F.col("__steps").isNull(), F.col(text)).otherwise(fixed)).drop("__steps")
+    return rows
 
 
 def occurrence_check(rows: DataFrame, corrections: DataFrame, key: str, text: str) -> DataFrame:
     """Per correction ``id, wanted, found, outcome``: ok, miss (none found) or count (another number than ``count``, 1 by default)."""
-    aimed = _targets(rows, corrections, key)
-    hits = aimed.groupBy("c_id").agg(F.sum(occurrences(F.coalesce(F.col(text), F.lit("")), F.col("old"))).alias("found"))
+    found_in = F.sum(occurrences(F.coalesce(F.col(text), F.lit("")), F.col("old"))).alias("found")
+    hits = None
+    for block in _blocks(corrections, key):
+        part = _targets(rows, block, key).groupBy("c_id").agg(found_in)
+        hits = part if hits is None else hits.unionByName(part)
     out = corrections.join(hits, F.col("id") == F.col("c_id"), "left")
     wanted, found = F.coalesce(F.col("count"), F.lit(1)).cast("bigint"), F.coalesce("found", F.lit(0)).cast("bigint")
     outcome = F.when(found == 0, "miss").when(found != wanted, "count").otherwise("ok")
@@ -54,9 +68,9 @@ def occurrence_check(rows: DataFrame, corrections: DataFrame, key: str, text: st
 
 def apply_checked(rows: DataFrame, corrections: DataFrame, key: str, row_id: str, text: str) -> DataFrame:
     """Applies all or none: every correction is judged before anything is returned."""
-    bad = occurrence_check(rows, corrections, key, text).where("outcome <> 'ok'").orderBy("id").limit(100).collect()
-    if bad:
-        raise CorrectionError([tuple(r) for r in bad])
+    bad = occurrence_check(rows, corrections, key, text).where("outcome <> 'ok'")
+    if not bad.isEmpty():
+        raise CorrectionError(bad)
     return apply_replacements(rows, corrections, key, row_id, text)
 
 

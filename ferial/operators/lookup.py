@@ -5,15 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: keys that are broadcast and compared one by one; beyond that candidates come from an equi join on three letters
 MAX_KEYS = 10_000
 
 
-def _small(keys: DataFrame, what: str) -> DataFrame:
-    """A stated set that goes to every task, its size counted first."""
-    n = keys.limit(MAX_KEYS + 1).count()
-    if n > MAX_KEYS:
-        raise ValueError(f"{what}: more than {MAX_KEYS} keys; split the set into blocks")
-    return F.broadcast(keys)
+def _holding(hay: DataFrame, text: str, needles: DataFrame, part: str, hold: Column) -> DataFrame:
+    """Pairs of a ``hay`` row and a ``needles`` row that meet ``hold``, a test that implies that ``part`` stands in ``text`` without
+    regard to case. Neither side may have the other's columns."""
+    if not _many(needles):
+        return hay.join(F.broadcast(needles), hold)
+    low, small_ = F.lower(text), F.lower(part)
+    size = F.least(F.length(small_), F.lit(3))
+    keyed = needles.withColumn("__g", F.substring(small_, 1, 3)).withColumn("__z", size)
+    # only the sizes that occur: three, and less for parts as short
+    sizes = sorted(r[0] for r in keyed.select("__z").distinct().collect() if r[0] is not None)
+
+    def cut(z: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (z - 1), F.lit(1))), lambda i: F.substr(low, i, F.lit(z)))
+
+    grams = F.flatten(F.array(*[cut(z) for z in sizes]))
+    found = hay.withColumn("__g", F.explode(F.array_distinct(grams))) if sizes else hay.withColumn("__g", F.lit(None).cast("string"))
+    return found.join(keyed.drop("__z"), "__g").where(hold).drop("__g")
+
+
+def _many(keys: DataFrame) -> bool:
+    return keys.limit(MAX_KEYS + 1).count() > MAX_KEYS
 
 
 def whole_name_at(name: Column, key: Column) -> Column:
@@ -26,13 +42,15 @@ def ranked_contains(names: DataFrame, name: str, keys: DataFrame, key: str) -> D
     """Per distinct name the key it is known by, as ``name, key, tier``.
 
     Tier 1: equal without regard to case; 2: the key is a whole name in it (earliest, longest, least); 3: it is
-    part of the key (shortest, least); no row where none holds. Keys are a stated small set.
+    part of the key (shortest, least); no row where none holds. Null and empty names and keys take no part.
     """
-    k = _small(keys.select(F.col(key).alias("__k")).where("__k IS NOT NULL").distinct(), "ranked_contains")
-    n = names.select(F.col(name).alias("__n")).where("__n IS NOT NULL").distinct()
+    k = keys.select(F.col(key).alias("__k")).where("__k <> ''").distinct()
+    n = names.select(F.col(name).alias("__n")).where("__n <> ''").distinct()
     at = whole_name_at(F.col("__n"), F.col("__k"))
     tier = F.when(F.lower("__n") == F.lower("__k"), 1).when(F.col("at") > 0, 2).when(F.contains(F.lower("__k"), F.lower("__n")), 3)
-    hits = n.join(k, (at > 0) | F.contains(F.lower(F.col("__k")), F.lower(F.col("__n")))).withColumn("at", at).withColumn("tier", tier)
+    inside = _holding(n, "__n", k, "__k", at > 0)
+    around = _holding(k, "__k", n, "__n", F.contains(F.lower("__k"), F.lower("__n"))) if _many(k) else n.join(F.broadcast(k), F.contains(F.lower("__k"), F.lower("__n")))
+    hits = inside.unionByName(around).withColumn("at", at).withColumn("tier", tier)
     size = F.length("__k")
     order = F.struct(F.col("tier"), F.when(F.col("tier") == 2, F.col("at")).otherwise(0), F.when(F.col("tier") == 2, -size).otherwise(size), F.col("__k"))
     best = hits.groupBy("__n").agg(F.min(order).alias("b"))
@@ -41,10 +59,10 @@ def ranked_contains(names: DataFrame, name: str, keys: DataFrame, key: str) -> D
 
 def distinct_people(names: DataFrame, name: str, keys: DataFrame, key: str) -> DataFrame:
     """The keys that occupy different parts of a name: overlapping hits count as the earliest, longest one."""
-    k = _small(keys.select(F.col(key).alias("__k")).distinct(), "distinct_people")
-    n = names.select(F.col(name).alias("__n")).distinct()
+    k = keys.select(F.col(key).alias("__k")).where("__k <> ''").distinct()
+    n = names.select(F.col(name).alias("__n")).where("__n <> ''").distinct()
     at = whole_name_at(F.col("__n"), F.col("__k"))
-    hits = n.join(k, at > 0).withColumn("at", at).withColumn("end", at + F.length("__k"))
+    hits = _holding(n, "__n", k, "__k", at > 0).withColumn("at", at).withColumn("end", at + F.length("__k"))
     return overlap_islands(hits, ["__n"], "at", "end", ["__k"]).select(F.col("__n").alias(name), F.col("__k").alias(key), "at")
 
 
@@ -57,9 +75,9 @@ def overlap_islands(df: DataFrame, part: list[str], start: str, end: str, ties:
 
 def longest_phrase(df: DataFrame, text: str, phrases: DataFrame, phrase: str, tag: str) -> DataFrame:
     """Each row with the tag of the longest phrase its text holds, null without one (ties: the least phrase)."""
-    k = _small(phrases.select(F.lower(phrase).alias("__p"), F.col(tag).alias("__t")), "longest_phrase")
+    k = phrases.select(F.lower(phrase).alias("__p"), F.col(tag).alias("__t")).where("__p <> ''")
     texts = df.select(F.col(text).alias("__x")).where("__x IS NOT NULL").distinct()
-    hits = texts.join(k, F.contains(F.lower("__x"), F.col("__p"))).groupBy("__x").agg(F.min(F.struct(-F.length("__p"), "__p", "__t")).alias("b"))
+    hits = _holding(texts, "__x", k, "__p", F.contains(F.lower("__x"), F.col("__p"))).groupBy("__x").agg(F.min(F.struct(-F.length("__p"), "__p", "__t")).alias("b"))
     best = hits.select("__x", F.col("b.__t").alias(tag))
     return df.join(best, df[text] == best["__x"], "left").drop("__x")
 

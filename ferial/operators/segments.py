@@ -6,30 +6,40 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferial.runtime import checkpoint
+from ferial.operators.hot import last_known
+from ferial.runtime import checkpoint, written
 
 
-def dereference(edges: DataFrame, roots: DataFrame, max_depth: int = 32) -> DataFrame:
-    """``root, key, depth, found``: all keys a root reaches through ``edges (key, target)``, each by its shortest way.
+def reach(edges: DataFrame) -> DataFrame:
+    """``key, target, depth``: every target that a key reaches through ``edges (key, target)``, by its shortest way.
 
-    Breadth first by equi joins, stopped by an empty frontier; pairs reached before are not followed again, so
-    cycles end. ``found`` tells whether the key exists (is the key of an edge row; leaves carry a null target).
-    Lineage is cut every fourth level.
+    Paths double in every round, so a chain of n links takes about log2(n) of them; cycles end because only the shortest
+    way between two keys is kept. It stops when a round reaches nothing new.
     """
-    links = edges.where("target IS NOT NULL").select("key", "target").distinct()
-    frontier = roots.select("root", F.col("key")).where("key IS NOT NULL").distinct().withColumn("depth", F.lit(1))
-    seen = frontier
-    for depth in range(2, max_depth + 1):
-        step = frontier.join(links, "key").select("root", F.col("target").alias("key")).distinct()
-        frontier = step.join(seen.select("root", "key"), ["root", "key"], "left_anti").withColumn("depth", F.lit(depth))
-        frontier = checkpoint(frontier)
-        if frontier.isEmpty():
+    links = edges.where("key IS NOT NULL AND target IS NOT NULL").select("key", "target").distinct().withColumn("depth", F.lit(1))
+    paths = written(links)
+    n = paths.count()
+    while n:
+        onward = paths.select(F.col("key").alias("target"), F.col("target").alias("far"), F.col("depth").alias("more"))
+        longer = paths.join(onward, "target").select("key", F.col("far").alias("target"), (F.col("depth") + F.col("more")).alias("depth"))
+        paths = written(paths.unionByName(longer).groupBy("key", "target").agg(F.min("depth").alias("depth")))
+        before, n = n, paths.count()
+        if n == before:
             break
-        seen = seen.unionByName(frontier)
-        if depth % 4 == 0:
-            seen = checkpoint(seen)
+    return paths
+
+
+def dereference(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``root, key, depth, found``: all keys a root reaches through ``edges (key, target)``, each by its shortest way.
+
+    What a key reaches is resolved once for all roots (``reach``), however deep; the roots join last. ``found`` tells
+    whether the key exists (is the key of an edge row; leaves carry a null target).
+    """
+    direct = roots.select("root", "key").where("key IS NOT NULL").distinct()
+    far = direct.join(reach(edges), "key").select("root", F.col("target").alias("key"), (F.col("depth") + 1).alias("depth"))
+    all_ = direct.withColumn("depth", F.lit(1)).unionByName(far).groupBy("root", "key").agg(F.min("depth").alias("depth"))
     known = edges.select("key").distinct().withColumn("__known", F.lit(True))
-    return seen.join(known, "key", "left").select("root", "key", "depth", F.coalesce("__known", F.lit(False)).alias("found"))
+    return all_.join(known, "key", "left").select("root", "key", "depth", F.coalesce("__known", F.lit(False)).alias("found"))
 
 
 def expand_shared(rows: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -115,9 +125,8 @@ def alternation_breaks(df: DataFrame, part: list[str], order: list[str], group:
 
 
 def forward_fill(df: DataFrame, part: list[str], order: list[str], marker: Column, name: str) -> DataFrame:
-    """``name``: the last marker at or before each row."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    return df.withColumn(name, F.last(marker, ignorenulls=True).over(w))
+    """``name``: the last marker at or before each row, in parts of any size. ``order`` begins with a number, date or time."""
+    return last_known(df, part, order, marker, name)
 
 
 def period_pick(df: DataFrame, part: list[str], order: list[str], marker: Column, header: Column, index: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferial.functions.dates import weekday
-from ferial.plans import forms, slate
+from ferial.plans import forms, office, slate
 from ferial.runtime import small
 
 QUERIES: dict = {}
@@ -64,11 +64,14 @@ _SPECS = [("a", "Advent", None), ("b", "Lent", 3), ("c", "Nowhere", None), ("d",
 
 
 @query(f"""
-    WITH x AS (SELECT DISTINCT cal_date, {slate._season_case(False)} AS season, CAST(dayofweek(cal_date) AS INT) AS weekday FROM {slate._CAL}),
+    WITH x AS (SELECT cal_date, {slate._season_case(True)} AS season, CAST(dayofweek(cal_date) AS INT) AS weekday FROM {slate._CAL} GROUP BY 1 HAVING bool_or(trim(coalesce(morning, '')) <> '') AND bool_or(trim(coalesce(evening, '')) <> '')),
          h AS (SELECT s.spec, x.cal_date, row_number() OVER (PARTITION BY spec ORDER BY cal_date) - 1 AS r, count(*) OVER (PARTITION BY spec) AS n FROM ({slate._values(_SPECS)}) s(spec, season, weekday) JOIN x ON x.season = s.season AND (s.weekday IS NULL OR s.weekday = x.weekday))
     SELECT s.spec, h.cal_date AS date FROM ({slate._values(_SPECS)}) s(spec, season, weekday) LEFT JOIN h ON h.spec = s.spec AND h.r = h.n // 2 WHERE h.spec IS NOT NULL OR s.spec NOT IN (SELECT spec FROM h)""")
 def qa_day_binding(spark, d):
-    days = slate._seasons(spark, d).select("date", "season", weekday(F.col("date")).alias("weekday")).distinct()
+    has = lambda c: F.bool_or(F.trim(F.coalesce(F.col(c), F.lit(""))) != "").alias(c)
+    held = slate._calendar(spark, d).groupBy(F.col("cal_date").alias("date")).agg(has("morning"), has("evening"))
+    bounds = small(spark, slate._BOUNDS, "key string, d string").select("key", F.to_date("d").alias("start"))
+    days = office.with_seasons(held, bounds).select("date", F.col("form_season").alias("season"), weekday(F.col("date")).alias("weekday"), "morning", "evening")
     bound, open_ = forms.bind_days(small(spark, _SPECS, "spec string, season string, weekday int"), days)
     return bound.unionByName(open_.withColumn("date", F.lit(None).cast("date")))
 

@@ -184,7 +184,9 @@ def compare_sources(a: DataFrame, b: DataFrame, key: str, fields: list[str], tol
 
 
 def bind_days(specs: DataFrame, days: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The middle published day of every ``(spec, season, weekday)`` (null: any weekday) among ``days (date, season, weekday)``, and the specs without one."""
+    """The middle published day of every ``(spec, season, weekday)`` (null: any weekday) among ``days (date, season, weekday, morning,
+    evening)`` that have both offices, and the specs without one. ``season`` is the season of the day's forms."""
+    days = days.where("morning AND evening")
     s = specs.select("spec", F.col("season").alias("__s"), F.col("weekday").alias("__w"))
     hits = s.join(days, F.col("season") == F.col("__s")).where(F.col("__w").isNull() | (F.col("__w") == F.col("weekday")))
     return middle_pick(hits, "spec", ["date"]).select("spec", "date"), specs.join(hits.select("spec").distinct(), "spec", "left_anti").select("spec")

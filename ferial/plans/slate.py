@@ -12,8 +12,8 @@ from ferial.functions.dates import week_index, weekday
 from ferial.operators import audit, calendar, corrections, geometry, lookup, segments
 from ferial.operators.packed import unpacked
 from ferial.operators.rejects import CALENDAR, parse_records
-from ferial.plans import office
-from ferial.runtime import ensure_checkpoint_dir, small, table
+from ferial.plans import coherence, office
+from ferial.runtime import checkpoint, ensure_checkpoint_dir, small, table
 from ferial.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,15 +222,17 @@ def retention_window(spark, d):
 
 
 @query("""
-    WITH now AS (SELECT form AS name, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY section, seq, text, loaded_at)) AS h FROM form_lines_app GROUP BY 1),
-         was AS (SELECT form AS name, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY section, seq, text, loaded_at)) AS h FROM form_lines_print GROUP BY 1)
+    WITH now AS (SELECT form AS name, sha256(string_agg(concat_ws('|', coalesce(section, '∅'), coalesce(seq, -1), coalesce(text, '')), chr(10) ORDER BY section, seq, coalesce(text, ''))) AS h FROM form_lines_app GROUP BY 1),
+         was AS (SELECT form AS name, sha256(string_agg(concat_ws('|', coalesce(section, '∅'), coalesce(seq, -1), coalesce(text, '')), chr(10) ORDER BY section, seq, coalesce(text, ''))) AS h FROM form_lines_print GROUP BY 1)
     SELECT coalesce(now.name, was.name) AS name, CASE WHEN was.h IS NULL THEN 'new' WHEN now.h IS NULL THEN 'missing' ELSE 'changed' END AS drift
     FROM now FULL JOIN was ON now.name = was.name WHERE now.h IS DISTINCT FROM was.h""")
 def manifest_drift(spark, d):
     def hashes(name):
-        lines = F.array_sort(F.collect_list(F.struct("section", "seq", F.coalesce("text", F.lit("")).alias("t"), "loaded_at")))
-        h = F.sha2(F.array_join(F.transform(lines, lambda x: x["t"]), "\n"), 256)
-        return table(spark, d, name).groupBy(F.col("form").alias("name")).agg(h.alias("sha256"))
+        # the digest of a bag of lines with their places: a count, sums and an XOR, so no form is gathered in one task
+        line = [F.coalesce(F.col("section"), F.lit("\u2205")), F.coalesce(F.col("seq"), F.lit(-1)), F.coalesce(F.col("text"), F.lit(""))]
+        h, g = F.xxhash64(*line), F.xxhash64(F.lit(1), *line)
+        parts = F.concat_ws("-", F.count("*").cast("string"), F.bit_xor(h).cast("string"), F.sum(h.cast("decimal(38,0)")).cast("string"), F.sum(g.cast("decimal(38,0)")).cast("string"))
+        return table(spark, d, name).groupBy(F.col("form").alias("name")).agg(F.sha2(parts, 256).alias("sha256"))
 
     return sinks.manifest_drift(hashes("form_lines_app"), hashes("form_lines_print"))
 
@@ -696,15 +698,16 @@ def group_metrics(spark, d):
     )
 
 
-_METRIC = f"(SELECT form, regexp_extract(form, '_(mp|ep|midday)_', 1) AS peer, CAST(count(*) AS DOUBLE) AS value FROM {_SEG} GROUP BY 1)"
+_METRIC = f"(SELECT form, regexp_extract(form, '_(mp|ep|midday)_', 1) AS peer, CAST(count(*) FILTER (section = 'litany') AS DOUBLE) AS value FROM {_SEG} GROUP BY 1)"
 
 
 def _metric(spark, d):
-    return _segments(spark, d).groupBy("form").agg(F.count("*").cast("double").alias("value")).withColumn("peer", F.regexp_extract("form", "_(mp|ep|midday)_", 1))
+    """Litany segments of every form; many forms have none."""
+    return _segments(spark, d).groupBy("form").agg(F.count_if(F.col("section") == "litany").cast("double").alias("value")).withColumn("peer", F.regexp_extract("form", "_(mp|ep|midday)_", 1))
 
 
 @query(f"""
-    SELECT form, round(abs(value - m) / s, 1) AS z FROM (SELECT *, avg(value) OVER (PARTITION BY peer) AS m, stddev_pop(value) OVER (PARTITION BY peer) AS s, count(*) OVER (PARTITION BY peer) AS n FROM {_METRIC}) WHERE n > 1 AND s > 0 AND round(abs(value - m) / s, 1) >= 2.0""")
+    SELECT form, CASE WHEN value <> 0 THEN round(abs(value - m) / s, 1) END AS z FROM (SELECT *, avg(value) OVER (PARTITION BY peer) AS m, stddev_pop(value) OVER (PARTITION BY peer) AS s, count(*) OVER (PARTITION BY peer) AS n FROM {_METRIC}) WHERE n > 1 AND s > 0 AND ((value = 0 AND m > 0) OR (value <> 0 AND abs(value - m) / s > 2.0))""")
 def peer_zscore(spark, d):
     return audit.peer_zscore(_metric(spark, d), ["peer"], "value").select("form", "z")
 
@@ -728,39 +731,110 @@ def corpus_singletons(spark, d):
     return audit.singletons(_segments(spark, d).where("text IS NOT NULL"), "form", "text")
 
 
+_RULE_SECTIONS = coherence.Sections(
+    hymn="invitatory", collects="collect", verse=coherence.VERSE_SECTIONS, proclamation=("psalmody", "reading", "reading_response", "canticle", "affirmation"), dialogues=("litany", "dismissal"), light=("invitatory", "doxology"),
+)
+_HYMN_LINES = [("lent_ep", 2), ("advent_ep", 3), ("easter_ep", 2), ("ordinary_ep", 2)]
+_SANCTIONED = [("advent", "dismissal", "N"), ("lent", "collect", "Or")]
+_STRIPPED = r"regexp_replace(coalesce({0}, ''), '^[\s\x0B\p{{Z}}\x{{FEFF}}]+|[\s\x0B\p{{Z}}\x{{FEFF}}]+$', '', 'g')"
+_TITLES = r"""(SELECT form, CASE split_part(form, '_', 1) WHEN 'ordinary' THEN 'OrdinaryTime' WHEN 'weekday' THEN 'OrdinaryTime' WHEN 'all' THEN 'AllSaints' ELSE upper(left(split_part(form, '_', 1), 1)) || substr(split_part(form, '_', 1), 2) END AS season, regexp_extract(form, '_(mp|ep|midday)_', 1) AS office FROM (SELECT DISTINCT form FROM segments WHERE form <> '_shared'))"""
+
+
+def _sql_in(names: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+_R = _RULE_SECTIONS
+_CLOSING_SQL = " OR ".join(f"regexp_matches(replace(t, chr(160), ' '), '{p.replace(chr(39), chr(39) * 2)}'{', ' + repr('i') if 'Lord' in p else ''})" for p in coherence.CLOSING_RUBRICS)
+_CANTICLE_SQL = " OR ".join(f"(season = '{k}' AND NOT ({' OR '.join(f'starts_with(canticle, {chr(39)}{x}{chr(39)})' for x in coherence.DAILY_CANTICLES + v)}))" for k, v in coherence.SEASONAL_CANTICLES.items())
 _RULE_SQL = rf"""(
-    WITH s AS (SELECT *, coalesce(text, '') AS t FROM {_SEG}),
+    WITH s AS (SELECT *, {_STRIPPED.format('text')} AS t FROM {_SEG} WHERE form <> '_shared'), f AS (SELECT * FROM {_TITLES}),
+    o AS (SELECT form, max(nullif(json_extract_string(body, '$.title'), '')) AS title FROM office_forms GROUP BY 1),
     a AS (SELECT form,
-        coalesce(bool_or(section = 'dismissal'), false) AND NOT coalesce(bool_or(section = 'dismissal' AND contains(t, 'Amen')), false) AS r0,
-        bool_or(regexp_matches(t, 'Amen \.|[A-Za-z0-9_] \.$')) AS r1, bool_or(kind = 'response' AND length(trim(t)) < 3) AS r2,
-        NOT (bool_or(section = 'opening_responses' AND kind = 'leader') AND bool_or(section = 'opening_responses' AND kind = 'response')) AS r3,
-        bool_or(trim(t) = 'N') AS r4, bool_or(section = 'canticle') AND NOT bool_or(section = 'canticle' AND kind = 'leader') AS r5,
-        bool_or(section = 'canticle') AND NOT bool_or(section = 'canticle' AND kind = 'leader' AND contains(t, chr(10))) AS r6,
-        bool_or(section = 'intercessions') AND NOT bool_or(section = 'intercessions' AND length(trim(t)) > 2 AND trim(t) <> 'N') AS r7,
-        bool_or(kind IN ('leader', 'response') AND section NOT IN ('canticle', 'psalm', 'doxology') AND contains(trim(t), chr(10))) AS r8 FROM s GROUP BY 1)
+        coalesce(bool_or(section = 'dismissal' AND t <> ''), false) AND NOT coalesce(bool_or(section = 'dismissal' AND contains(t, 'Amen')), false) AS r0,
+        bool_or(regexp_matches(t, 'Amen \.|[A-Za-z0-9_] \.$')) AS r1, bool_or(kind = 'response' AND length(t) < 3) AS r2,
+        NOT (bool_or(section = 'opening_responses' AND kind = 'leader' AND t <> '') AND bool_or(section = 'opening_responses' AND kind = 'response' AND t <> '')) AS r3,
+        bool_or(t = 'N') AS r4, bool_or(section IN {_sql_in(_R.proclamation)} AND t <> '') AND NOT bool_or(section = 'canticle' AND kind = 'leader' AND t <> '') AS r5,
+        bool_or(section = 'canticle' AND t <> '') AND NOT bool_or(section = 'canticle' AND kind = 'leader' AND contains(t, chr(10))) AS r6,
+        bool_or(section = 'intercessions') AND NOT bool_or(section = 'intercessions' AND length(t) > 2 AND t <> 'N') AS r7,
+        bool_or(kind IN ('leader', 'response') AND section NOT IN {_sql_in(_R.verse)} AND contains(t, chr(10))) AS r8,
+        bool_or(section IN {_sql_in(_R.light)} AND t <> '') AS light, count(*) FILTER (section = 'psalmody') AS psalms, count(*) FILTER (section = 'reading') AS lessons, bool_or(section = 'doxology') AS doxology,
+        bool_or(section = 'reading_response') AS answered, count(*) FILTER (section = 'collect') AS collects, count(*) FILTER (section = 'collect' AND kind = 'leader') AS items,
+        arg_min(text, (seq, path, seg_id)) FILTER (section = 'canticle' AND kind = 'label' AND text IS NOT NULL) AS canticle FROM s GROUP BY 1),
+    d AS (SELECT a.*, f.season, f.office, o.title FROM a JOIN f ON a.form = f.form LEFT JOIN o ON o.form = a.form),
+    g AS (SELECT *, sum(new) OVER w AS run FROM (SELECT *, CASE WHEN group_no IS DISTINCT FROM lag(group_no) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM s WHERE section IN {_sql_in(_R.dialogues)} WINDOW w AS (PARTITION BY form, section ORDER BY seq, path, seg_id)) WINDOW w AS (PARTITION BY form, section ORDER BY seq, path, seg_id)),
+    h AS (SELECT form, kind, lag(kind) OVER (PARTITION BY form, section, run ORDER BY seq, path, seg_id) AS p FROM g WHERE kind <> 'rubric'),
+    y AS (SELECT form, arg_min(coalesce(text, ''), (seq, path, seg_id)) AS t FROM s WHERE section = 'invitatory' AND kind = 'leader' GROUP BY 1),
+    z AS (SELECT form, arg_max(kind, (seq, path, seg_id)) AS kind, arg_max(t, (seq, path, seg_id)) AS t FROM s WHERE t <> '' GROUP BY form, section),
+    l AS (SELECT form, section, {_STRIPPED.format('x')} AS line FROM (SELECT form, section, unnest(string_split(t, chr(10))[:-2]) AS x FROM s WHERE section IN ('collect', 'dismissal') AND kind IN ('leader', 'response')))
     SELECT form, rule, tier FROM (
         SELECT form, 'dismissal-has-amen' AS rule, 1 AS tier, r0 AS x FROM a UNION ALL SELECT form, 'no-stray-space-before-period', 1, r1 FROM a UNION ALL SELECT form, 'non-empty-responses', 1, r2 FROM a
-        UNION ALL SELECT form, 'opening-has-leader-and-response', 1, r3 FROM a UNION ALL SELECT form, 'no-empty-segments', 1, r4 FROM a UNION ALL SELECT form, 'canticle-has-verse-content', 1, r5 FROM a
-        UNION ALL SELECT form, 'canticle-has-verse-breaks', 2, r6 FROM a UNION ALL SELECT form, 'intercessions-nonempty', 2, r7 FROM a UNION ALL SELECT form, 'no-prose-line-breaks', 2, r8 FROM a) WHERE x)"""
+        UNION ALL SELECT form, 'opening-has-leader-and-response', 1, r3 FROM a UNION ALL SELECT form, 'no-empty-segments', 1, r4 FROM a UNION ALL SELECT form, 'canticle-has-verse-content', 1, r5 FROM d
+        UNION ALL SELECT form, 'canticle-has-verse-breaks', 2, r6 FROM d UNION ALL SELECT form, 'intercessions-nonempty', 2, r7 FROM d UNION ALL SELECT form, 'no-prose-line-breaks', 2, r8 FROM a
+        UNION ALL SELECT DISTINCT form, 'leader-response-alternation', 1, true FROM h WHERE kind = p
+        UNION ALL SELECT y.form, 'phos-hilaron-line-count', 2, len(string_split(t, chr(10))) < least FROM y JOIN ({_values(_HYMN_LINES)}) m(who, least) ON starts_with(y.form, m.who)
+        UNION ALL SELECT form, 'seasonal-title-coherence', 2, season <> 'OrdinaryTime' AND title IS NULL FROM d
+        UNION ALL SELECT DISTINCT form, 'no-orphan-rubrics', 2, true FROM z WHERE kind = 'rubric' AND NOT ({_CLOSING_SQL})
+        UNION ALL SELECT form, 'evening-has-light', 1, office = 'ep' AND NOT light FROM d UNION ALL SELECT form, 'psalter-gloria-present', 1, psalms > 0 AND NOT doxology FROM d
+        UNION ALL SELECT form, 'reading-response-present', 1, lessons > 0 AND NOT answered FROM d UNION ALL SELECT form, 'collect-resolvable', 1, collects = 0 FROM d
+        UNION ALL SELECT form, 'collect-week-in-range', 3, season <> 'OrdinaryTime' AND collects > 0 AND items = 0 FROM d
+        UNION ALL SELECT form, 'seasonal-canticle-coherence', 3, canticle IS NOT NULL AND ({_CANTICLE_SQL}) FROM d
+        UNION ALL SELECT DISTINCT form, 'collect-and-dismissal-no-orphan-breaks', 2, true FROM l WHERE line <> '' AND NOT regexp_matches(line, '[.,;:!?]\s*$')
+            AND NOT EXISTS (SELECT 1 FROM ({_values(_SANCTIONED)}) q(who, part, said) WHERE starts_with(l.form, who) AND part = l.section AND said = l.line)) WHERE x)"""
+
+
+def _form_facts(spark, d):
+    """What a bound day would appoint, read off the form: season and office by its name, the rest from its sections."""
+    first, hour = F.split("form", "_")[0], F.regexp_extract("form", "_(mp|ep|midday)_", 1)
+    season = F.when(first.isin("ordinary", "weekday"), "OrdinaryTime").when(first == "all", "AllSaints").otherwise(F.concat(F.upper(F.substring(first, 1, 1)), F.substr(first, F.lit(2))))
+    here = lambda name: F.count_if(F.col("section") == name)
+    label = (F.col("section") == "canticle") & (F.col("kind") == "label") & F.col("text").isNotNull()
+    facts = _segments(spark, d).where("form <> '_shared'").groupBy("form").agg(
+        here("psalmody").alias("psalms"), here("reading").alias("lessons"), (here("doxology") > 0).alias("doxology"), (here("reading_response") > 0).alias("lesson_response"), here("collect").alias("collects"),
+        F.min_by("text", F.when(label, F.struct(*_ORDER))).alias("canticle"), F.count_if((F.col("section") == "collect") & (F.col("kind") == "leader")).alias("items"),
+    )
+    title = F.get_json_object("body", "$.title")
+    titles = table(spark, d, "office_forms").groupBy("form").agg(F.max(F.when(title != "", title)).alias("title"))
+    facts = facts.join(titles, "form", "left").withColumn("season", season).withColumn("office", hour)
+    return facts.withColumn("week_items", F.when(F.col("collects") > 0, F.col("items")))
+
+
+def _by_prefix(facts, rows, schema):
+    given = small(facts.sparkSession, rows, "who string, " + schema)
+    return facts.select("form").join(F.broadcast(given), F.col("form").startswith(F.col("who"))).drop("who")
 
 
 def _rules(spark, d):
-    return audit.run_rules(_segments(spark, d), "form", audit.coherence_rules())
+    facts, s = checkpoint(_form_facts(spark, d)), _segments(spark, d).where("form <> '_shared'")
+    fixed = coherence.static_findings(s, facts.select("form", "season", "title"), _by_prefix(facts, _HYMN_LINES, "least int"), _RULE_SECTIONS)
+    return fixed.unionByName(coherence.dynamic_findings(s, facts, _by_prefix(facts, _SANCTIONED, "section string, line string"), _RULE_SECTIONS))
 
 
 @query(f"SELECT * FROM {_RULE_SQL}")
 def coherence_rules(spark, d):
+    """All twenty rules over every form."""
     return _rules(spark, d)
 
 
-_EXEMPT = [("_shared", "opening-has-leader-and-response"), ("_shared", "dismissal-has-amen")]
+_EXEMPT = [("segments", 5), ("litany", 3)]
+_OUTLIER_SQL = "(SELECT form, 'segments' AS metric, z, false AS flag FROM ({z}) UNION ALL SELECT form, 'litany', NULL, true FROM ({b}))"
 
 
 @query(f"""
-    SELECT form, CAST(greatest(0, 100 - sum(CASE tier WHEN 1 THEN 10 WHEN 2 THEN 3 ELSE 5 END)) AS BIGINT) AS score FROM {_RULE_SQL} r
-    WHERE NOT EXISTS (SELECT 1 FROM ({_values(_EXEMPT)}) e(f, u) WHERE e.f = r.form AND e.u = r.rule) GROUP BY 1""")
+    WITH x AS (SELECT form, CASE tier WHEN 1 THEN 10 WHEN 2 THEN 3 ELSE 5 END AS cost FROM {_RULE_SQL} r
+        UNION ALL SELECT form, CASE WHEN EXISTS (SELECT 1 FROM ({_values(_EXEMPT)}) e(m, n) WHERE m = metric AND length(form) % n = 0) THEN 0 WHEN z >= 3.0 AND NOT flag THEN 15 ELSE 5 END FROM {_OUTLIER_SQL.format(z=ORACLE['peer_zscore'], b=ORACLE['boolean_minority'])}
+        UNION ALL SELECT DISTINCT form, 100 FROM segments WHERE form LIKE '%0000013')
+    SELECT form, CAST(greatest(0, 100 - sum(cost)) AS BIGINT) AS score FROM x GROUP BY 1""")
 def penalty_score(spark, d):
-    return audit.penalty_scores(_rules(spark, d), small(spark, _EXEMPT, "form string, rule string"))
+    """Rules, outliers but for the expected ones, and forms whose day did not resolve (here those numbered 13)."""
+    far = peer_zscore(spark, d).select("form", F.lit("segments").alias("metric"), "z", F.lit(False).alias("flag"))
+    rare = boolean_minority(spark, d).select("form", F.lit("litany").alias("metric"), F.lit(None).cast("double").alias("z"), F.lit(True).alias("flag"))
+    outliers = far.unionByName(rare)
+    expected = F.lit(False)
+    for metric, n in _EXEMPT:
+        expected = expected | ((F.col("metric") == metric) & (F.length("form") % n == 0))
+    lost = _segments(spark, d).where(F.col("form").endswith("0000013")).select("form").distinct()
+    return audit.penalty_scores(_rules(spark, d), outliers, outliers.where(expected), lost)
 
 
 @query(f"SELECT coalesce(min(score), 100) AS score FROM ({ORACLE['penalty_score']})")

@@ -67,7 +67,7 @@ def test_comparison_and_binding(spark):
     b = spark.createDataFrame([(1, "x", "1:2-3"), (2, "q", "5"), (4, "z", None)], "k int, n string, c string")
     t = {"c": (forms.citation_key(F.col("a_c")), forms.citation_key(F.col("b_c")))}
     assert rows(forms.compare_sources(a, b, "k", ["n", "c"], t), "k", "outcome", "field") == [(1, "ok", None), (2, "diff", "c"), (2, "diff", "n"), (3, "no_b", None), (4, "no_a", None)]
-    d = spark.createDataFrame([(date(2030, 1, i), "Lent", i % 7) for i in range(1, 8)], "date date, season string, weekday int")
+    d = spark.createDataFrame([(date(2030, 1, i), "Lent", i % 7, True, True) for i in range(1, 8)] + [(date(2030, 1, i), "Lent", 2, i == 8, i == 9) for i in range(8, 20)], "date date, season string, weekday int, morning boolean, evening boolean")
     s = spark.createDataFrame([("m", "Lent", None), ("w", "Lent", 2), ("n", "Easter", None)], "spec string, season string, weekday int")
     bound, missing = forms.bind_days(s, d)
     assert rows(bound, "spec", "date") == [("m", date(2030, 1, 4)), ("w", date(2030, 1, 2))] and rows(missing, "spec") == [("n",)]
