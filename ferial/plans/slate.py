@@ -13,6 +13,7 @@ from ferial.operators import audit, calendar, corrections, geometry, lookup, seg
 from ferial.operators.packed import unpacked
 from ferial.operators.rejects import CALENDAR, parse_records
 from ferial.plans import coherence, office
+from ferial.plans import forms as form_rules
 from ferial.runtime import checkpoint, ensure_checkpoint_dir, small, table
 from ferial.sources import readers, sinks
 
@@ -177,10 +178,10 @@ def keep_last_file(spark, d):
     return readers.keep_last(rows, ["calendar_id", "cal_date"], [F.col("src_file"), F.col("row_id")]).select("calendar_id", "cal_date", "row_id")
 
 
-@query("""SELECT event_id, event_type, value FROM events WHERE ts >= TIMESTAMP '2024-01-09 00:00:00' AND ts < TIMESTAMP '2024-01-10 00:00:00'""")
+@query("""SELECT event_id, event_type, value FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-09'""")
 def day_point_read(spark, d):
-    at = F.lit("2024-01-09").cast("timestamp")
-    return table(spark, d, "events").where((F.col("ts") >= at) & (F.col("ts") < at + F.expr("interval 1 day"))).select("event_id", "event_type", "value")
+    days = table(spark, d, "events").withColumn("date", F.to_date("ts")).withColumn("month", F.date_format("ts", "yyyy-MM"))
+    return readers.days_on(days, "2024-01-09").select("event_id", "event_type", "value")
 
 
 @query("""SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) // 10 AS bucket, count(*) AS n FROM events GROUP BY 1, 2""")
@@ -196,16 +197,6 @@ def document_titles(spark, d):
     return f.select("form_id", v.getField("title").alias("title"), v.getField("subtitle").alias("subtitle"))
 
 
-@query(f"""
-    WITH old AS (SELECT row_id, name FROM {_CAL} WHERE row_id % 2 = 0 OR row_id % 3 = 0), new AS (SELECT row_id, 'new ' || name AS name FROM {_CAL} WHERE row_id % 3 = 0 OR row_id % 5 = 0)
-    SELECT * FROM new UNION ALL SELECT * FROM old WHERE row_id NOT IN (SELECT row_id FROM new)""")
-def upsert_rows(spark, d):
-    rows = _calendar(spark, d).select("row_id", "name")
-    old = rows.where("row_id % 2 = 0 OR row_id % 3 = 0")
-    new = rows.where("row_id % 3 = 0 OR row_id % 5 = 0").withColumn("name", F.concat(F.lit("new "), "name"))
-    return sinks.upsert(old, new, ["row_id"])
-
-
 @query(ORACLE["keep_last_file"])
 def upsert_deliveries(spark, d):
     """Each calendar's last file upserted into what its earlier files left: every row is in one of the two."""
@@ -239,6 +230,8 @@ def manifest_drift(spark, d):
 
 # text and grammars
 
+_STRIPPED = r"regexp_replace(coalesce({0}, ''), '^[\s\x0B\p{{Z}}\x{{FEFF}}]+|[\s\x0B\p{{Z}}\x{{FEFF}}]+$', '', 'g')"
+
 
 @query(f"""
     SELECT row_id, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(name, '(?i)<br\\s*/?>', ' ', 'g'), '<[^>]+>', '', 'g'), '&ndash;', '–'), '&mdash;', '—'), '&amp;', '&'), '[\\s\\p{{Z}}\\x85]+', ' ', 'g')) AS name
@@ -260,62 +253,106 @@ def line_explode(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(split).cast("bigint").alias("lines"), F.array_max(sizes).alias("longest"))
 
 
-_FIRST_NAME = r"trim(regexp_extract(regexp_replace(name, '(?i)<br\s*/?>', chr(10), 'g'), '([^\n\r\t|;]*[^\n\r\t|; ][^\n\r\t|;]*)', 1))"
+_PARTED = r"(?i)<br\s*/?>|[\n\r\t|;]"
+
+
+def _parts(c):
+    return F.filter(F.transform(F.split(c, _PARTED), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def _unnest(cols: str, array: str, source: str) -> str:
+    """SQL: the members of an array with their places from 0."""
+    return f"(SELECT {cols}, u.i AS ord, u.x AS x FROM (SELECT {cols}, unnest(list_transform(generate_series(1, len(a)), lambda i: {{'i': CAST(i - 1 AS INT), 'x': a[i]}})) AS u FROM (SELECT {cols}, {array} AS a FROM {source})))"
+
+
+_NAME_PARTS = _unnest("row_id", rf"list_filter(list_transform(string_split_regex(name, '{_PARTED}'), lambda x: trim(x)), lambda x: x <> '')", f"{_CAL} WHERE name IS NOT NULL")
 
 
 @query(rf"""
-    WITH n AS (SELECT row_id, trim(regexp_extract(name, '^([^<\n\r\t|;]*)', 1)) AS line FROM {_CAL} WHERE name IS NOT NULL),
-         c AS (SELECT row_id, line, regexp_extract(line, '\(([^()]*)\)[^()]*$', 1) AS colour, trim(regexp_extract(CASE WHEN regexp_matches(line, '\([^()]*\)[^()]*$') THEN rtrim(regexp_extract(line, '^(.*)\([^()]*\)[^()]*$', 1)) || regexp_extract(line, '\([^()]*\)([^()]*)$', 1) ELSE line END, '^([^\[]*)', 1)) AS body FROM n)
-    SELECT row_id, trim(regexp_replace(body, ' - (?:PF|HD|Mem|Com)$', '')) AS name,
+    WITH n AS (SELECT row_id, ord, x AS line FROM {_NAME_PARTS}),
+         c AS (SELECT row_id, ord, line, regexp_extract(line, '\(([^()]*)\)[^()]*$', 1) AS colour, trim(regexp_extract(CASE WHEN regexp_matches(line, '\([^()]*\)[^()]*$') THEN rtrim(regexp_extract(line, '^(.*)\([^()]*\)[^()]*$', 1)) || regexp_extract(line, '\([^()]*\)([^()]*)$', 1) ELSE line END, '^([^\[]*)', 1)) AS body FROM n)
+    SELECT row_id, ord, trim(regexp_replace(body, ' - (?:PF|HD|Mem|Com)$', '')) AS name,
         CASE WHEN body LIKE '% - PF' THEN 'principal_feast' WHEN body LIKE '% - HD' THEN 'holy_day' WHEN body LIKE '% - Mem' THEN 'memorial' WHEN body LIKE '% - Com' THEN 'commemoration' WHEN lower(body) LIKE '%sunday%' THEN 'holy_day' ELSE 'feria' END AS rank,
         nullif(colour, '') AS colour FROM c""")
 def name_rank_colour(spark, d):
-    line = F.trim(F.regexp_extract("name", r"^([^<\n\r\t|;]*)", 1))
-    return _calendar(spark, d).where("name IS NOT NULL").select("row_id", grammar.name_meta(line).alias("m")).select("row_id", "m.*")
+    """Every part of every name."""
+    parts = _calendar(spark, d).where("name IS NOT NULL").select("row_id", F.posexplode(_parts(F.col("name"))).alias("ord", "line"))
+    return parts.select("row_id", "ord", grammar.name_meta(F.col("line")).alias("m")).select("row_id", "ord", "m.*")
+
+
+_OFFICES_SQL = f"(SELECT row_id, 'mp' AS office, morning AS raw FROM {_CAL} WHERE morning IS NOT NULL UNION ALL SELECT row_id, 'ep', evening FROM {_CAL} WHERE evening IS NOT NULL)"
+
+
+def _offices(spark, d):
+    """``row_id, office, raw``: both fields of every calendar row."""
+    pair = F.array(F.struct(F.lit("mp").alias("office"), F.col("morning").alias("raw")), F.struct(F.lit("ep").alias("office"), F.col("evening").alias("raw")))
+    return _calendar(spark, d).select("row_id", F.inline(pair)).where("raw IS NOT NULL")
+
+
+_RUNS_SQL = _unnest("row_id, office", "regexp_extract_all(raw, 'Ps ([0-9][0-9:, ()-]*)', 1)", _OFFICES_SQL)
 
 
 @query(rf"""
-    WITH f AS (SELECT row_id, regexp_extract(morning, '^Ps ([0-9][0-9:, ()-]*)', 1) AS body FROM {_CAL} WHERE morning LIKE 'Ps %'),
-         t AS (SELECT row_id, unnest(list_transform(generate_series(1, len(string_split(body, ', '))), lambda i: {{'i': i, 't': trim(string_split(body, ', ')[i])}})) AS x FROM f WHERE body <> ''),
-         u AS (SELECT row_id, x.i AS ord, x.t AS raw, regexp_matches(x.t, '^\(.*\)$') AS optional, regexp_replace(x.t, '^\(|\)$', '', 'g') AS c FROM t WHERE x.t <> ''),
-         v AS (SELECT *, last_value(CASE WHEN c LIKE '%:%' THEN CAST(regexp_extract(c, '^(\d+):', 1) AS INT) END IGNORE NULLS) OVER (PARTITION BY row_id ORDER BY ord) AS cur FROM u)
-    SELECT row_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY ord) - 1 AS INT) AS ord,
-        CASE WHEN c LIKE '%:%' THEN CAST(regexp_extract(c, '^(\d+):', 1) AS INT) WHEN cur IS NOT NULL AND (c LIKE '%-%' OR optional) THEN cur ELSE TRY_CAST(regexp_extract(c, '^(\d+)', 1) AS INT) END AS num,
-        CASE WHEN c LIKE '%:%' THEN TRY_CAST(regexp_extract(c, ':(\d+)', 1) AS INT) WHEN cur IS NOT NULL AND (c LIKE '%-%' OR optional) THEN TRY_CAST(regexp_extract(c, '^(\d+)', 1) AS INT) END AS first,
-        CASE WHEN c LIKE '%:%' THEN coalesce(TRY_CAST(nullif(regexp_extract(c, '-(\d+)$', 1), '') AS INT), TRY_CAST(regexp_extract(c, ':(\d+)', 1) AS INT)) WHEN cur IS NOT NULL AND (c LIKE '%-%' OR optional) THEN coalesce(TRY_CAST(nullif(regexp_extract(c, '-(\d+)$', 1), '') AS INT), TRY_CAST(regexp_extract(c, '^(\d+)', 1) AS INT)) END AS last,
-        optional FROM v""")
+    WITH f AS (SELECT row_id, office, ord AS run, x AS body FROM {_RUNS_SQL}),
+         t AS (SELECT row_id, office, run, unnest(list_transform(generate_series(1, len(string_split(body, ', '))), lambda i: {{'i': i, 't': trim(string_split(body, ', ')[i])}})) AS x FROM f),
+         u AS (SELECT row_id, office, run, x.i AS ord, x.t AS raw, regexp_matches(x.t, '^\(.*\)$') AS optional, regexp_replace(x.t, '^\(|\)$', '', 'g') AS c FROM t WHERE x.t <> ''),
+         v AS (SELECT *, last_value(CASE WHEN c LIKE '%:%' THEN TRY_CAST(nullif(regexp_extract(c, '^(\d+):', 1), '') AS INT) END IGNORE NULLS) OVER (PARTITION BY row_id, office, run ORDER BY ord) AS cur,
+                last_value(CASE WHEN c LIKE '%:%' THEN TRY_CAST(nullif(regexp_extract(c, '^(\d+):', 1), '') AS INT) END IGNORE NULLS) OVER (PARTITION BY row_id, office, run ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM u),
+         w AS (SELECT *, c NOT LIKE '%:%' AND before IS NOT NULL AND (c LIKE '%-%' OR optional) AND regexp_matches(c, '^\d+(?:-\d+)?$') AS goes_on FROM v)
+    SELECT row_id, office, run, CAST(row_number() OVER (PARTITION BY row_id, office, run ORDER BY ord) - 1 AS INT) AS ord,
+        CASE WHEN c LIKE '%:%' THEN TRY_CAST(nullif(regexp_extract(c, '^(\d+):', 1), '') AS INT) WHEN goes_on THEN before ELSE TRY_CAST(nullif(regexp_extract(c, '^(\d+)', 1), '') AS INT) END AS num,
+        CASE WHEN c LIKE '%:%' THEN TRY_CAST(nullif(regexp_extract(regexp_replace(c, '^\d+:', ''), '^(\d+)', 1), '') AS INT) WHEN goes_on THEN TRY_CAST(regexp_extract(c, '^(\d+)', 1) AS INT) END AS first,
+        CASE WHEN c LIKE '%:%' THEN coalesce(TRY_CAST(nullif(regexp_extract(c, '-(\d+)$', 1), '') AS INT), TRY_CAST(nullif(regexp_extract(regexp_replace(c, '^\d+:', ''), '^(\d+)', 1), '') AS INT)) WHEN goes_on THEN coalesce(TRY_CAST(nullif(regexp_extract(c, '-(\d+)$', 1), '') AS INT), TRY_CAST(regexp_extract(c, '^(\d+)', 1) AS INT)) END AS last,
+        optional FROM w""")
 def psalm_entries(spark, d):
-    body = F.regexp_extract("morning", r"^Ps ([0-9][0-9:, ()-]*)", 1)
-    rows = _calendar(spark, d).where(F.col("morning").startswith("Ps ")).select("row_id", body.alias("body")).where("body <> ''")
-    return rows.select("row_id", F.posexplode(grammar.psalm_entries(F.col("body"))).alias("ord", "e")).select("row_id", "ord", "e.*")
+    """Every run of psalms in both fields of every row."""
+    runs_ = F.regexp_extract_all("raw", F.lit(r"Ps ([0-9][0-9:, ()-]*)"), F.lit(1))
+    runs_ = _offices(spark, d).select("row_id", "office", F.posexplode(runs_).alias("run", "body"))
+    return runs_.select("row_id", "office", "run", F.posexplode(grammar.psalm_entries(F.col("body"))).alias("ord", "e")).select("row_id", "office", "run", "ord", "e.*")
+
+
+_CITE = r"(?:[1-4] )?[A-Z][a-z]+ \d+:\d[0-9:,— -]*"
+_CITES_SQL = _unnest("row_id, office", f"list_filter(regexp_extract_all(raw, '{_CITE}'), lambda x: NOT starts_with(x, 'Ps '))", _OFFICES_SQL)
 
 
 @query(rf"""
-    WITH c AS (SELECT row_id, unnest(regexp_extract_all(evening, '[A-Z][a-z]+ \d+:\d+-\d+(?:—\d+:\d+)?')) AS cite FROM {_CAL} WHERE evening IS NOT NULL)
-    SELECT row_id, regexp_extract(cite, '^([A-Za-z]+)', 1) AS book, CAST(regexp_extract(cite, ' (\d+):', 1) AS INT) AS start_ch, CAST(regexp_extract(cite, ':(\d+)-', 1) AS INT) AS start_v,
-        CAST(coalesce(nullif(regexp_extract(cite, '—(\d+):', 1), ''), regexp_extract(cite, ' (\d+):', 1)) AS INT) AS end_ch, CAST(coalesce(nullif(regexp_extract(cite, '—\d+:(\d+)', 1), ''), regexp_extract(cite, '-(\d+)', 1)) AS INT) AS end_v FROM c""")
+    WITH c AS (SELECT row_id, office, ord AS cite, trim(regexp_extract(x, '^((?:[1-4] )?[^0-9:]+)', 1)) AS book, trim(regexp_extract(x, '^(?:[1-4] )?[^0-9:]+(.*)$', 1)) AS rest FROM {_CITES_SQL}),
+         p AS (SELECT row_id, office, cite, book, unnest(list_transform(generate_series(1, len(string_split(rest, ','))), lambda k: {{'k': k, 't': trim(string_split(rest, ',')[k])}})) AS s FROM c),
+         l AS (SELECT row_id, office, cite, book, s.k AS k, regexp_extract(s.t, '^([^—]*)', 1) AS l, regexp_extract(s.t, '—\s*(.*)$', 1) AS r FROM p),
+         m AS (SELECT *, TRY_CAST(nullif(regexp_extract(l, '^\s*(\d+)\s*:', 1), '') AS INT) AS lch, regexp_replace(l, '^\s*\d+\s*:', '') AS span, TRY_CAST(nullif(regexp_extract(r, '^(\d+)\s*:', 1), '') AS INT) AS rch FROM l),
+         n AS (SELECT *, TRY_CAST(nullif(regexp_extract(span, '^\s*(\d+)', 1), '') AS INT) AS v, TRY_CAST(nullif(regexp_extract(span, '-\s*(\d+)', 1), '') AS INT) AS z,
+                coalesce(TRY_CAST(nullif(regexp_extract(r, ':\s*(\d+)', 1), '') AS INT), TRY_CAST(nullif(regexp_extract(r, '^(\d+)', 1), '') AS INT)) AS rv FROM m),
+         o AS (SELECT *, v IS NOT NULL AND (r = '' OR rv IS NOT NULL) AS fine FROM n),
+         q AS (SELECT *, coalesce(lch, last_value(CASE WHEN fine AND r <> '' THEN coalesce(rch, lch) ELSE lch END IGNORE NULLS) OVER (PARTITION BY row_id, office, cite ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS ch FROM o)
+    SELECT row_id, office, cite, book, ch AS start_ch, v AS start_v, CASE WHEN r <> '' THEN coalesce(rch, ch) ELSE ch END AS end_ch, CASE WHEN r <> '' THEN rv ELSE coalesce(z, v) END AS end_v FROM q WHERE fine AND ch IS NOT NULL""")
 def verse_ranges(spark, d):
-    cites = F.explode(F.regexp_extract_all("evening", F.lit(r"[A-Z][a-z]+ \d+:\d+-\d+(?:—\d+:\d+)?"), F.lit(0)))
-    c = _calendar(spark, d).where("evening IS NOT NULL").select("row_id", cites.alias("cite")).select("row_id", grammar.citation(F.col("cite")).alias("c"))
-    return c.select("row_id", F.col("c.book").alias("book"), F.inline(grammar.verse_ranges(F.col("c.rest"))))
+    """Every citation of both fields of every row, of any shape."""
+    cites = F.filter(F.regexp_extract_all("raw", F.lit(_CITE), F.lit(0)), lambda x: ~x.startswith("Ps "))
+    c = _offices(spark, d).select("row_id", "office", F.posexplode(cites).alias("cite", "x")).select("row_id", "office", "cite", grammar.citation(F.col("x")).alias("c"))
+    return c.select("row_id", "office", "cite", F.col("c.book").alias("book"), F.inline(grammar.verse_ranges(F.col("c.rest"))))
 
 
 @query(rf"""
-    WITH o AS (SELECT row_id, unnest(string_split_regex(morning, '\n')) AS line FROM {_CAL} WHERE morning IS NOT NULL)
-    SELECT row_id, CAST(count(*) AS BIGINT) AS lines, count(*) FILTER (line = 'Or') AS ors FROM o GROUP BY 1""")
+    WITH o AS (SELECT row_id, office, {_STRIPPED.format(r"replace(replace(replace(replace(regexp_replace(regexp_replace(raw, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&nbsp;', chr(160)), '&ndash;', '–'), '&mdash;', '—'), '&amp;', '&')")} AS t FROM {_OFFICES_SQL})
+    SELECT row_id, office, CAST(1 + len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^Or[ \t\r\f\x0B]*$'))) AS INT) AS branches FROM o""")
 def branch_lines(spark, d):
-    o = _calendar(spark, d).where("morning IS NOT NULL").select("row_id", F.explode(text.lines(F.col("morning"))).alias("line"))
-    return o.groupBy("row_id").agg(F.count("*").alias("lines"), F.count_if(F.col("line") == "Or").alias("ors"))
+    """How many branches each office has: its primary one and those after a line that is only ``Or``."""
+    return _offices(spark, d).select("row_id", "office", F.size(grammar.office_branches(F.col("raw"))).alias("branches"))
+
+
+_REF = r"Coll ([0-9][0-9/]*(?: \(Com: \d+\))?)"
+_REFS_SQL = _unnest("row_id, office", f"regexp_extract_all(raw, '{_REF}', 1)", _OFFICES_SQL)
 
 
 @query(rf"""
-    SELECT row_id, coalesce(nullif(regexp_extract(c, '^(\d+)', 1), ''), 'none') AS page, nullif(regexp_extract(c, '/(\d+)', 1), '') AS facing, nullif(regexp_extract(c, 'Com: (\d+)', 1), '') AS commemoration
-    FROM (SELECT row_id, regexp_extract(morning, 'Coll ([0-9][0-9/]*(?: \(Com: \d+\))?)', 1) AS c FROM {_CAL} WHERE regexp_matches(morning, 'Coll \d'))""")
+    SELECT row_id, office, ord, coalesce(nullif(regexp_extract(x, '^(\d+)', 1), ''), 'none') AS page, nullif(regexp_extract(x, '/(\d+)', 1), '') AS facing, nullif(regexp_extract(x, 'Com: (\d+)', 1), '') AS commemoration FROM {_REFS_SQL}""")
 def collect_references(spark, d):
-    rows = _calendar(spark, d).where(F.col("morning").rlike(r"Coll \d")).select("row_id", F.regexp_extract("morning", r"Coll ([0-9][0-9/]*(?: \(Com: \d+\))?)", 1).alias("c"))
+    """Every collect reference of both fields of every row."""
+    refs = F.regexp_extract_all("raw", F.lit(_REF), F.lit(1))
+    rows = _offices(spark, d).select("row_id", "office", F.posexplode(refs).alias("ord", "c"))
     com = F.try_element_at(F.flatten(grammar.commemoration_pages(F.col("c")).getField("pages")), F.lit(1))
     facing = F.nullif(F.regexp_extract("c", r"/(\d+)", 1), F.lit(""))
-    return rows.select("row_id", F.coalesce(grammar.collect_page(F.col("c")), F.lit("none")).alias("page"), facing.alias("facing"), com.alias("commemoration"))
+    return rows.select("row_id", "office", "ord", F.coalesce(grammar.collect_page(F.col("c")), F.lit("none")).alias("page"), facing.alias("facing"), com.alias("commemoration"))
 
 
 @query(rf"""
@@ -340,12 +377,13 @@ _QUALITY = {"missing_space": r"[a-z][A-Z]", "long_token": r"[a-z]{30,}", "hangin
 @query(
     rf"SELECT kind, count(*) AS segments, count(*) FILTER (regexp_matches(regexp_replace(text, '\b(?:Mc|Mac)([A-Z])', '\1', 'g'), '[a-z][A-Z]')) AS missing_space, "
     + ", ".join(f"count(*) FILTER (regexp_matches(text, '{p}')) AS {n}" for n, p in list(_QUALITY.items())[1:])
-    + f" FROM {_SEG} WHERE text IS NOT NULL GROUP BY 1"
+    + rf""", count(*) FILTER (len(list_filter(generate_series(1, len(w) - 1), lambda i: regexp_extract(w[i], '(?:^|[^\p{{L}}\p{{N}}_])([a-z]+)$', 1) <> '' AND
+        regexp_extract(w[i], '(?:^|[^\p{{L}}\p{{N}}_])([a-z]+)$', 1) = regexp_extract(w[i + 1], '^([a-z]+)(?:[^\p{{L}}\p{{N}}_]|$)', 1))) > 0) AS duplicate_word FROM (SELECT *, string_split_regex(lower(text), '[\s\x0B]+') AS w FROM {_SEG}) WHERE text IS NOT NULL GROUP BY 1"""
 )
 def text_quality_scan(spark, d):
     t = F.col("text")
     tests = [text.missing_space(t), text.long_token(t), text.hanging_hyphen(t), text.garbled(t)]
-    return _segments(spark, d).where("text IS NOT NULL").groupBy("kind").agg(F.count("*").alias("segments"), *[F.count_if(x).alias(n) for n, x in zip(_QUALITY, tests)])
+    return _segments(spark, d).where("text IS NOT NULL").groupBy("kind").agg(F.count("*").alias("segments"), *[F.count_if(x).alias(n) for n, x in zip(_QUALITY, tests)], F.count_if(text.duplicate_word(t)).alias("duplicate_word"))
 
 
 @query(rf"""
@@ -367,15 +405,8 @@ def html_escape(spark, d):
 
 
 @query(rf"""
-    SELECT seg_id, CASE WHEN length(text) <= 100 THEN text WHEN strpos(left(text, 81), ' ') = 0 THEN left(text, 80) ELSE rtrim(left(text, 81 - strpos(reverse(left(text, 81)), ' ')), ' ') END AS cut FROM {_SEG} WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~\n]*')""")
+    SELECT seg_id, CASE WHEN length(text) <= 100 THEN text WHEN strpos(substr(text, 1, 81), ' ') = 0 THEN substr(text, 1, 80) ELSE rtrim(regexp_extract(substr(text, 1, 81), '(?s)^(.*) ', 1), ' ') END AS cut FROM {_SEG} WHERE text IS NOT NULL""")
 def read_more(spark, d):
-    rows = _segments(spark, d).where(F.col("text").rlike(r"\A[ -~\n]*\z"))
-    return rows.select("seg_id", text.read_more_cut(F.col("text")).alias("cut"))
-
-
-@query()
-def read_more_all(spark, d):
-    """As ``read_more``, of every text whatever its characters; SQL counts some of them otherwise, so there is no twin."""
     return _segments(spark, d).where("text IS NOT NULL").select("seg_id", text.read_more_cut(F.col("text")).alias("cut"))
 
 
@@ -404,10 +435,14 @@ def contrast_math(spark, d):
     return small(spark, _HEX, "a string, b string").select("a", "b", F.round(colour.contrast(F.col("a"), F.col("b")), 3).alias("contrast"))
 
 
-@query(f"SELECT row_id, len(list_distinct(list_transform(string_split(colour, '/'), lambda x: trim(x)))) AS colours FROM (SELECT row_id, regexp_extract(name, '\\(([A-Z][a-z]+(?:/[A-Z][a-z]+)?)\\)', 1) AS colour FROM {_CAL}) WHERE colour <> ''")
+_COLOUR = r"\(([A-Z][a-z]+(?:/[A-Z][a-z]+)?)\)"
+
+
+@query(f"SELECT row_id, ord, len(list_distinct(string_split(x, '/'))) AS colours FROM {_unnest('row_id', f"regexp_extract_all(name, '{_COLOUR}', 1)", f'{_CAL} WHERE name IS NOT NULL')}")
 def colour_lists(spark, d):
-    rows = _calendar(spark, d).select("row_id", F.regexp_extract("name", r"\(([A-Z][a-z]+(?:/[A-Z][a-z]+)?)\)", 1).alias("c")).where("c <> ''")
-    return rows.select("row_id", F.size(colour.colour_names(F.replace("c", F.lit("/"), F.lit(" or ")))).cast("bigint").alias("colours"))
+    """Every colour mark of every name."""
+    rows = _calendar(spark, d).where("name IS NOT NULL").select("row_id", F.posexplode(F.regexp_extract_all("name", F.lit(_COLOUR), F.lit(1))).alias("ord", "c"))
+    return rows.select("row_id", "ord", F.size(colour.colour_names(F.replace("c", F.lit("/"), F.lit(" or ")))).cast("bigint").alias("colours"))
 
 
 # lookups
@@ -736,7 +771,6 @@ _RULE_SECTIONS = coherence.Sections(
 )
 _HYMN_LINES = [("lent_ep", 2), ("advent_ep", 3), ("easter_ep", 2), ("ordinary_ep", 2)]
 _SANCTIONED = [("advent", "dismissal", "N"), ("lent", "collect", "Or")]
-_STRIPPED = r"regexp_replace(coalesce({0}, ''), '^[\s\x0B\p{{Z}}\x{{FEFF}}]+|[\s\x0B\p{{Z}}\x{{FEFF}}]+$', '', 'g')"
 _TITLES = r"""(SELECT form, CASE split_part(form, '_', 1) WHEN 'ordinary' THEN 'OrdinaryTime' WHEN 'weekday' THEN 'OrdinaryTime' WHEN 'all' THEN 'AllSaints' ELSE upper(left(split_part(form, '_', 1), 1)) || substr(split_part(form, '_', 1), 2) END AS season, regexp_extract(form, '_(mp|ep|midday)_', 1) AS office FROM (SELECT DISTINCT form FROM segments WHERE form <> '_shared'))"""
 
 
@@ -903,24 +937,32 @@ def required_sections_sweep(spark, d):
     return audit.required_missing(_segments(spark, d), "form", "section", _REQUIRED)
 
 
-@query(f"""
-    SELECT row_id, CASE WHEN eucharist LIKE 'Collect of the Day:%' THEN 'inline' WHEN regexp_matches(morning, 'Coll \\d') THEN 'morning' WHEN regexp_matches(evening, 'Coll \\d') THEN 'evening' ELSE 'none' END AS chosen,
-        CAST(coalesce(CAST(eucharist LIKE 'Collect of the Day:%' AS INT), 0) + coalesce(CAST(regexp_matches(morning, 'Coll \\d') AS INT), 0) + coalesce(CAST(regexp_matches(evening, 'Coll \\d') AS INT), 0) AS INT) AS options FROM {_CAL}""")
+@query(rf"""
+    WITH x AS (SELECT row_id, nullif(regexp_extract(coalesce(morning, ''), 'Coll (\d+)', 1), '') AS by_ref, CASE WHEN eucharist LIKE 'Collect of the Day:%' THEN eucharist END AS inline, nullif(src_file, '') AS saint, nullif(regexp_extract(coalesce(evening, ''), 'Coll (\d+)', 1), '') AS seasonal, nullif(extra, '') AS occasional FROM {_CAL}),
+         l AS (SELECT row_id, list_filter([CASE WHEN by_ref IS NOT NULL THEN 'reference' WHEN inline IS NOT NULL THEN 'inline' END, CASE WHEN by_ref IS NULL AND inline IS NULL AND saint IS NOT NULL THEN 'saint' END, CASE WHEN seasonal IS NOT NULL THEN 'seasonal' END, CASE WHEN occasional IS NOT NULL THEN 'occasional' END], lambda o: o IS NOT NULL) AS o FROM x)
+    SELECT row_id, ord, x AS option FROM {_unnest('row_id', 'o', 'l')}""")
 def option_precedence(spark, d):
-    tests = {"inline": F.col("eucharist").startswith("Collect of the Day:"), "morning": F.col("morning").rlike(r"Coll \d"), "evening": F.col("evening").rlike(r"Coll \d")}
-    options = F.array_compact(F.array(*[F.when(t, n) for n, t in tests.items()]))
-    return _calendar(spark, d).select("row_id", F.coalesce(F.try_element_at(options, F.lit(1)), F.lit("none")).alias("chosen"), F.size(options).alias("options"))
+    """The collects a day may use, in order of precedence; the file's name stands for a saint's."""
+    ref = lambda c: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), r"Coll (\d+)", 1), F.lit(""))
+    inline = F.when(F.col("eucharist").startswith("Collect of the Day:"), F.col("eucharist"))
+    days = _calendar(spark, d).select(
+        F.col("row_id").alias("date"), ref("morning").alias("by_ref"), inline.alias("inline"), F.nullif("src_file", F.lit("")).alias("saint"), ref("evening").alias("seasonal"), F.nullif("extra", F.lit("")).alias("occasional")
+    )
+    return form_rules.collect_options(days).select(F.col("date").alias("row_id"), "ord", "option")
+
+
+_FINDING = """'{{"finding":"{0}","id":"' || row_id || '"}}'"""
 
 
 @query(f"""
-    SELECT 'empty name' AS finding, CAST(row_id AS VARCHAR) AS id FROM {_CAL} WHERE trim(coalesce(name, '')) = '' UNION ALL SELECT 'no office', CAST(row_id AS VARCHAR) FROM {_CAL} WHERE trim(coalesce(morning, '')) = '' AND trim(coalesce(evening, '')) = ''
-    UNION ALL SELECT 'raw entity', CAST(row_id AS VARCHAR) FROM {_CAL} WHERE regexp_matches(concat_ws(' ', morning, evening), '&[a-z]+;')""")
+    SELECT {_FINDING.format('empty name')} AS finding FROM {_CAL} WHERE trim(coalesce(name, '')) = '' UNION ALL SELECT {_FINDING.format('no office')} FROM {_CAL} WHERE trim(coalesce(morning, '')) = '' AND trim(coalesce(evening, '')) = ''
+    UNION ALL SELECT {_FINDING.format('raw entity')} FROM {_CAL} WHERE regexp_matches(concat_ws(' ', morning, evening), '&[a-z]+;')""")
 def gate_findings(spark, d):
+    """All that the gate would refuse the calendar for."""
     rows = _calendar(spark, d)
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     tests = {"empty name": blank("name"), "no office": blank("morning") & blank("evening"), "raw entity": F.concat_ws(" ", "morning", "evening").rlike(r"&[a-z]+;")}
-    found = F.array_compact(F.array(*[F.when(t, n) for n, t in tests.items()]))
-    return rows.select(F.explode(found).alias("finding"), F.col("row_id").cast("string").alias("id"))
+    return audit.all_findings([rows.where(t).select(F.lit(n).alias("finding"), F.col("row_id").cast("string").alias("id")) for n, t in tests.items()])
 
 
 @query(f"""
@@ -940,15 +982,17 @@ def section_set_difference(spark, d):
 # composites
 
 
-@query(f"""
-    WITH f AS (SELECT row_id, CAST(regexp_extract(morning, '^Ps (\\d+)', 1) AS INT) AS num, CAST(nullif(regexp_extract(morning, '^Ps \\d+:(\\d+)', 1), '') AS INT) AS a, CAST(nullif(regexp_extract(morning, '^Ps \\d+:\\d+-(\\d+)', 1), '') AS INT) AS b FROM {_CAL} WHERE regexp_matches(morning, '^Ps \\d')),
-         v AS (SELECT DISTINCT CAST(psalm AS INT) AS num, seq AS v FROM {_PSA} WHERE psalter = 'psalter_common' AND type = 'verse' AND regexp_full_match(psalm, '\\d+'))
-    SELECT f.row_id, f.num, count(*) AS verses FROM f JOIN v ON v.num = f.num WHERE f.a IS NULL OR v.v BETWEEN f.a AND coalesce(f.b, f.a) GROUP BY 1, 2""")
+@query(rf"""
+    WITH f AS (SELECT * FROM ({ORACLE['psalm_entries']}) WHERE num IS NOT NULL),
+         v AS (SELECT DISTINCT CAST(psalm AS INT) AS num, seq AS v FROM {_PSA} WHERE psalter = 'psalter_common' AND type = 'verse' AND regexp_full_match(psalm, '\d+'))
+    SELECT row_id, office, run, ord, f.num, count(*) AS verses FROM f JOIN v ON v.num = f.num WHERE f.first IS NULL OR v.v BETWEEN f.first AND f.last GROUP BY 1, 2, 3, 4, 5""")
 def appointed_psalms(spark, d):
-    first = F.regexp_extract("morning", r"^Ps (\d+(?::\d+(?:-\d+)?)?)", 1)
-    f = _calendar(spark, d).where(F.col("morning").rlike(r"^Ps \d")).select("row_id", grammar.psalm_citation(first).alias("c")).select("row_id", "c.*")
+    """How many verses the common psalter has for every psalm of both fields."""
     v = _psalter(spark, d).where("psalter = 'psalter_common' AND type = 'verse'").select(F.col("psalm").try_cast("int").alias("num"), F.col("seq").alias("v")).where("num IS NOT NULL").distinct()
-    return f.join(v, "num").where(F.col("first").isNull() | F.col("v").between(F.col("first"), F.col("last"))).groupBy("row_id", "num").agg(F.count("*").alias("verses"))
+    # one row a psalm, so that an entry meets one row and not all its verses
+    per = v.groupBy("num").agg(F.collect_list("v").alias("vs"))
+    verses = F.size(F.filter("vs", lambda x: F.col("first").isNull() | x.between(F.col("first"), F.col("last")))).cast("bigint")
+    return psalm_entries(spark, d).join(per, "num").select("row_id", "office", "run", "ord", "num", verses.alias("verses")).where("verses > 0")
 
 
 def _psalm_entries_of_offices(spark, d):
@@ -1030,12 +1074,15 @@ def reject_edits(spark, d):
     return parse_records(table(spark, d, "calendar_raw"), "line_id", "raw_line", CALENDAR).where("reason IS NOT NULL").select("line_id", "reason", "field", "edits")
 
 
+_NEAR = [("quiet gates",), ("first sheaves",), ("nine bell",), ("kept doors",), ("late rains",), ("salt covenants",), ("lantern",), ("hidden springs",)]
+
+
 @query()
 def similarity_nearmiss(spark, d):
-    """Names close to a phrase that they do not hold."""
+    """Names close to a misspelled phrase, which they do not hold."""
     held = F.regexp_extract_all("name", F.lit(r"(?:of|after) (?:the )?([A-Z][a-z]+(?: [A-Z][a-z]+)?)"), F.lit(1))
     names = _calendar(spark, d).where("name IS NOT NULL").select(F.explode(held).alias("n")).select(F.lower("n").alias("n")).where("n <> ''").distinct()
-    phrases = F.broadcast(small(spark, _PHRASES, "phrase string, tag string"))
+    phrases = F.broadcast(small(spark, _NEAR, "phrase string"))
     near = names.join(phrases, ~F.contains(F.col("n"), F.col("phrase"))).withColumn("ratio", text.similarity(F.col("n"), F.col("phrase"))).where("ratio >= 0.72")
     return near.groupBy("n").agg(F.max_by("phrase", F.struct("ratio", -F.length("phrase"))).alias("phrase"), F.round(F.max("ratio"), 3).alias("ratio"))
 

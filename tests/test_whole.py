@@ -71,11 +71,11 @@ def test_appointed_psalms_all(spark, tmp_path):
     ]
 
 
-def test_read_more_all_keeps_every_script(spark, tmp_path):
+def test_read_more_keeps_every_script(spark, tmp_path):
     d, texts = str(tmp_path), {1: "plain", 2: "Sérvael " * 20, 3: "ж" * 120, 4: None}
     rows = [(i, "f", "s", 1, i, str(i), 0, None, None, "leader", t, None, None) for i, t in texts.items()]
     save(spark.createDataFrame(rows, "seg_id long, form string, section string, section_ord int, seq int, path string, depth int, group_no int, group_label string, kind string, text string, shared_key string, loaded_at timestamp"), d, "segments")
-    got = {r.seg_id: r.cut for r in slate.read_more_all(spark, d).collect()}
+    got = {r.seg_id: r.cut for r in slate.read_more(spark, d).collect()}
     assert got == {1: "plain", 2: ("Sérvael " * 10).rstrip(), 3: "ж" * 80}
 
 
