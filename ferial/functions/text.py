@@ -74,8 +74,8 @@ def mark_placeholder(c: Column, mark: str = "(N)") -> Column:
 
 
 def line_id(c: Column) -> Column:
-    """Ten hex digits that name a line whatever its blanks."""
-    return F.left(F.sha2(squash(c), 256), F.lit(10))
+    """Ten hex digits that name a line whatever its blanks and however its accents are composed."""
+    return F.left(F.sha2(squash(nfc(c)), 256), F.lit(10))
 
 
 def straighten_quotes(c: Column) -> Column:

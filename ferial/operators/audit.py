@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferial.functions.text import squash
+from ferial.operators.conserve import found_in
 
 # fixed values: what a finding costs
 PENALTY = {1: 10, 2: 3, 3: 5}
@@ -107,8 +108,8 @@ def baseline(findings: DataFrame, known: DataFrame, keys: list[str], count: str
 
 def conservation(left: DataFrame, right: DataFrame, unit: str, text: str) -> DataFrame:
     """Every line of ``left`` with the first rule that accounts for it in ``right`` of the same unit: verbatim, whitespace
-    (equal when squashed), part (inside a line) or unaccounted. Exact rules are equi joins; only what they leave is searched
-    for inside lines of its unit."""
+    (equal when squashed), part (inside a line) or unaccounted. Exact rules are equi joins; what they leave is searched for by
+    ``conserve.found_in``."""
     l = left.select(F.col(unit).alias("unit"), F.col(text).alias("line")).where("line IS NOT NULL").groupBy("unit", "line").agg(F.count("*").alias("n"))
     r = right.select(F.col(unit).alias("unit"), F.col(text).alias("other")).where("other IS NOT NULL").distinct()
     exact = r.select("unit", F.col("other").alias("line"), F.lit(True).alias("__v"))
@@ -116,18 +117,8 @@ def conservation(left: DataFrame, right: DataFrame, unit: str, text: str) -> Dat
     marked = l.join(exact, ["unit", "line"], "left").withColumn("__s", squash(F.col("line"))).join(near, ["unit", "__s"], "left")
     done = marked.where("__v OR __w").select("unit", "line", "n", F.when(F.col("__v"), "verbatim").otherwise("whitespace").alias("rule"))
     open_ = marked.where("__v IS NULL AND __w IS NULL").select("unit", "line", "n", "__s")
-    # a line inside another has all its inner words there as words: the longest of them finds the candidates by an equi
-    # join; lines of one or two words have none and are searched in their unit
-    words = F.split("__s", " ")
-    longest = F.array_max(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda x: F.struct(F.length(x), x.alias("w"))))
-    keyed = open_.where("__s <> ''").withColumn("__w", longest.getField("w"))
-    flat = r.select("unit", squash(F.col("other")).alias("__o")).distinct()
-    by_word = flat.select("unit", "__o", F.explode(F.array_distinct(F.split("__o", " "))).alias("__w"))
-    held = F.contains(F.col("__o"), F.col("__s"))
-    long_ = keyed.where("__w IS NOT NULL").join(by_word, ["unit", "__w"]).where(held).select("unit", "line")
-    short = keyed.where("__w IS NULL").join(flat, "unit").where(held).select("unit", "line")
-    inside = long_.unionByName(short).distinct().withColumn("__p", F.lit(True))
-    rest = open_.join(inside, ["unit", "line"], "left").select("unit", "line", "n", F.when(F.col("__p"), "part").otherwise("unaccounted").alias("rule"))
+    inside = found_in(r.select("unit", squash(F.col("other")).alias("h")), open_.select("unit", F.col("__s").alias("n"))).select("unit", F.col("n").alias("__s"), F.lit(True).alias("__p"))
+    rest = open_.join(inside, ["unit", "__s"], "left").select("unit", "line", "n", F.when(F.col("__p"), "part").otherwise("unaccounted").alias("rule"))
     return done.unionByName(rest)
 
 

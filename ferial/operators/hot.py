@@ -63,3 +63,18 @@ def last_known(df: DataFrame, part: list[str], order: list[str], marker: Column,
     w = Window.partitionBy(*part, "__b").orderBy(*order)
     out = marked.join(carried, same).withColumn(name, F.coalesce(F.last("__m", ignorenulls=True).over(w), F.col("__before")))
     return out.select(*[c for c in df.columns if c != name], name)
+
+
+def running_sum(df: DataFrame, part: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Each row with ``name``: the sum of ``value`` up to and with it. Sums of whole buckets come first, so buckets work alone."""
+    marked = bucketed(df, part, order[0]).withColumn("__v", value)
+    sums = marked.groupBy(*part, "__b").agg(F.sum("__v").alias("__s"))
+    before = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    carried = sums.withColumn("__before", F.coalesce(F.sum("__s").over(before), F.lit(0)))
+    carried = carried.select(*[F.col(k).alias(f"__p{i}") for i, k in enumerate(part)], F.col("__b").alias("__b2"), "__before")
+    same = F.col("__b") == F.col("__b2")
+    for i, k in enumerate(part):
+        same = same & F.col(k).eqNullSafe(F.col(f"__p{i}"))
+    w = Window.partitionBy(*part, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = marked.join(carried, same).withColumn(name, F.sum("__v").over(w) + F.col("__before"))
+    return out.select(*[c for c in df.columns if c != name], name)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ferial.functions import colour, grammar, text
 from ferial.functions.dates import week_index, weekday
-from ferial.operators import audit, calendar, corrections, geometry, lookup, segments
+from ferial.operators import audit, calendar, conserve, corrections, geometry, lookup, segments
 from ferial.operators.packed import unpacked
 from ferial.operators.rejects import CALENDAR, parse_records
 from ferial.plans import coherence, office
@@ -394,7 +394,7 @@ def prose_wraps(spark, d):
     return rows.select("seg_id", F.explode(text.wrapped_lines(F.col("text"))).alias("line")).groupBy("seg_id").agg(F.count("*").alias("wraps"))
 
 
-@query(rf"SELECT seg_id, left(sha256(trim(regexp_replace(text, '[\s\p{{Z}}\x85]+', ' ', 'g'))), 10) AS line FROM {_SEG} WHERE text IS NOT NULL")
+@query(rf"SELECT seg_id, left(sha256(trim(regexp_replace(nfc_normalize(text), '[\s\p{{Z}}\x85]+', ' ', 'g'))), 10) AS line FROM {_SEG} WHERE text IS NOT NULL")
 def line_ids(spark, d):
     return _segments(spark, d).where("text IS NOT NULL").select("seg_id", text.line_id(F.col("text")).alias("line"))
 
@@ -721,6 +721,58 @@ def conservation_accounting(spark, d):
     return audit.conservation(table(spark, d, "form_lines_app").where("form IS NOT NULL"), table(spark, d, "form_lines_print"), "form", "text")
 
 
+_CHAIN = conserve.Chain(fix=lambda c: F.regexp_replace(c, r"\s+([,.;:!?])", "$1"), filled=("reading",))
+_FIXED = r"trim(regexp_replace(regexp_replace(nfc_normalize({0}), '\s+([,.;:!?])', '\1', 'g'), '[\s\p{{Z}}\x85]+', ' ', 'g'))"
+_NSQ = _SQ.replace("{0}", "nfc_normalize({0})")
+_NAMED = r"trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(trim({0})), '\s*\([^)]*\)\s*$', ''), '^(?:The |An )', ''), '[\s\p{{Z}}\x85]+', ' ', 'g'))"
+_PAGE_SQL = rf"""(SELECT *, {_NSQ.format('text')} AS n, {_FIXED.format('text')} AS fixed, {_NAMED.format('text')} AS named FROM (SELECT DISTINCT form AS unit, section, type, seq, text FROM form_lines_print WHERE form IS NOT NULL AND section IS NOT NULL AND seq IS NOT NULL AND text IS NOT NULL) WHERE {_NSQ.format('text')} <> '')"""
+_SHIP_SQL = "(SELECT DISTINCT form AS unit, section, type, text FROM form_lines_app WHERE form IS NOT NULL AND text IS NOT NULL)"
+_REBUILT_SQL = rf"(SELECT DISTINCT unit, {_NSQ.format('text')} AS before, {_NSQ.format("replace(text, 'lantern', 'lamp')")} AS after FROM {_PAGE_SQL})"
+_SHIPPED_LINES = rf"(SELECT unit, section, type, {_NSQ.format('line')} AS n FROM (SELECT unit, section, type, unnest(string_split(text, chr(10))) AS line FROM {_SHIP_SQL}) WHERE {_NSQ.format('line')} <> '')"
+_SHIPPED_BLOCKS = rf"(SELECT DISTINCT unit, {_NSQ.format("replace(text, chr(10), ' ')")} AS h FROM {_SHIP_SQL})"
+
+
+def _conserved(spark, d):
+    """``page, shipped, rebuilt``: the printed copy is the page, the other what is shipped."""
+    known = lambda name, *cols: table(spark, d, name).select(F.col("form").alias("unit"), "section", "type", *cols, "text").where("unit IS NOT NULL AND text IS NOT NULL").distinct()
+    page = known("form_lines_print", "seq").where("section IS NOT NULL AND seq IS NOT NULL").withColumn("used_as", F.col("type"))
+    before, after = conserve.line_key(F.col("text")), conserve.line_key(F.replace("text", F.lit("lantern"), F.lit("lamp")))
+    return page, known("form_lines_app"), page.select("unit", before.alias("before"), after.alias("after")).where("before <> ''").distinct()
+
+
+@query(rf"""
+    WITH p AS MATERIALIZED (SELECT * FROM {_PAGE_SQL}), l AS MATERIALIZED (SELECT DISTINCT unit, type, n FROM {_SHIPPED_LINES}), b AS MATERIALIZED (SELECT * FROM {_SHIPPED_BLOCKS}), r AS (SELECT * FROM {_REBUILT_SQL}),
+         g AS MATERIALIZED (SELECT r.* FROM r WHERE before <> after AND EXISTS (SELECT 1 FROM b WHERE b.unit = r.unit AND contains(h, after)))
+    SELECT unit, section, seq, text, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.unit = p.unit AND l.n = p.n) THEN 'verbatim' WHEN EXISTS (SELECT 1 FROM b WHERE b.unit = p.unit AND contains(h, p.n)) THEN 'reflowed'
+        WHEN EXISTS (SELECT 1 FROM l WHERE l.unit = p.unit AND l.n = p.fixed) OR EXISTS (SELECT 1 FROM b WHERE b.unit = p.unit AND p.fixed <> '' AND contains(h, p.fixed)) THEN 'whitespace'
+        WHEN type = 'heading' THEN 'heading' WHEN regexp_matches(n, '(?i)^(?:or|and)\.?$') THEN 'separator' WHEN EXISTS (SELECT 1 FROM l WHERE l.unit = p.unit AND l.type = 'label' AND l.n = p.named) THEN 'label'
+        WHEN section = 'reading' AND coalesce(type, '') NOT IN ('label', 'rubric') THEN 'lectionary' WHEN EXISTS (SELECT 1 FROM g WHERE g.unit = p.unit AND contains(before, p.n)) THEN 'corrected' ELSE 'UNACCOUNTED' END AS rule FROM p""")
+def conservation_page(spark, d):
+    """Every printed line with the rule that accounts for it in what is shipped."""
+    page, shipped, rebuilt = _conserved(spark, d)
+    return conserve.page_to_data(page, shipped, _CHAIN, rebuilt).select("unit", "section", "seq", "text", "rule")
+
+
+@query(rf"""
+    WITH p AS MATERIALIZED (SELECT * FROM {_PAGE_SQL}), l AS MATERIALIZED (SELECT unit, n, min(struct_pack(section := section, type := type)) AS o FROM {_SHIPPED_LINES} GROUP BY 1, 2),
+         s AS MATERIALIZED (SELECT unit, string_agg(n, ' ' ORDER BY seq, section, type NULLS FIRST, n) AS h FROM p GROUP BY 1), r AS MATERIALIZED (SELECT * FROM {_REBUILT_SQL})
+    SELECT unit, o.section AS section, o.type AS type, n AS line, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.unit = l.unit AND p.n = l.n) THEN 'printed' WHEN EXISTS (SELECT 1 FROM s WHERE s.unit = l.unit AND contains(h, l.n)) THEN 'printed-joined'
+        WHEN EXISTS (SELECT 1 FROM s WHERE s.unit = l.unit AND contains({_FIXED.format('h')}, l.n)) THEN 'whitespace' WHEN o.type = 'label' AND EXISTS (SELECT 1 FROM p WHERE p.unit = l.unit AND p.named = l.n) THEN 'label'
+        WHEN o.type = 'label' AND regexp_matches(n, '^(?:I{{1,3}}|IV|V)$') THEN 'structural' WHEN EXISTS (SELECT 1 FROM r WHERE r.unit = l.unit AND contains(after, l.n) AND NOT contains(before, l.n)) THEN 'corrected' ELSE 'UNACCOUNTED' END AS rule FROM l""")
+def conservation_data(spark, d):
+    """Every shipped line with the rule that accounts for it on the page."""
+    page, shipped, rebuilt = _conserved(spark, d)
+    return conserve.data_to_page(page, shipped, ["seq", "section", "type"], _CHAIN, rebuilt)
+
+
+@query(f"""
+    WITH x AS (SELECT 'page' AS direction, rule, unit FROM ({ORACLE['conservation_page']}) UNION ALL SELECT 'data', rule, unit FROM ({ORACLE['conservation_data']}))
+    SELECT direction, rule, unit, false AS whole, count(*) AS lines FROM x GROUP BY 1, 2, 3 UNION ALL SELECT direction, rule, NULL, true, count(*) FROM x GROUP BY 1, 2""")
+def conservation_counters(spark, d):
+    """How many lines each rule accounts for, in both directions, by form and in all."""
+    return conserve.accounts(conservation_page(spark, d), conservation_data(spark, d))
+
+
 @query(f"""
     SELECT form, count(*) AS segments, count(*) FILTER (kind = 'leader') AS leaders, count(*) FILTER (kind = 'response') AS responses, count(DISTINCT section) AS sections,
         CAST(coalesce(sum(length(text)) FILTER (kind NOT IN ('rubric', 'label')), 0) AS BIGINT) AS chars, bool_or(section LIKE 'canticle%') AS canticle FROM {_SEG} GROUP BY 1""")
