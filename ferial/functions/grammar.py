@@ -68,6 +68,14 @@ def commemorations(raw: Column) -> Column:
     )
 
 
+def commemoration_join(raw: Column, words: dict[str, str]) -> Column:
+    """The word that joins names of equal standing, from the line that states it (``words``: line in lower case, word); null where
+    no commemoration is of equal standing or no line states one."""
+    table = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    said = F.transform(observance_lines(raw), lambda x: F.try_element_at(table, F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))))
+    return F.when(F.exists(commemorations(raw), lambda c: c["coequal"]), F.try_element_at(F.filter(said, lambda w: w.isNotNull()), F.lit(1)))
+
+
 def eve_target(line: Column) -> Column:
     """What an ``Eve of [the] X`` line is the eve of, lower case and without rank or article."""
     target = F.lower(name_meta(line).getField("name"))
@@ -151,6 +159,53 @@ def psalm_entries(tokens: Column) -> Column:
     return F.aggregate(pieces, start, step, lambda acc: acc["out"])
 
 
+def psalm_citations(tokens: Column) -> Column:
+    """``array<struct(citation, optional, omit)>`` of a comma list: neighbours of one psalm become one citation with the parenthesised spans
+    in ``omit`` where there are such spans, else each stands for itself, a continuation with its psalm's number.
+
+    A list in square brackets is all optional and merges nothing.
+    """
+    shape = "struct<num:int,first:int,last:int,optional:boolean,raw:string>"
+    none = F.expr("cast(array() as array<string>)")
+    whole = F.trim(tokens).rlike(r"^\[.*\]$")
+    pieces = F.filter(F.split(tokens, ", "), lambda x: F.trim(x) != "")
+
+    def named(e: Column, t: Column) -> Column:
+        bare = F.regexp_replace(F.trim(t), r"^[(\[]|[)\]]$", "")
+        return F.struct(e["num"].alias("num"), e["first"].alias("first"), e["last"].alias("last"), e["optional"].alias("optional"), F.when(e["first"].isNotNull(), _verses(e["num"], e["first"], e["last"])).otherwise(bare).alias("raw"))
+
+    entries = F.zip_with(psalm_entries(tokens), pieces, named)
+    start = F.expr(f"cast(array() as array<array<{shape}>>)")
+
+    def collect(acc: Column, e: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        previous = F.try_element_at(last, F.lit(-1))
+        joins = F.coalesce(e["first"].isNotNull() & previous["first"].isNotNull() & (e["num"] == previous["num"]), F.lit(False))
+        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, F.array(e))))).otherwise(F.concat(acc, F.array(F.array(e))))
+
+    def written(run: Column) -> Column:
+        omitted = F.transform(F.filter(run, lambda e: e["optional"]), lambda e: e["raw"])
+        low, high = F.array_min(F.transform(run, lambda e: e["first"])), F.array_max(F.transform(run, lambda e: e["last"]))
+        one = F.array(F.struct(_verses(F.element_at(run, 1)["num"], low, high).alias("citation"), F.lit(False).alias("optional"), omitted.alias("omit")))
+        each = F.transform(run, lambda e: F.struct(e["raw"].alias("citation"), e["optional"].alias("optional"), none.alias("omit")))
+        return F.when((F.size(run) > 1) & (F.size(omitted) > 0), one).otherwise(each)
+
+    merged = F.flatten(F.transform(F.aggregate(entries, start, collect), written))
+    inner = F.transform(F.split(F.regexp_replace(F.trim(tokens), r"^\[|\]$", ""), ","), lambda x: F.trim(x))
+    all_optional = F.transform(F.filter(inner, lambda x: x != ""), lambda x: F.struct(x.alias("citation"), F.lit(True).alias("optional"), none.alias("omit")))
+    return F.when(whole, all_optional).otherwise(merged)
+
+
+def _verses(num: Column, first: Column, last: Column) -> Column:
+    return F.concat(num.cast("string"), F.lit(":"), first.cast("string"), F.when(first == last, "").otherwise(F.concat(F.lit("-"), last.cast("string"))))
+
+
+def without_omitted(verses: Column, omit: Column) -> Column:
+    """Verse numbers of a psalm but for those in the spans ``N:a-b`` of ``omit``."""
+    spans = F.transform(omit, psalm_citation)
+    return F.filter(verses, lambda v: ~F.exists(spans, lambda s: v.between(s["first"], s["last"])))
+
+
 def psalm_citation(c: Column) -> Column:
     """``struct(num, first, last)`` of ``N``, ``N:v`` or ``N:a-b``."""
     num = F.regexp_extract(c, r"^(\d+)", 1).try_cast("int")
@@ -170,6 +225,44 @@ def citation(c: Column) -> Column:
     return F.when(book != "", F.struct(book.alias("book"), F.trim(F.regexp_extract(one, shape, 2)).alias("rest")))
 
 
+# fixed values: abbreviations of the books and the names they stand for
+BOOKS = {
+    "Gen": "Genesis", "Ex": "Exodus", "Lev": "Leviticus", "Num": "Numbers", "Dt": "Deuteronomy", "Jos": "Joshua", "Jg": "Judges", "Ruth": "Ruth",
+    "1 Sam": "1 Samuel", "2 Sam": "2 Samuel", "1 Kgs": "1 Kings", "2 Kgs": "2 Kings", "1 Chr": "1 Chronicles", "2 Chr": "2 Chronicles", "Ezra": "Ezra",
+    "Neh": "Nehemiah", "Est": "Esther", "Job": "Job", "Ps": "Psalm", "Pr": "Proverbs", "Ec": "Ecclesiastes", "Song": "Song Of Songs", "Is": "Isaiah",
+    "Jer": "Jeremiah", "Lam": "Lamentations", "Ezek": "Ezekiel", "Dan": "Daniel", "Hos": "Hosea", "Jl": "Joel", "Am": "Amos", "Ob": "Obadiah", "Jon": "Jonah",
+    "Mic": "Micah", "Nah": "Nahum", "Hab": "Habakkuk", "Zeph": "Zephaniah", "Hag": "Haggai", "Zech": "Zechariah", "Mal": "Malachi", "Mt": "Matthew",
+    "Mk": "Mark", "Lk": "Luke", "Jn": "John", "Acts": "Acts", "Rom": "Romans", "1 Cor": "1 Corinthians", "2 Cor": "2 Corinthians", "Gal": "Galatians",
+    "Eph": "Ephesians", "Phil": "Philippians", "Col": "Colossians", "1 Th": "1 Thessalonians", "2 Th": "2 Thessalonians", "1 Tim": "1 Timothy",
+    "2 Tim": "2 Timothy", "Tit": "Titus", "Philem": "Philemon", "Heb": "Hebrews", "Jas": "James", "1 Pet": "1 Peter", "2 Pet": "2 Peter", "1 Jn": "1 John",
+    "2 Jn": "2 John", "3 Jn": "3 John", "Jude": "Jude", "Rev": "Revelation", "Tob": "Tobit", "Jdt": "Judith", "Wis": "Wisdom Of Solomon", "Sir": "Sirach",
+    "Bar": "Baruch", "1 Macc": "1 Maccabees", "2 Macc": "2 Maccabees", "2 Esd": "2 Esdras",
+}
+SINGLE_CHAPTER = ("2 John", "3 John", "Jude", "Obadiah", "Philemon")
+
+
+def resolved_citation(c: Column, books: dict[str, str] | None = None, single: tuple[str, ...] = SINGLE_CHAPTER) -> Column:
+    """``struct(abbrev, book, rest, inferred)`` of the first alternative; null where the book is unknown. In a book of one chapter verses
+    without a chapter stand in chapter 1 (``inferred``)."""
+    names = F.create_map(*[F.lit(x) for pair in (books or BOOKS).items() for x in pair])
+    cited = citation(c)
+    book = F.try_element_at(names, cited.getField("book"))
+    rest = cited.getField("rest")
+    inferred = book.isin(*single) & ~rest.contains(":")
+    return F.when(book.isNotNull(), F.struct(cited.getField("book").alias("abbrev"), book.alias("book"), F.when(inferred, F.concat(F.lit("1:"), rest)).otherwise(rest).alias("rest"), inferred.alias("inferred")))
+
+
+def displayed_citation(c: Column, books: dict[str, str] | None = None, single: tuple[str, ...] = SINGLE_CHAPTER) -> Column:
+    """Every alternative of a citation with its book's full name, an inferred chapter left out; unknown ones as they are."""
+
+    def full(x: Column) -> Column:
+        r = resolved_citation(F.trim(x), books, single)
+        rest = F.when(r.getField("inferred"), F.regexp_replace(r.getField("rest"), "^1:", "")).otherwise(r.getField("rest"))
+        return F.coalesce(F.when(rest != "", F.concat(r.getField("book"), F.lit(" "), rest)).otherwise(r.getField("book")), F.trim(x))
+
+    return F.array_join(F.transform(F.split(c, " or "), full), " or ")
+
+
 def verse_ranges(rest: Column) -> Column:
     """``array<struct(start_ch, start_v, end_ch, end_v)>`` of ``1:1-10, 12, 2:3—3:5``.
 
@@ -207,6 +300,12 @@ def collect_page(ref: Column) -> Column:
     return _lit_or_null(F.regexp_extract(ref, r"(\d+)", 1))
 
 
+def secondary_page(ref: Column) -> Column:
+    """The second page of a collect reference: ``or N, PAGE``, else ``or`` and three digits or more; brackets aside."""
+    bare = F.regexp_replace(ref, r"\([^)]*\)", "")
+    return F.coalesce(_lit_or_null(F.regexp_extract(bare, r"\bor\s+\d+,\s+(\d+)", 1)), _lit_or_null(F.regexp_extract(bare, r"\bor\s+(\d{3,})\b", 1)))
+
+
 def commemoration_pages(ref: Column) -> Column:
     """``array<struct(of, pages)>`` of ``(Com X: 438/9 or …)``; ``438/9`` names pages 438 and 439."""
     blocks = F.regexp_extract_all(ref, F.lit(r"\((?:Com|Mem)[^:)]*:[^)]*\)"), F.lit(0))

@@ -111,6 +111,25 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(None)).otherwise(F.format_string("%.1f%%", part * 100.0 / whole))
 
 
+def dehyphenate(c: Column, keep: list[tuple[str, str]] = ()) -> Column:
+    """Words that a line end divides put together again; the hyphen stays before a capital and in the pairs of ``keep``."""
+    out = F.regexp_replace(c, r"([A-Za-z]+)-\n(?=[A-Z])", "$1-")
+    for a, b in keep:
+        out = F.regexp_replace(out, rf"(?<![A-Za-z]){a}-\n{b}(?![A-Za-z])", f"{a}-{b}")
+    return F.regexp_replace(out, r"([A-Za-z])-\n([a-z])", "$1$2")
+
+
+def undouble(c: Column) -> Column:
+    """Words of three letters or more that stand twice in a row, once."""
+    return F.regexp_replace(c, r"(?i)\b(\w{3,})\s+\1\b", "$1")
+
+
+def plain_citation(c: Column) -> Column:
+    """A citation with colons for points, an em dash across chapters and hyphens within one."""
+    dotted = F.regexp_replace(c, r"(\d)\.(\d)", "$1:$2")
+    return F.replace(F.regexp_replace(dotted, r"(?<=\d)[a-c]?–(?=\d+:)", "—"), F.lit("–"), F.lit("-"))
+
+
 # quality predicates
 
 

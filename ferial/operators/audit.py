@@ -184,6 +184,32 @@ def duplicates(df: DataFrame, id_col: str, content: Column) -> DataFrame:
     return signed.join(first, "__s").where("id <> first_id").select("id", "first_id")
 
 
+def bucketed_lines(df: DataFrame, line: str, buckets: list[tuple[str, Column]], rest: str) -> DataFrame:
+    """``bucket, lines``: how many lines fall in each bucket, the first whose test a line meets, else ``rest``."""
+    out = None
+    for name, test in buckets:
+        hit = F.coalesce(test, F.lit(False))
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return df.where(F.col(line).isNotNull()).groupBy((F.lit(rest) if out is None else out.otherwise(rest)).alias("bucket")).agg(F.count("*").alias("lines"))
+
+
+def parity(left: DataFrame, right: DataFrame, keys: list[str], most: Column) -> DataFrame:
+    """``keys, left, right`` where the rows of the two sides differ in number by more than ``most``."""
+    n = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    both = n(left, "left").join(n(right, "right"), keys, "full_outer").na.fill(0, ["left", "right"])
+    return both.where(F.abs(F.col("left") - F.col("right")) > most)
+
+
+def chapter_ends(verses: DataFrame) -> DataFrame:
+    """``book, ch, first_v, last_v`` of every chapter."""
+    return verses.groupBy("book", "ch").agg(F.min("v").alias("first_v"), F.max("v").alias("last_v"))
+
+
+def next_older(names: DataFrame, name: str, current: str) -> DataFrame:
+    """The greatest name before ``current``; null without one."""
+    return names.agg(F.max(F.when(F.col(name) < current, F.col(name))).alias(name))
+
+
 @dataclass(frozen=True)
 class Rule:
     """A rule over the segments of a form: it fires where ``broken`` (an aggregate over them) is true."""

@@ -124,3 +124,24 @@ def nth_occurrence(df: DataFrame, key: str, date: str, upto: int) -> DataFrame:
 def middle_pick(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The row at place ⌊n/2⌋ of every key, whatever its size; null keys are one key. ``order`` begins with a number, date or time."""
     return row_at(df, [key], order, F.floor(F.col("__n") / 2))
+
+
+def outside_windows(tags: DataFrame, date: str, tag: str, windows: DataFrame) -> DataFrame:
+    """Tagged dates that lie in no window ``(tag, start, end)``, both ends inside, of their tag; tags without windows are not judged."""
+    w = windows.select(F.col("tag").alias("__t"), F.col("start").alias("__s"), F.col("end").alias("__e"))
+    judged = tags.join(w.select("__t").distinct(), F.col(tag) == F.col("__t"), "left_semi")
+    return judged.join(w, (F.col(tag) == F.col("__t")) & F.col(date).between(F.col("__s"), F.col("__e")), "left_anti")
+
+
+def stray_fast_days(tags: DataFrame, date: str, tag: str, bounds: DataFrame) -> DataFrame:
+    """Fast days that are no Friday and no weekday between Ash Wednesday and Easter of ``bounds (key, start)``."""
+    at = bounds.where("key IN ('ash_wednesday', 'easter')").agg(F.max(F.when(F.col("key") == "ash_wednesday", F.col("start"))).alias("__a"), F.max(F.when(F.col("key") == "easter", F.col("start"))).alias("__e"))
+    lent = F.coalesce((F.col(date) >= F.col("__a")) & (F.col(date) < F.col("__e")) & (F.dayofweek(date) != 1), F.lit(False))
+    fast = tags.where(F.col(tag) == "fast_day")
+    return fast.join(F.broadcast(at), F.lit(True)).where((F.dayofweek(date) != 6) & ~lent).drop("__a", "__e")
+
+
+def untagged_markers(days: DataFrame, name: str, tag: str, words: list[str]) -> DataFrame:
+    """Days whose name holds one of ``words`` and which have no tag, each word a row."""
+    held = F.array_compact(F.array(*[F.when(F.lower(name).contains(w), F.lit(w)) for w in words]))
+    return days.where(F.col(tag).isNull()).withColumn("marker", F.explode(held))

@@ -14,7 +14,7 @@ def span_kind(size: Column, flags: Column, color: Column, body_size: float = 11.
     )
 
 
-def lines_of(spans: DataFrame, tolerance: float = 3.0, part: tuple[str, ...] = ("page",)) -> DataFrame:
+def lines_of(spans: DataFrame, tolerance: float = 2.0, part: tuple[str, ...] = ("page",)) -> DataFrame:
     """``part, line, y, x, text``: spans whose baselines lie within ``tolerance`` of their line's first, left to right.
 
     The line's first baseline is carried on, so that a slope does not chain: a fold over each page, in pandas. ``part`` names
@@ -35,19 +35,30 @@ def lines_of(spans: DataFrame, tolerance: float = 3.0, part: tuple[str, ...] = (
     return spans.groupBy(*part).applyInPandas(fold, ", ".join(f"{c} {types[c]}" for c in part) + ", line int, y double, x double, text string")
 
 
-def reflow(lines: DataFrame, part: list[str], order: list[str], gap: float = 15.0, slack: float = 60.0) -> DataFrame:
-    """``part, paragraph, text``: a wide gap opens a paragraph; a line with little slack at its right joins the next by a blank, one with more by a break.
+def reflow(
+    lines: DataFrame, part: list[str], order: list[str], prose: Column, lead: float = 15.0, short: float = 60.0, decides: float = 3.0, room: float = 70.0,
+    join: tuple[str, ...] = (), keep: tuple[str, ...] = (),
+) -> DataFrame:  # noqa: E501
+    """``part, text, undecided``: the lines of every part ``(text, lead, gap, slack)`` put together, and how many breaks the geometry left open.
 
-    A null slack is the end of a page and joins.
+    A line's break goes by what stands below it, in this order: more ``lead`` than a line's is a paragraph; in prose only a line ``short`` of the
+    margin breaks, all others join; else the sign of ``slack``, the room left once the next line's first word were set here, decides if it is at least ``decides`` from
+    0 (below 0 the break was forced); a line at the end of a page (null slack) with ``room`` to spare breaks; then the lines named in ``join`` and ``keep``;
+    the rest breaks and is counted.
     """
-    w = Window.partitionBy(*part).orderBy(*order)
-    out = lines.withColumn("__p", F.sum(F.when(F.row_number().over(w) == 1, 1).when(F.col("gap") > gap, 1).otherwise(0)).over(w))
-    inner = Window.partitionBy(*part, "__p").orderBy(*order)
-    first = F.row_number().over(inner) == 1
-    joint = F.when(first, "").when(F.coalesce(F.lag("slack").over(inner), F.lit(0.0)) >= slack, "\n").otherwise(" ")
-    pieces = out.withColumn("__t", F.concat(joint, F.trim("text")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "__t"))), lambda x: x["__t"]), "")
-    return pieces.groupBy(*part, F.col("__p").alias("paragraph")).agg(text.alias("text"))
+    slack, gap, text = F.col("slack"), F.coalesce(F.col("gap"), F.lit(0.0)), F.trim("text")
+    open_ = F.lit(None).cast("string")
+    sep = (
+        F.when(F.coalesce(F.col("lead"), F.lit(0.0)) > lead, "\n\n").when(prose, F.when(F.coalesce(slack >= short, F.lit(False)), "\n").otherwise(" "))
+        .when(F.abs(slack) >= decides, F.when(slack < 0, " ").otherwise("\n")).when(slack.isNull() & (gap >= room), "\n")
+    )
+    sep = sep.when(text.isin(*join), " ") if join else sep
+    sep = sep.when(text.isin(*keep), "\n") if keep else sep
+    last = F.lead("text").over(Window.partitionBy(*part).orderBy(*order)).isNull()
+    out = lines.where(F.col("text").isNotNull()).withColumn("__s", sep.otherwise(open_)).withColumn("__last", last)
+    piece = F.concat(F.regexp_replace(text, r"[ \t]+", " "), F.when(F.col("__last"), "").otherwise(F.coalesce("__s", F.lit("\n"))))
+    items = F.array_sort(F.collect_list(F.struct(*order, piece.alias("__t"))))
+    return out.groupBy(*part).agg(F.array_join(F.transform(items, lambda x: x["__t"]), "").alias("text"), F.count_if(F.col("__s").isNull() & ~F.col("__last")).alias("undecided"))
 
 
 def page_bounds(starts: DataFrame, start: str, last: int) -> DataFrame:

@@ -318,8 +318,13 @@ def test_small_audits(spark):
 def test_geometry(spark):
     s = spark.createDataFrame([(1, 50.0, 10.0, "b"), (1, 10.0, 12.0, "a"), (1, 10.0, 30.0, "c"), (2, 1.0, 1.0, None)], "page int, x0 double, y0 double, text string")
     assert rows(geometry.lines_of(s), "page", "line", "text") == [(1, 0, "a b"), (1, 1, "c"), (2, 0, "")]
-    t = spark.createDataFrame([("u", 0, "a", 0.0, 5.0), ("u", 1, "b", 2.0, 80.0), ("u", 2, "c", 2.0, None), ("u", 3, "d", 20.0, 1.0)], "u string, seq int, text string, gap double, slack double")
-    assert rows(geometry.reflow(t, ["u"], ["seq"]), "paragraph", "text") == [(1, "a b\nc"), (2, "d")]
+    t = spark.createDataFrame(
+        [("v", 0, "forced", 0.0, 1.0, -4.0), ("v", 1, "chosen", 0.0, 1.0, 4.0), ("v", 2, "unsure", 0.0, 1.0, 1.0), ("v", 3, "named  join", None, None, -1.0), ("v", 4, "page end", 0.0, 80.0, None), ("v", 5, "para", 16.0, 1.0, -9.0), ("v", 6, "last", 0.0, 0.0, 0.0),
+         ("p", 0, "wrap", 0.0, 1.0, 59.0), ("p", 1, "off page", 0.0, 90.0, None), ("p", 2, "short", 0.0, 1.0, 60.0), ("p", 3, "end", 20.0, 0.0, 0.0), ("p", 4, None, 0.0, 0.0, 0.0)],
+        "u string, seq int, text string, lead double, gap double, slack double",
+    )
+    got = rows(geometry.reflow(t, ["u"], ["seq"], F.col("u") == "p", join=("named  join",)), "u", "text", "undecided")
+    assert got == [("p", "wrap off page short\nend", 0), ("v", "forced chosen\nunsure\nnamed join page end\npara\n\nlast", 1)]
     p = spark.createDataFrame([("a", 3), ("b", 9)], "k string, start int")
     assert rows(geometry.page_bounds(p, "start", 20), "k", "end") == [("a", 8), ("b", 20)]
     k = spark.createDataFrame([(8.0, 0, 0), (11.0, 0, 0xC00000), (14.0, 0, 0), (11.0, 16, 0), (11.0, 0, 0)], "s double, f int, c int")
