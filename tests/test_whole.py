@@ -102,4 +102,11 @@ def test_every_part_of_a_name_and_field(spark, tmp_path):
     entries = sorted((r.office, r.choice, r.ord, r.num, r.first or 0, r.last or 0, r.optional) for r in slate.psalm_entries_all(spark, d).collect())
     assert entries == [("ep", 0, 0, 4, 0, 0, False), ("ep", 1, 0, 6, 0, 0, False), ("mp", 0, 0, 1, 2, 3, False), ("mp", 0, 1, 1, 5, 5, True)]
     calendar(spark, d, [(1, "Feast of Xyzzy; Eve of the Quiet Gat", None, None)])
-    assert [(r.n, r.phrase) for r in slate.similarity_nearmiss(spark, d).collect()] == [("quiet gat", "quiet gate")]
+    assert [(r.n, r.phrase) for r in slate.similarity_nearmiss(spark, d).collect()] == [("quiet gat", "quiet gates")]
+
+
+def test_every_part_of_the_office_occurs(spark):
+    parts = {r.part: r["count"] for r in slate.office_assembly(spark, "/root/testdata/sf0.001").groupBy("part").count().collect()}
+    assert set(parts) == {1, 2, 3, 4, 5} and min(parts.values()) > 0
+    kinds = {r.kind for r in slate.office_assembly(spark, "/root/testdata/sf0.001").where("part = 3").select("kind").distinct().collect()}
+    assert kinds == {"lesson", "citation"}
