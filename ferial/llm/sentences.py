@@ -53,8 +53,8 @@ _IDLE = "|".join(
         # shortened words
         rf"{_NOT_LAST}(?<=(?<![\p{{L}}\p{{M}}])(?:{_words([*_LATIN_PAIRS, *_TITLES])}).)",
         rf"(?=\s*+(?:\p{{N}}|[IVXLC]++(?!\p{{L}})))(?<=(?<![\p{{L}}\p{{M}}])(?:{_words(_NUMBERED)}).)",
-        # a citation: a short capitalised name before a number
-        r"(?=\s*+\p{N})(?<=(?<![\p{L}\p{M}])\p{Lu}\p{Ll}{1,3}.)",
+        # a citation: a short capitalised name before a number (but the month)
+        r"(?=\s*+\p{N})(?<=(?<![\p{L}\p{M}])(?!May)\p{Lu}\p{Ll}{1,3}.)",
         # ordinals before a month
         rf"(?=\s++(?:{_MONTHS})(?!\p{{L}}))(?<=(?<!\p{{N}})\p{{N}}{{1,2}}.)",
         # scripts with full stops of their own, and single Arabic or Hebrew letters
@@ -143,6 +143,8 @@ def split_sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         (F.length("piece") - F.length(F.ltrim("piece", blanks))).alias("lead"),
         F.length(F.rtrim("piece", blanks)).alias("last"),
     )
+    # one exchange serves the repeated rows and the window
+    sized = sized.repartition("id").dropDuplicates(["id", "pos"])
     w = Window.partitionBy("id").orderBy("pos")
     placed = sized.withColumn("end", F.sum("n").over(w)).where("last > lead")
     start = F.col("end") - F.col("n")

@@ -19,6 +19,7 @@ CASES = {
     "am 3. Mai z. B. Tal d. h. „Fluss. Ernte.“ Berg Nr. 5": ["am 3. Mai z. B. Tal d. h. „Fluss. Ernte.“", "Berg Nr. 5"],
     "Соль т. е. и т. д. до А. Б. Мард. Св. гл. 4.": ["Соль т. е. и т. д. до А. Б. Мард.", "Св. гл. 4."],
     "¿Qué? ¡Sí! See https://a.example.org/x.html?y=1 now.": ["¿Qué?", "¡Sí!", "See https://a.example.org/x.html?y=1 now."],
+    "He left in May. 12 men came. See Mar. 12 there.": ["He left in May.", "12 men came.", "See Mar. 12 there."],
     "(a. B": ["(a.", "B"],
     "...": ["..."],
     " \n ": [],
@@ -46,4 +47,6 @@ def test_places_long_texts_and_edges(spark):
     assert own[:2] == [(1, 0, 5), (2, 6, 11)] and own[-1][2] == len(long)
     assert all(a[2] <= b[1] for a, b in zip(own, own[1:]))
     assert all(not long[a[2] : b[1]].strip() for a, b in zip(own, own[1:]))
+    twice = spark.createDataFrame([(1, "A b. C d.")] * 3 + [(2, "E")], "doc_id int, text string")
+    assert sorted(map(tuple, split_sentences(twice, "doc_id", "text").collect())) == [(1, 1, 0, 4), (1, 2, 5, 9), (2, 1, 0, 1)]
     assert split_sentences(df.limit(0), "doc_id", "text").count() == 0
