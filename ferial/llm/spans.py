@@ -36,6 +36,7 @@ _BLOCK_CHARS = 1_000_000
 _LEN_BITS = 20  # a place is a position and a length in one long
 _MARKS = 4_000_000  # places that may be broadcast
 _LIVE = 1_000_000  # names that may be broadcast
+_HELD_PAIRS = 1 << 20  # counts a task holds before it passes them on
 _RUN_NAME, _PAIR_NAME = 0x110000, 0x220000  # names below are characters, then runs of two, then pairs
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -193,17 +194,34 @@ def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
             yield chars, offsets, doc_start[:-1], b.column(0).slice(i, j - i)
 
 
+def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate([k for k, _ in counts]), return_inverse=True)
+    n = np.zeros(len(key), np.int64)
+    np.add.at(n, at, np.concatenate([c for _, c in counts]))
+    return key, n
+
+
+def _pair_batch(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["pair", "n"])
+
+
 def name_pairs(texts: DataFrame, tables: list[Names]) -> Names:
     """The next round: counts all pairs of all texts as the rounds so far parse them, and names those that are joined."""
     r = len(tables) + 1
     shared = texts.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for chars, _, doc_start, _ in _texts_of(batches):
             levels = parse(chars, doc_start, shared.value)
             start, symbol = levels[-1] if r > 1 else _named_runs(chars, doc_start)
-            key, n = np.unique(_pairs(start, symbol, doc_start, r)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["pair", "n"])
+            held.append(np.unique(_pairs(start, symbol, doc_start, r)[1], return_counts=True))
+            if sum(len(k) for k, _ in held) > _HELD_PAIRS:
+                held = [_summed(held)]
+                if len(held[0][0]) > _HELD_PAIRS // 2:
+                    yield _pair_batch(*held.pop())
+        if held:
+            yield _pair_batch(*_summed(held))
 
     counts = texts.select("t", "text").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     top = [(p >> 32, p & 0xFFFFFFFF, n) for p, n in counts.orderBy(F.desc("n"), "pair").limit(NAMES).collect()]
