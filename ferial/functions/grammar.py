@@ -337,3 +337,18 @@ def notes(cell: Column) -> Column:
     segments = F.filter(F.transform(F.split(cell, r"(?i)<br\s*/?>"), lambda x: F.trim(x)), lambda x: x != "")
     kind = lambda x: F.coalesce(_lit_or_null(F.regexp_extract(x, r"^\[([a-z]+)\]", 1)), F.lit("pastoral"))
     return F.transform(segments, lambda x: F.struct(kind(x).alias("type"), F.trim(F.regexp_replace(x, r"^\[[a-z]+\]", "")).alias("text")))
+
+
+def typed_notes(cell: Column, types: Column) -> Column:
+    """``array<struct(type, text)>`` of a notes cell whose types are given: one for all of the cell, or one a part. Another number of types
+    than of parts is an error; no types at all leave ``notes``' own."""
+    segments = F.filter(F.transform(F.split(cell, r"(?i)<br\s*/?>"), lambda x: F.trim(x)), lambda x: x != "")
+    one = F.array(F.struct(F.element_at(types, 1).alias("type"), F.array_join(segments, "\n").alias("text")))
+    each = F.zip_with(types, segments, lambda t, s: F.struct(t.alias("type"), s.alias("text")))
+    wrong = F.raise_error(F.concat(F.lit("types and notes differ in number: "), F.coalesce(cell, F.lit("null"))))
+    return F.when(F.coalesce(F.size(types), F.lit(0)) <= 0, notes(cell)).when(F.size(types) == 1, one).when(F.size(types) == F.size(segments), each).otherwise(wrong)
+
+
+def antiphon(text: Column) -> Column:
+    """An antiphon without the ember day's note that follows it."""
+    return F.trim(F.regexp_replace(text, r"(?s)\s*Ember Day:.*$", ""))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ferial.functions.text import squash
 from ferial.operators.conserve import found_in
+from ferial.operators.lookup import verses_in_ranges
 
 # fixed values: what a finding costs
 PENALTY = {1: 10, 2: 3, 3: 5}
@@ -106,6 +107,17 @@ def baseline(findings: DataFrame, known: DataFrame, keys: list[str], count: str
     return both.select(*keys, "found", F.coalesce("expected", F.lit(0)).alias("expected"), outcome.alias("outcome"))
 
 
+def unclaimed(findings: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Baseline by membership only: ``keys, outcome`` of findings nobody claimed (new) and of claims without a finding (stale)."""
+    a, b = findings.select(*keys).distinct(), known.select(*keys).distinct()
+    return a.join(b, keys, "left_anti").withColumn("outcome", F.lit("new")).unionByName(b.join(a, keys, "left_anti").withColumn("outcome", F.lit("stale")))
+
+
+def empty_ranges(ranges: DataFrame, verses: DataFrame, id_col: str) -> DataFrame:
+    """Ids of ranges ``(id, book, start_ch, start_v, end_ch, end_v)`` that hold no verse: unknown book, no such place, or reversed."""
+    return ranges.join(verses_in_ranges(ranges, verses).select(id_col).distinct(), id_col, "left_anti").select(id_col)
+
+
 def conservation(left: DataFrame, right: DataFrame, unit: str, text: str) -> DataFrame:
     """Every line of ``left`` with the first rule that accounts for it in ``right`` of the same unit: verbatim, whitespace
     (equal when squashed), part (inside a line) or unaccounted. Exact rules are equi joins; what they leave is searched for by

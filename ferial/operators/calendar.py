@@ -145,3 +145,25 @@ def untagged_markers(days: DataFrame, name: str, tag: str, words: list[str]) ->
     """Days whose name holds one of ``words`` and which have no tag, each word a row."""
     held = F.array_compact(F.array(*[F.when(F.lower(name).contains(w), F.lit(w)) for w in words]))
     return days.where(F.col(tag).isNull()).withColumn("marker", F.explode(held))
+
+
+def lonely_eves(days: DataFrame, date: str, eve: str, kept: str) -> DataFrame:
+    """Days with an eve whose following date (not row) is there yet neither ranked nor observed, or is not there: ``date``."""
+    after = days.groupBy(F.date_sub(date, 1).alias("__d")).agg(F.bool_or(F.coalesce(F.col(kept), F.lit(False))).alias("__k"))
+    eves = days.where(F.col(eve))
+    return eves.join(after, F.col(date) == F.col("__d"), "left").where(~F.coalesce("__k", F.lit(False))).drop("__d", "__k")
+
+
+def detected_bounds(days: DataFrame, date: str, name: str, phrases: DataFrame, twice: tuple[str, ...] = ("advent", "christmas")) -> DataFrame:
+    """``key, start``: the first date whose name matches a phrase of ``phrases (key, phrase)``, exactly before in part. Keys of ``twice`` take two dates,
+    as ``key_i`` and ``key_ii`` (``christmas`` itself for its first), and a row that matches one of them serves no other key."""
+    p = phrases.select(F.col("key").alias("__k"), F.lower("phrase").alias("__p"))
+    low = F.lower(F.trim(F.col(name)))
+    rows = days.select(F.col(date).alias("__d"), low.alias("__n")).where("__n IS NOT NULL").distinct()
+    hits = rows.join(F.broadcast(p), F.contains(F.col("__n"), F.col("__p"))).withColumn("__exact", F.col("__n") == F.col("__p"))
+    double = hits.where(F.col("__k").isin(*twice))
+    rest = hits.where(~F.col("__k").isin(*twice)).join(double.select("__d", "__n").distinct(), ["__d", "__n"], "left_anti")
+    ranked = double.select("__k", "__d").distinct().withColumn("__r", F.row_number().over(Window.partitionBy("__k").orderBy("__d"))).where("__r <= 2")
+    label = F.when((F.col("__k") == "christmas") & (F.col("__r") == 1), "christmas").otherwise(F.concat("__k", F.when(F.col("__r") == 1, "_i").otherwise("_ii")))
+    one = rest.groupBy("__k").agg(F.coalesce(F.min(F.when(F.col("__exact"), F.col("__d"))), F.min("__d")).alias("start"))
+    return ranked.select(label.alias("key"), F.col("__d").alias("start")).unionByName(one.select(F.col("__k").alias("key"), "start"))

@@ -89,6 +89,58 @@ def replace_equal(rows: DataFrame, corrections: DataFrame, keys: list[str], valu
     return out.withColumn("outcome", outcome).withColumn(value, F.when(F.coalesce(hit, F.lit(False)), F.col("__new")).otherwise(F.col(value))).drop("__old", "__new", "__c")
 
 
+def replace_first(rows: DataFrame, corrections: DataFrame, keys: list[str], text: str, stamps: str) -> DataFrame:
+    """``rows`` with the first ``old`` of ``text`` replaced by the correction ``(keys…, id, old, new, reason)`` of its key, and the id
+    appended to the array ``stamps`` where the correction gives a reason. ``outcome``: applied, miss (``old`` not there) or untouched."""
+    c = corrections.select(*keys, F.col("id").alias("__id"), F.col("old").alias("__old"), F.col("new").alias("__new"), F.col("reason").alias("__why"))
+    out = rows.join(c, keys, "left")
+    hit = F.coalesce(F.instr(F.col(text), F.col("__old")) > 0, F.lit(False))
+    outcome = F.when(F.col("__id").isNull(), "untouched").when(hit, "applied").otherwise("miss")
+    held = F.coalesce(F.col(stamps), F.expr("cast(array() as array<string>)"))
+    stamped = F.when(hit & (F.trim(F.coalesce("__why", F.lit(""))) != ""), F.array_append(held, F.col("__id"))).otherwise(F.col(stamps))
+    out = out.withColumn("outcome", outcome).withColumn(stamps, stamped)
+    return out.withColumn(text, F.when(hit, first_occurrence(F.col(text), F.col("__old"), F.col("__new"))).otherwise(F.col(text))).drop("__id", "__old", "__new", "__why")
+
+
+def replace_at(rows: DataFrame, corrections: DataFrame, keys: list[str], items: str) -> DataFrame:
+    """``rows`` with the member ``idx`` (from 0) of the array ``items`` replaced by ``new`` where it equals ``old`` of the correction ``(keys…,
+    idx, old, new)``; several corrections of a row aim at different places. ``misses`` are the places out of range or with another value."""
+    c = corrections.groupBy(*keys).agg(F.collect_list(F.struct("idx", "old", "new")).alias("__c"))  # corrections of one row: few
+    out = rows.join(c, keys, "left")
+    fits = lambda x: F.try_element_at(F.col(items), x["idx"] + 1).eqNullSafe(x["old"]) & (x["idx"] >= 0) & (x["idx"] < F.size(items))
+    new = lambda v, i: F.coalesce(F.try_element_at(F.filter("__c", lambda x: (x["idx"] == i) & fits(x)), F.lit(1)).getField("new"), v)
+    misses = F.transform(F.filter("__c", lambda x: ~F.coalesce(fits(x), F.lit(False))), lambda x: x["idx"])
+    out = out.withColumn("misses", F.coalesce(misses, F.expr("cast(array() as array<int>)")))
+    return out.withColumn(items, F.when(F.col("__c").isNull(), F.col(items)).otherwise(F.transform(F.col(items), new))).drop("__c")
+
+
+def stale_checks(corrections: DataFrame, targets: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``id, outcome`` of every correction ``(id, keys…, old)`` against the text it aims at, before any is applied: ok (``old`` stands there),
+    blank (it does but for non-breaking blanks), stale, or no target."""
+    t = targets.select(*keys, F.col(value).alias("__v"), F.lit(True).alias("__t"))
+    plain = lambda c: F.translate(c, "\u00a0\u202f\u2007", "   ")
+    has = F.contains(F.coalesce("__v", F.lit("")), F.col("old"))
+    near = F.contains(plain(F.coalesce("__v", F.lit(""))), plain(F.col("old")))
+    outcome = F.when(F.col("__t").isNull(), "no target").when(has, "ok").when(near, "blank").otherwise("stale")
+    return corrections.join(t, keys, "left").select("id", outcome.alias("outcome"))
+
+
+def refusals(corrections: DataFrame, fields: DataFrame) -> DataFrame:
+    """``id, problem`` of corrections ``(id, form, section, old)`` that may not be applied: of every form yet of a whole field (a null ``old``), or of a
+    field that only refers to a shared block (``fields (form, section, shared_key)``), with the block to correct instead."""
+    wild = corrections.where("form = '*' AND old IS NULL").select("id", F.lit("whole field of every form").alias("problem"))
+    shared = fields.where("shared_key IS NOT NULL").select("form", "section", "shared_key").distinct()
+    through = corrections.join(shared, ["form", "section"]).select("id", F.concat(F.lit("correct _shared."), "shared_key").alias("problem"))
+    return wild.unionByName(through)
+
+
+def uncited(corrections: DataFrame, decisions: DataFrame, source: str) -> DataFrame:
+    """``id, problem``: corrections that cite a decision which does not exist, or come from ``source`` and cite none."""
+    d = decisions.select(F.col("number").alias("decision")).distinct()
+    lost = corrections.where("decision IS NOT NULL").join(d, "decision", "left_anti").select("id", F.lit("unknown decision").alias("problem"))
+    return lost.unionByName(corrections.where((F.col("source") == source) & F.col("decision").isNull()).select("id", F.lit("no decision").alias("problem")))
+
+
 def unmatched(rows: DataFrame, corrections: DataFrame, keys: list[str]) -> DataFrame:
     """Corrections whose target does not exist."""
     return corrections.join(rows.select(*keys).distinct(), keys, "left_anti")

@@ -204,3 +204,15 @@ def first_copies(blocks: DataFrame, key: str, order: list[str], content: Column)
     marked = signed.join(first, F.col(key).eqNullSafe(F.col("__k"))).withColumn("__first", place.eqNullSafe(F.col("__p")))
     spare = ["__k", "__f", "__p", "__sig", "__first"]
     return marked.where("__first").drop(*spare), marked.where("NOT __first AND NOT (__sig <=> __f)").drop(*spare)
+
+
+def header(df: DataFrame, part: list[str], order: list[str], kind: str = "kind", text: str = "text") -> DataFrame:
+    """``part, title, subtitle``: the first heading of every part, and the leader lines between it and the next heading, two at most."""
+    heading, place = F.col(kind) == "heading", F.struct(*order)
+    first = df.groupBy(*part).agg(F.min_by(F.when(heading, F.col(text)), F.when(heading, place)).alias("title"), F.min(F.when(heading, place)).alias("__a"))
+    after = df.join(first, part).where(place > F.col("__a"))
+    ends = after.groupBy(*part).agg(F.min(F.when(heading, place)).alias("__z"))
+    between = after.join(ends, part).where((F.col(kind) == "leader") & (F.col("__z").isNull() | (place < F.col("__z"))))
+    ranked = between.withColumn("__r", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where("__r <= 2")
+    sub = ranked.groupBy(*part).agg(F.concat_ws(" ", F.max(F.when(F.col("__r") == 1, F.col(text))), F.max(F.when(F.col("__r") == 2, F.col(text)))).alias("subtitle"))
+    return first.where("title IS NOT NULL").drop("__a").join(sub, part, "left")

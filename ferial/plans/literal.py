@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from ferial.functions import colour, dates, grammar, scraped, text
 from ferial.operators import align, audit, calendar, corrections, geometry, segments
 from ferial.plans import forms
-from ferial.runtime import small
-from ferial.sources import readers
+from ferial.runtime import ensure_checkpoint_dir, small
+from ferial.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -284,3 +285,113 @@ def _cells(spark):
 def _elements(spark):
     given = small(spark, [(1, '<div id="a">x <b>y</b><br>z</div>'), (2, '<p id="a"></p><p id="b">q</p><p id="b">no</p>'), (3, None)], "k int, html string")
     return readers.html_by_id(given, "html", ["a", "b"]).select("k", "a", "b")
+
+
+values("antiphons", grammar.antiphon, [("O Key, come.  Ember Day: fast.", "O Key, come."), ("O Key", "O Key")])
+
+
+@rows("typed_note_cells", ["k", "notes"], [(1, "a:x / b:y"), (2, "s:x y"), (3, "pastoral:x / rubric:y"), (4, "")])
+def _typed(spark):
+    given = small(spark, [(1, "x<br>y", ["a", "b"]), (2, "x<br> <br/>y", ["s"]), (3, "x<br>[rubric] y", None), (4, "", [])], "k int, cell string, types array<string>")
+    return given.select("k", F.replace(_listed(grammar.typed_notes(F.col("cell"), F.col("types")), lambda n: F.concat(n["type"], F.lit(":"), n["text"]), " / "), F.lit("\n"), F.lit(" ")).alias("notes"))
+
+
+@rows("first_replacements", ["k", "t", "stamps", "outcome"], [("a", "1-y-x", "s0,c1", "applied"), ("b", "none", "", "miss"), ("c", "x", "", "untouched"), ("d", "y", "", "applied")])
+def _first(spark):
+    given = small(spark, [("a", "1-x-x", ["s0"]), ("b", "none", []), ("c", "x", []), ("d", "x", None)], "k string, t string, stamps array<string>")
+    c = small(spark, [("a", "c1", "x", "y", "print"), ("b", "c2", "x", "y", "print"), ("d", "c3", "x", "y", " ")], "k string, id string, old string, new string, reason string")
+    return corrections.replace_first(given, c, ["k"], "t", "stamps").withColumn("stamps", F.coalesce(F.array_join("stamps", ","), F.lit("")))
+
+
+@rows("list_replacements", ["k", "items", "missed"], [("a", "p,B,c,D", "9"), ("b", "x", "0"), ("c", "z", "")])
+def _lists(spark):
+    given = small(spark, [("a", ["p", "b", "c", "d"]), ("b", ["x"]), ("c", ["z"])], "k string, items array<string>")
+    c = small(spark, [("a", 1, "b", "B"), ("a", 3, "d", "D"), ("a", 9, "q", "Q"), ("b", 0, "y", "Y")], "k string, idx int, old string, new string")
+    return corrections.replace_at(given, c, ["k"], "items").select("k", F.array_join("items", ",").alias("items"), F.array_join("misses", ",").alias("missed"))
+
+
+@rows("stale_corrections", ["id", "outcome"], [("1", "ok"), ("2", "blank"), ("3", "stale"), ("4", "no target")])
+def _stale(spark):
+    t = small(spark, [("f", "a\u00a0lamp burns")], "form string, text string")
+    return corrections.stale_checks(small(spark, [("1", "f", "burns"), ("2", "f", "a lamp"), ("3", "f", "dusk"), ("4", "g", "x")], "id string, form string, old string"), t, ["form"], "text")
+
+
+@rows("refused_corrections", ["id", "problem"], [("1", "whole field of every form"), ("3", "correct _shared.k"), ("4", "unknown decision"), ("5", "no decision")])
+def _refused(spark):
+    c = small(spark, [("1", "*", "s", None), ("2", "*", "s", "x"), ("3", "f", "s", "x")], "id string, form string, section string, old string")
+    d = small(spark, [("4", "print", 9), ("5", "review", None), ("6", "print", None), ("7", "review", 1)], "id string, source string, decision int")
+    return corrections.refusals(c, small(spark, [("f", "s", "k"), ("f", "t", None)], "form string, section string, shared_key string")).unionByName(corrections.uncited(d, small(spark, [(1,)], "number int"), "review"))
+
+
+@rows("baseline_members", ["k", "outcome"], [("b", "new"), ("c", "stale")])
+def _members(spark):
+    return audit.unclaimed(small(spark, [("a",), ("a",), ("b",)], "k string"), small(spark, [("a",), ("c",)], "k string"), ["k"])
+
+
+@rows("ranges_without_verses", ["id"], [("gone",), ("nobook",), ("reversed",)])
+def _ranges(spark):
+    v = small(spark, [("B", 1, n) for n in (1, 2, 3)], "book string, ch int, v int")
+    r = [("fine", "B", 1, 2, 1, 9), ("reversed", "B", 1, 3, 1, 1), ("gone", "B", 4, 1, 5, 2), ("nobook", "C", 1, 1, 1, 2)]
+    return audit.empty_ranges(small(spark, r, "id string, book string, start_ch int, start_v int, end_ch int, end_v int"), v, "id")
+
+
+@rows("eves_without_feast", ["day"], [("2030-01-03",), ("2030-01-05",)])
+def _eves(spark):
+    d = [("2030-01-01", True, False), ("2030-01-02", False, True), ("2030-01-03", True, False), ("2030-01-04", False, None), ("2030-01-05", True, True)]
+    return calendar.lonely_eves(small(spark, d, "d string, eve boolean, kept boolean").withColumn("day", F.to_date("d")), "day", "eve", "kept").withColumn("day", F.col("day").cast("string"))
+
+
+@rows("bounds_of_names", ["key", "start"], [("advent_i", "2030-12-01"), ("advent_ii", "2031-11-30"), ("christmas", "2030-12-25"), ("christmas_ii", "2031-12-25"), ("easter", "2031-04-13")])
+def _bounds(spark):
+    d = [("2030-12-01", "First Sunday of Advent"), ("2030-12-25", "Christmas Day"), ("2031-04-06", "Easter approaches"), ("2031-04-13", "Easter"), ("2031-11-30", "First Sunday of Advent"), ("2031-12-25", "Christmas Day of Easter"), ("2032-12-25", "Christmas Day"), ("2032-01-01", None)]
+    p = small(spark, [("advent", "first sunday of advent"), ("christmas", "christmas day"), ("easter", "Easter")], "key string, phrase string")
+    out = calendar.detected_bounds(small(spark, d, "d string, name string").withColumn("day", F.to_date("d")), "day", "name", p)
+    return out.withColumn("start", F.col("start").cast("string"))
+
+
+@rows("form_headers", ["form", "title", "subtitle"], [("f", "Dusk", "one two"), ("g", "Dawn", None)])
+def _headers(spark):
+    s = [("f", 0, "leader", "before"), ("f", 1, "heading", "Dusk"), ("f", 2, "leader", "one"), ("f", 3, "rubric", "r"), ("f", 4, "leader", "two"), ("f", 5, "leader", "three"), ("f", 6, "heading", "Next"), ("g", 0, "heading", "Dawn"), ("g", 1, "heading", "X"), ("g", 2, "leader", "late"), ("h", 0, "leader", "none")]
+    return segments.header(small(spark, s, "form string, seq int, kind string, text string"), ["form"], ["seq"])
+
+
+# writers
+
+
+@rows("files_by_number", ["number", "n"], [(1, 2), (2, 1)])
+def _files(spark):
+    path = f"{ensure_checkpoint_dir(spark)}/each-{uuid.uuid4().hex}"
+    sinks.write_each(small(spark, [(1, "a"), (1, "b"), (2, "c")], "number int, text string"), path, "number")
+    return spark.read.json(path).groupBy(F.col("number").cast("int").alias("number")).agg(F.count("*").cast("int").alias("n"))
+
+
+@rows("months_written", ["month", "n", "back"], [("2030-01", 2, 2), ("2030-02", 1, 1)])
+def _months(spark):
+    path = f"{ensure_checkpoint_dir(spark)}/months-{uuid.uuid4().hex}"
+    days = small(spark, [("2030-01-05", "x"), ("2030-01-09", "y"), ("2030-02-01", "z")], "d string, v string").select(F.to_date("d").alias("date"), "v")
+    sinks.write_months(days, path)
+    sinks.write_months(days.where("v = 'z'"), path)  # only its month is replaced
+    back = spark.read.json(path).groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").cast("int").alias("back"))
+    return days.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.count("*").cast("int").alias("n")).join(back, "month")
+
+
+@rows("mirrored_rows", ["k"], [(1,), (2,)])
+def _mirrored(spark):
+    path = f"{ensure_checkpoint_dir(spark)}/mirror-{uuid.uuid4().hex}"
+    sinks.mirror(small(spark, [(9,)], "k int"), path)
+    sinks.mirror(small(spark, [(1,), (2,)], "k int"), path)
+    return spark.read.parquet(path)
+
+
+@rows("report_lines", ["line"], [('{"form":"f","rule":"r"}',), ('{"form":"g","rule":"s"}',)])
+def _report(spark):
+    return sinks.report(small(spark, [("s", "g"), ("r", "f")], "rule string, form string"))
+
+
+@rows("malformed_documents", ["file"], [("b.json",), ("c.json",)])
+def _malformed(spark):
+    path = f"{ensure_checkpoint_dir(spark)}/docs-{uuid.uuid4().hex}"
+    for name, body in (("a", '{"x": 1}'), ("b", "[1"), ("c", "")):
+        small(spark, [(body or " ",)], "value string").coalesce(1).write.text(f"{path}/{name}.json")
+    found = readers.malformed(spark, f"{path}/*/part-*")
+    return found.select(F.regexp_extract("file", r"([abc]\.json)", 1).alias("file"))

@@ -47,7 +47,28 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_loaded, p5_found)}
 
+_UNQUOTED = "CASE WHEN starts_with(x, '\"') THEN replace(substr(x, 2, length(x) - 2), '\"\"', '\"') ELSE x END"
+_STRIP = r"regexp_replace({0}, '^[ \t\r\n\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[ \t\r\n\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g')"
+_BAD = r"[\x{{00}}-\x{{08}}\x{{0B}}\x{{0C}}\x{{0E}}-\x{{1F}}\x{{7F}}-\x{{9F}}\x{{FFFD}}]".replace("{{", "{").replace("}}", "}")
+_HUES = "(?:White|Red|Green|Violet|Rose|Blue)"
+_TITLE = rf"regexp_extract(x, '(?s)^(.*?)(?: - (?:PF|HD|Mem|Com))?(?: \({_HUES}(?:/{_HUES})?\))?$', 1)"
+#: the contract of a record as TESTDATA.md states it, one field after the other
+_JUDGED = rf"""(
+    WITH r AS (SELECT line_id, coalesce(any_value(raw_line), '') AS raw FROM calendar_raw GROUP BY 1),
+         q AS (SELECT *, regexp_full_match(raw, '(?s)(?:"(?:""|[^"])*"|[^",]*)(?:,(?:"(?:""|[^"])*"|[^",]*))*') AS quoted FROM r),
+         f AS (SELECT *, CASE WHEN quoted THEN list_transform(regexp_extract_all(raw, '(?s)(?:^|,)("(?:""|[^"])*"|[^",]*)', 1), lambda x: {_STRIP.format(_UNQUOTED)}) END AS v FROM q),
+         n AS (SELECT *, v[1] AS f1, v[2] AS f2, v[3] AS f3, coalesce(v[6], '') AS f6 FROM f),
+         j AS (SELECT *, CASE WHEN NOT quoted THEN 'quoting' WHEN len(v) NOT IN (5, 6) THEN 'columns' END AS shape,
+                 regexp_full_match(f1, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND TRY_CAST(f1 AS DATE) IS NOT NULL AS dated,
+                 NOT regexp_matches(f2, '{_BAD}') AND len(list_filter(string_split(f2, '<br>'), lambda x: {_STRIP.format(_TITLE)} = '' OR starts_with({_TITLE}, '- ') OR contains({_TITLE}, ' - ') OR regexp_matches({_TITLE}, '[()\[\]]'))) = 0 AS named,
+                 f3 = '' OR (NOT regexp_matches(f3, '{_BAD}') AND starts_with(f3, 'Collect of the Day: ') AND ends_with(f3, 'Amen.')) AS prayed,
+                 f6 = '' OR (NOT regexp_matches(f6, '{_BAD}') AND len(list_filter(string_split(f6, '<br>'), lambda x: NOT regexp_full_match(x, '(?s)\[(?:pastoral|source|antiphon|rubric)\] \S.*'))) = 0) AS noted FROM n)
+    SELECT line_id, v, coalesce(shape, CASE WHEN NOT (dated AND named AND prayed AND noted) THEN 'value' END) AS reason,
+        CASE WHEN shape IS NOT NULL THEN 'row' WHEN NOT dated THEN 'cal_date' WHEN NOT named THEN 'name' WHEN NOT prayed THEN 'eucharist' WHEN NOT noted THEN 'extra' END AS field FROM j)"""
+
 ORACLE = {
+    "p4_found": f"SELECT line_id, reason, field FROM {_JUDGED} WHERE reason IS NOT NULL",
+    "p4_loaded": f"SELECT line_id, CAST(v[1] AS DATE) AS cal_date, v[2] AS name, v[3] AS eucharist, v[4] AS morning, v[5] AS evening, v[6] AS extra FROM {_JUDGED} WHERE reason IS NULL",
     "p1_found": """
         WITH a AS (SELECT form, section, seq, type, text FROM (
                SELECT *, row_number() OVER (PARTITION BY form, section, seq ORDER BY loaded_at DESC NULLS LAST) AS n FROM form_lines_app) WHERE n = 1),

@@ -34,13 +34,19 @@ def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def json_by_key(spark: SparkSession, path: str, value: str, key: str = "key") -> DataFrame:
     """``key, value`` of documents that are one object keyed by strings; ``value`` is the DDL of the values.
 
-    Files that cannot be read are skipped.
+    Files that cannot be read or parsed are skipped; ``malformed`` names them.
     """
     docs = spark.read.option("ignoreCorruptFiles", True).text(path, wholetext=True)
     parsed = F.from_json("value", f"map<string,{value}>")
     return docs.select(F.explode(parsed).alias(key, "value"))
 
 
+def malformed(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` of every document that is no JSON object; files that cannot be read are errors here. ``json_by_key`` passes over them."""
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return docs.where(F.coalesce(F.from_json("value", "map<string,string>").isNull(), F.lit(True))).select("file")
+
+
 def days_on(days: DataFrame, date: str) -> DataFrame:
     """A point read of a table partitioned by ``month``: only that month's files are listed."""
     return days.where((F.col("month") == date[:7]) & (F.col("date") == F.lit(date).cast("date")))

@@ -58,3 +58,13 @@ def manifest_drift(current: DataFrame, recorded: DataFrame) -> DataFrame:
 def report(findings: DataFrame) -> DataFrame:
     """One JSON line per finding, in order."""
     return findings.select(F.to_json(F.struct(*sorted(findings.columns))).alias("line")).orderBy("line")
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows as indented JSON documents, one a row, keys in the order of the columns."""
+    df.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_each(df: DataFrame, path: str, by: str) -> None:
+    """A folder of JSON for every value of ``by``, such as a psalm's number."""
+    df.repartition(by).write.partitionBy(by).mode("overwrite").json(path)

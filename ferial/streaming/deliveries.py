@@ -19,14 +19,26 @@ def counts_by_window(stream: DataFrame, at: str, width: str, by: str, late: str
     return stream.withWatermark(at, late).groupBy(F.window(at, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
 
-def upsert_stream(stream: DataFrame, keys: list[str], at: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps ``path`` at the latest version of every key: each micro-batch is merged into a new version of the table."""
+def upsert_stream(stream: DataFrame, keys: list[str], at: str, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keeps ``path`` at the latest version of every key: rows lie in folders by a hash of their key, and a micro-batch
+    rewrites only the folders its keys fall in. A batch that runs twice changes nothing the second time.
+    """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        newest = keep_last(batch, keys, [F.col(at)])
-        if number > 0:
-            newest = keep_last(spark.read.parquet(f"{path}/v{number - 1}").unionByName(newest), keys, [F.col(at)])
-        newest.write.mode("overwrite").parquet(f"{path}/v{number}")
+        newest = keep_last(batch, keys, [F.col(at)]).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        try:
+            touched = [r[0] for r in newest.select("bucket").distinct().collect()]  # at most ``buckets``
+            if not touched:
+                return
+            there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+                old = spark.read.schema(newest.schema).parquet(path).where(F.col("bucket").isin(touched))
+                merged = keep_last(old.unionByName(newest), [*keys, "bucket"], [F.col(at)])
+            else:
+                merged = newest
+            merged.repartition("bucket").write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        finally:
+            newest.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,3 +1,4 @@
+import shutil
 import sys
 from pathlib import Path
 
@@ -8,14 +9,18 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
     s = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", str(shared))
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    return s
+    yield s
+    s.stop()
+    shutil.rmtree(shared, ignore_errors=True)

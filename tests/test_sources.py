@@ -76,5 +76,17 @@ def test_stream_keeps_the_latest(spark, tmp_path):
     rows_ = spark.createDataFrame([("a", "2030-01-01 00:00:00", "x"), ("a", "2030-01-02 00:00:00", "y"), ("b", "2030-01-01 00:00:00", "z"), ("b", "2030-01-01 00:00:00", "z")], "k string, t string, v string").select("k", F.col("t").cast("timestamp").alias("t"), "v")
     rows_.coalesce(1).write.parquet(str(src))
     stream = spark.readStream.schema(rows_.schema).parquet(str(src))
-    upsert_stream(distinct_deliveries(stream, ["k", "v"], "t", "3 days"), ["k"], "t", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "out" / "v0")), "k", "v") == [("a", "y"), ("b", "z")]
+    run = lambda: upsert_stream(distinct_deliveries(stream, ["k", "v"], "t", "3 days"), ["k"], "t", str(tmp_path / "out"), str(tmp_path / "cp"), 4).awaitTermination()
+    run()
+    out = lambda: rows(spark.read.parquet(str(tmp_path / "out")), "k", "v")
+    assert out() == [("a", "y"), ("b", "z")]
+    files = lambda: {f.name for f in (tmp_path / "out").rglob("*.parquet")}
+    before = files()
+    more = spark.createDataFrame([("c", "2030-01-02 00:00:00", "w"), ("b", "2029-12-31 00:00:00", "old")], "k string, t string, v string").select("k", F.col("t").cast("timestamp").alias("t"), "v")
+    more.coalesce(1).write.mode("append").parquet(str(src))
+    run()
+    assert out() == [("a", "y"), ("b", "z"), ("c", "w")]
+    # a folder without new keys is left alone
+    touched = {r[0] for r in more.select(F.pmod(F.xxhash64("k"), F.lit(4))).collect()}
+    mine = rows_.where("k = 'a'").select(F.pmod(F.xxhash64("k"), F.lit(4))).first()[0]
+    assert mine in touched or before & files()
