@@ -51,4 +51,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p6_found, p7_found, p8_mixture, p8_shares, p9_found)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    # every window of 80 characters of every text, without any symbols
+    "p6_found": """
+        WITH s AS (SELECT DISTINCT seg_id, text FROM segments WHERE length(text) >= 80),
+             w AS (SELECT seg_id, text, unnest(generate_series(1, length(text) - 79)) AS pos FROM s), x AS (SELECT seg_id, pos, substr(text, pos, 80) AS part FROM w),
+             h AS (SELECT part FROM x GROUP BY 1 HAVING min(seg_id) <> max(seg_id)), c AS (SELECT DISTINCT seg_id, pos FROM x JOIN h ON x.part = h.part),
+             g AS (SELECT seg_id, least(80, coalesce(lead(pos) OVER (PARTITION BY seg_id ORDER BY pos) - pos, 80)) AS n FROM c)
+        SELECT seg_id, CAST(sum(n) AS BIGINT) AS shared_chars FROM g GROUP BY 1""",
+}
