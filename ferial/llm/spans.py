@@ -93,6 +93,37 @@ class Names:
         sides[0, a], sides[1, b] = True, True
         return sides[0], sides[1]
 
+    @cached_property
+    def _slots(self) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """A hash table of the pairs: slots hold a pair and its place; pairs that find theirs taken stay in order beside it."""
+        bits = max(4, (4 * len(self.pairs)).bit_length())
+        slot = self._slot(self.pairs, bits)
+        _, first = np.unique(slot, return_index=True)
+        keys, at = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        keys[slot[first]], at[slot[first]] = self.pairs[first], first
+        rest = np.ones(len(self.pairs), bool)
+        rest[first] = False
+        return bits, keys, at, np.flatnonzero(rest)
+
+    @staticmethod
+    def _slot(key: np.ndarray, bits: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * _B1) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The place of every pair among the named ones, -1 if it is none."""
+        bits, keys, at, rest = self._slots
+        slot = self._slot(key, bits)
+        held = keys[slot]
+        hit = held == key
+        out = np.where(hit, at[slot], -1)
+        if len(rest):
+            miss = np.flatnonzero(~hit & (held >= 0))
+            near = np.minimum(np.searchsorted(self.pairs[rest], key[miss]), len(rest) - 1)
+            good = self.pairs[rest][near] == key[miss]
+            out[miss[good]] = rest[near[good]]
+        return out
+
     def __reduce__(self):
         return Names, (self.pairs, self.names)
 
@@ -140,8 +171,8 @@ def parse(chars: np.ndarray, doc_start: np.ndarray, tables: list[Names]) -> list
             start, symbol = _named_runs(chars, doc_start)
         if len(named.pairs):
             right, key = _pairs(start, symbol, doc_start, r, named)
-            at = np.minimum(np.searchsorted(named.pairs, key), len(named.pairs) - 1)
-            hit = named.pairs[at] == key
+            at = named.find(key)
+            hit = at >= 0
             right, at = right[hit], at[hit]
             symbol = symbol.copy()
             symbol[right - 1] = named.names[at]
@@ -252,11 +283,17 @@ def _chars(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def high_symbols(chars: np.ndarray, offsets: np.ndarray, doc_start: np.ndarray, tables: list[Names], spell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names, starts and ends of the high-level symbols."""
     levels = parse(chars, doc_start, tables)
-    start = levels[-1][0]
-    edge = np.append(levels[-2][0] if tables else start, len(chars))
-    stop = edge[np.minimum(np.searchsorted(edge, start + spell), len(edge) - 1)]
-    end = offsets[np.searchsorted(offsets, start, side="right")]
-    ok = (stop - start >= spell) & (stop <= end)
+    n = len(chars)
+    start, edge = levels[-1][0], levels[-2][0] if tables else levels[-1][0]
+    # where every text ends, and how many edges stand before each place: two passes instead of a search for each symbol
+    end = np.repeat(offsets[1:], np.diff(offsets))[start] if n else start
+    ok = start + spell <= end
+    start, end = start[ok], end[ok]
+    before = np.zeros(n + 1, np.int32)
+    before[edge + 1] = 1
+    np.cumsum(before, out=before)
+    stop = np.append(edge, n)[before[start + spell]]
+    ok = stop <= end
     start, stop = start[ok], stop[ok]
     return Hashes(chars, _B1, 0).of(start, stop), start, stop
 
@@ -267,7 +304,7 @@ def _name_batches(tables, spell: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chars, offsets, doc_start, t in _texts_of(batches):
             name, start, _ = high_symbols(chars, offsets, doc_start, tables.value, spell)
-            t = np.asarray(t)[np.searchsorted(offsets, start, side="right") - 1]
+            t = np.repeat(np.asarray(t), np.diff(offsets))[start]
             order = np.lexsort((t, name))
             name, t = name[order], t[order]
             first = np.ones(len(name), bool)
@@ -286,7 +323,7 @@ def _place_batches(tables, spell: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chars, offsets, doc_start, t in _texts_of(batches):
             name, start, stop = high_symbols(chars, offsets, doc_start, tables.value, spell)
-            doc = np.searchsorted(offsets, start, side="right") - 1
+            doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[start]
             place = (start - offsets[doc]) << _LEN_BITS | (stop - start)
             yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), t.take(pa.array(doc)), pa.array(place)], names=["name", "t", "place"])
 
