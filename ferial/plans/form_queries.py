@@ -92,7 +92,18 @@ def hoisted_blocks(spark, d):
     return forms.hoist_if_agreed(slate._segments(spark, d).where("kind = 'label' AND text IS NOT NULL"), "section", "form", F.col("text"))
 
 
-@query()
+_CLEAN = slate._STRIPPED.format(r"replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(name, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', chr(39)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&ndash;', '–'), '&mdash;', '—'), '&amp;', '&')").replace('\\"', '"')
+_JOINED = rf"regexp_replace({_CLEAN}, '( - (?:PF|HD|Mem|Com)(?: \([^()]*\))?) and ([^\n]* - (?:PF|HD|Mem|Com)\b)', '\1' || chr(10) || '\2', 'g')"
+_LINES = slate._unnest("row_id", f"list_filter(list_transform(string_split({_JOINED}, chr(10)), lambda x: trim(x)), lambda x: x <> '')", f"{slate._CAL} WHERE name IS NOT NULL")
+
+
+@query(rf"""
+    WITH l AS (SELECT row_id, ord AS line, x FROM {_LINES}),
+         b AS (SELECT *, trim(regexp_extract(CASE WHEN regexp_matches(x, '\([^()]*\)[^()]*$') THEN rtrim(regexp_extract(x, '^(.*)\([^()]*\)[^()]*$', 1)) || regexp_extract(x, '\([^()]*\)([^()]*)$', 1) ELSE x END, '^([^\[]*)', 1)) AS body FROM l),
+         e AS (SELECT *, nullif(regexp_extract(lower(trim(regexp_replace(body, ' - (?:PF|HD|Mem|Com)$', ''))), '^eve of (?:the )?(.+)$', 1), '') AS eve FROM b),
+         h AS (SELECT row_id, line, tag, row_number() OVER (PARTITION BY row_id, line ORDER BY length(p) DESC, p) AS n FROM e JOIN ({slate._values(slate._PHRASES)}) t(p, tag) ON contains(lower(x), p))
+    SELECT e.row_id, e.line, CASE WHEN eve = 'embers' THEN NULL WHEN eve IS NOT NULL THEN 'eve_of:' || CASE WHEN eve = 'kept door' THEN 'the ' ELSE '' END || eve ELSE h.tag END AS tag,
+        coalesce(eve IN ('nine bells', 'first sheaf', 'kept door', 'embers'), true) AS known FROM e LEFT JOIN h ON h.row_id = e.row_id AND h.line = e.line AND h.n = 1""")
 def observance_tags(spark, d):
     phrases = small(spark, slate._PHRASES, "phrase string, tag string")
     return forms.observance_tags(slate._calendar(spark, d), "row_id", "name", phrases, ["nine bells", "first sheaf"], ["kept door"], ["embers"])

@@ -66,7 +66,25 @@ _JUDGED = rf"""(
     SELECT line_id, v, coalesce(shape, CASE WHEN NOT (dated AND named AND prayed AND noted) THEN 'value' END) AS reason,
         CASE WHEN shape IS NOT NULL THEN 'row' WHEN NOT dated THEN 'cal_date' WHEN NOT named THEN 'name' WHEN NOT prayed THEN 'eucharist' WHEN NOT noted THEN 'extra' END AS field FROM j)"""
 
+_FLAT = """
+    WITH RECURSIVE f AS (SELECT form_id, arg_max(body, (loaded_at, body)) AS body FROM office_forms GROUP BY 1),
+        x AS (SELECT f.form_id, j.id, j.parent, j.type, replace(replace(coalesce(j.key, ''), '~', '~0'), '/', '~1') AS key, json_extract_string(j.atom, '$') AS atom FROM (SELECT * FROM f WHERE json_valid(body)) f, json_tree(f.body) j),
+        t AS (SELECT x.*, k.atom AS kind, s.atom AS shared FROM x LEFT JOIN x k ON k.form_id = x.form_id AND k.parent = x.id AND k.key = 'type' AND k.type = 'VARCHAR'
+              LEFT JOIN x s ON s.form_id = x.form_id AND s.parent = x.id AND s.key = 'key' AND s.type = 'VARCHAR'),
+        w AS (SELECT form_id, id, '' AS node, '' AS owner, 'branches' AS role, kind, shared FROM t WHERE parent IS NULL AND type = 'OBJECT'
+              UNION ALL SELECT c.form_id, c.id, w.node || '/' || c.key,
+                  CASE w.role WHEN 'branches' THEN '' WHEN 'list' THEN w.owner WHEN 'members' THEN w.owner WHEN 'groups' THEN w.owner ELSE w.node END,
+                  CASE WHEN w.role = 'branches' THEN CASE WHEN c.type = 'ARRAY' THEN 'list' WHEN c.kind IS NOT NULL THEN 'segment' ELSE 'branches' END
+                       WHEN w.role IN ('list', 'members', 'bare') THEN 'segment' WHEN w.role = 'segment' THEN 'groups' WHEN w.role = 'groups' THEN CASE WHEN c.type = 'ARRAY' THEN 'bare' ELSE 'group' END ELSE 'members' END,
+                  c.kind, c.shared
+              FROM w JOIN t c ON c.form_id = w.form_id AND c.parent = w.id
+              WHERE (w.role = 'branches' AND c.type IN ('OBJECT', 'ARRAY')) OR (w.role IN ('list', 'members', 'bare') AND c.type = 'OBJECT') OR (w.role = 'segment' AND w.kind = 'alternatives' AND c.key = 'groups' AND c.type = 'ARRAY')
+                  OR (w.role = 'groups' AND c.type IN ('OBJECT', 'ARRAY')) OR (w.role = 'group' AND c.key = 'segments' AND c.type = 'ARRAY'))
+    SELECT form_id, node, owner AS parent, CASE WHEN role = 'segment' THEN coalesce(kind, '') ELSE 'group' END AS kind, CASE WHEN role = 'segment' AND kind = 'shared' THEN coalesce(shared, '') ELSE '' END AS shared_key
+    FROM w WHERE role IN ('segment', 'group', 'bare')"""
+
 ORACLE = {
+    "p5_found": _FLAT,
     "p4_found": f"SELECT line_id, reason, field FROM {_JUDGED} WHERE reason IS NOT NULL",
     "p4_loaded": f"SELECT line_id, CAST(v[1] AS DATE) AS cal_date, v[2] AS name, v[3] AS eucharist, v[4] AS morning, v[5] AS evening, v[6] AS extra FROM {_JUDGED} WHERE reason IS NULL",
     "p1_found": """

@@ -1164,7 +1164,10 @@ def stream_event_windows(spark, d):
     return spark.read.parquet(f"{path}/out").select(F.to_date("start").alias("day"), "event_type", "n")
 
 
-@query()
+@query(f"""
+    WITH s AS (SELECT psalter, psalm, page_no AS page, seq, CASE WHEN type = 'cont' THEN 40.0::DOUBLE ELSE 20.0::DOUBLE END AS x0, text FROM {_PSA} WHERE text IS NOT NULL),
+         l AS (SELECT psalter, psalm, page, seq, min(x0) AS x, string_agg(text, ' ' ORDER BY x0, text) AS t FROM s GROUP BY 1, 2, 3, 4)
+    SELECT psalter, psalm, page, CAST(row_number() OVER (PARTITION BY psalter, psalm, page ORDER BY seq) - 1 AS INT) AS line, CAST(seq * 12 AS DOUBLE) AS y, x, {_STRIPPED.format('t')} AS text FROM l""")
 def geometry_lines(spark, d):
     """The lines of every psalter laid on pages as spans and read back; ``seq`` counts within a psalm's part of a page."""
     spans = _psalter(spark, d).where("text IS NOT NULL").select(
