@@ -130,6 +130,20 @@ def plain_citation(c: Column) -> Column:
     return F.replace(F.regexp_replace(dotted, r"(?<=\d)[a-c]?–(?=\d+:)", "—"), F.lit("–"), F.lit("-"))
 
 
+def grams(c: Column, size: int) -> Column:
+    """All runs of ``size`` characters, up to three. By slices of the characters: places in a text would be counted from its start each time."""
+
+    def joined(chars: Column) -> Column:
+        n = F.greatest(F.size(chars) - (size - 1), F.lit(0))
+        out = F.slice(chars, F.lit(1), n)
+        for k in range(2, size + 1):
+            out = F.zip_with(out, F.slice(chars, F.lit(k), n), lambda a, b: F.concat(a, b))
+        return out
+
+    # a list of one, so that the characters are taken once
+    return F.flatten(F.transform(F.array(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))), joined))
+
+
 # quality predicates
 
 

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferial.functions.text import nfc, squash, strip
+from ferial.functions.text import grams, nfc, squash, strip
 from ferial.operators.hot import running_sum
+from ferial.runtime import null_safe_hash
 
 UNACCOUNTED = "UNACCOUNTED"
 
@@ -38,27 +39,30 @@ def found_in(hay: DataFrame, needles: DataFrame) -> DataFrame:
     word, a shorter one its first three letters. Only units with needles are searched, and only for keys of the kinds they need.
     """
     words = lambda c: F.split(c, " ")
-    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.lit("b"), F.element_at(w, i), F.lit(" "), F.element_at(w, i + 1)))
+    # neighbours by two slices: an index into the words would split the text again for every pair
+    rest = lambda w: F.greatest(F.size(w) - 1, F.lit(0))
+    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), rest(w)), F.slice(w, F.lit(2), rest(w)), lambda a, b: F.concat(F.lit("b"), a, F.lit(" "), b))
     w = words(F.col("n"))
-    inner = F.slice(w, F.lit(2), F.size(w) - 2)
+    inner = F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0)))
     longest = F.array_max(F.transform(pairs(inner), lambda p: F.struct(F.length(p), p.alias("p")))).getField("p")
     size = F.least(F.length("n"), F.lit(3))
     key = F.when(F.size(w) >= 4, longest).when(F.size(w) == 3, F.concat(F.lit("w"), F.element_at(w, 2))).otherwise(F.concat(F.lit("g"), size.cast("string"), F.substring("n", 1, 3)))
-    wanted = needles.where("n <> ''").distinct().withColumn("k", key)
-    kinds = wanted.groupBy(F.col("unit").alias("__u")).agg(
+    # units meet by a hash that tells a null from every value; texts are named by a hash, so that keys travel without them
+    unit = null_safe_hash(F.col("unit")).alias("u")
+    wanted = needles.where("n <> ''").distinct().withColumn("k", key).select(unit, "unit", "n", "k")
+    kinds = wanted.groupBy("u").agg(
         F.bool_or(F.col("k").startswith("b")).alias("__b"), F.bool_or(F.col("k").startswith("w")).alias("__w"), *[F.bool_or(F.col("k").startswith(f"g{z}")).alias(f"__g{z}") for z in (1, 2, 3)]
     )
-    # joined null-safely: rows without a unit are a unit
-    near = hay.where("h IS NOT NULL").select("unit", "h").distinct().join(kinds, F.col("unit").eqNullSafe(F.col("__u")))
+    texts = hay.where("h IS NOT NULL").select(unit, "h").distinct().select("u", "h", F.xxhash64("h").alias("t"))
     x, none = words(F.col("h")), F.expr("cast(array() as array<string>)")
-    cut = lambda z: F.transform(F.sequence(F.lit(1), F.greatest(F.length("h") - (z - 1), F.lit(1))), lambda i: F.concat(F.lit(f"g{z}"), F.substr(F.col("h"), i, F.lit(z))))
+    cut = lambda z: F.transform(grams(F.col("h"), z), lambda g: F.concat(F.lit(f"g{z}"), g))
     keys = F.concat(
         F.when(F.col("__b") & (F.size(x) > 1), pairs(x)).otherwise(none), F.when(F.col("__w"), F.transform(x, lambda y: F.concat(F.lit("w"), y))).otherwise(none),
         *[F.when(F.col(f"__g{z}"), cut(z)).otherwise(none) for z in (1, 2, 3)],
     )
-    laid = near.select(F.col("unit").alias("__u"), "h", F.explode(F.array_distinct(keys)).alias("k"))
-    hits = wanted.join(laid, "k").where(F.col("unit").eqNullSafe(F.col("__u")) & F.contains(F.col("h"), F.col("n")))
-    return hits.select("unit", "n").distinct()
+    laid = texts.join(kinds, "u").select("u", "t", F.explode(F.array_distinct(F.transform(keys, lambda y: F.xxhash64(y)))).alias("k"))
+    near = wanted.withColumn("k", F.xxhash64("k")).join(laid, ["u", "k"]).select("u", "t", "unit", "n").distinct()
+    return near.join(texts, ["u", "t"]).where(F.contains(F.col("h"), F.col("n"))).select("unit", "n").distinct()
 
 
 def _flag(df: DataFrame, hits: DataFrame, on: str, name: str) -> DataFrame:

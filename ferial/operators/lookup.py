@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferial.functions.text import grams
+
 #: keys that are broadcast and compared one by one; beyond that candidates come from an equi join on three letters
 MAX_KEYS = 10_000
 
@@ -20,11 +22,8 @@ def _holding(hay: DataFrame, text: str, needles: DataFrame, part: str, hold: Col
     # only the sizes that occur: three, and less for parts as short
     sizes = sorted(r[0] for r in keyed.select("__z").distinct().collect() if r[0] is not None)
 
-    def cut(z: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (z - 1), F.lit(1))), lambda i: F.substr(low, i, F.lit(z)))
-
-    grams = F.flatten(F.array(*[cut(z) for z in sizes]))
-    found = hay.withColumn("__g", F.explode(F.array_distinct(grams))) if sizes else hay.withColumn("__g", F.lit(None).cast("string"))
+    parts = F.flatten(F.array(*[grams(low, z) for z in sizes]))
+    found = hay.withColumn("__g", F.explode(F.array_distinct(parts))) if sizes else hay.withColumn("__g", F.lit(None).cast("string"))
     return found.join(keyed.drop("__z"), "__g").where(hold).drop("__g")
 
 
