@@ -167,6 +167,17 @@ def garbled(c: Column) -> Column:
     return c.rlike(r"[a-z]{14,}")
 
 
+def quality_findings(c: Column, identifiers: tuple[str, ...] = (), hyphened: tuple[str, ...] = ()) -> Column:
+    """The faults of a text, each once: ``missing_space`` in a line that is no label in capitals, no citation and none of ``identifiers`` (names in
+    Mc or Mac pass), ``duplicate_word`` of three letters or more, ``long_token`` of thirty, ``hanging_hyphen`` at a line's end but for the words of ``hyphened``."""
+    known = "|".join(identifiers) or r"(?!)"
+    kept = F.filter(F.transform(lines(c), strip), lambda x: (x != "") & ~x.rlike(r"^[A-Z]{2,}$") & ~x.rlike(r"\b\d+:\d+"))
+    spaced = F.exists(kept, lambda x: F.regexp_replace(x, rf"\b(?:Mc|Mac)(?=[A-Z])|\b(?:{known})\b", "").rlike(r"[a-z][A-Z]"))
+    hung = F.regexp_replace(c, rf"\b(?:{'|'.join(hyphened)})-(?=\s*\n)", "") if hyphened else c
+    tests = {"missing_space": spaced, "duplicate_word": c.rlike(r"(?i)\b(\w{3,})\s+\1\b"), "long_token": c.rlike(r"\b[a-z]{30,}\b"), "hanging_hyphen": hung.rlike(r"\w-\s*\n")}
+    return F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]))
+
+
 def wrapped_lines(c: Column) -> Column:
     """Inner lines of prose that end in no mark: a column wrap left in the text."""
     inner = F.slice(lines(c), 1, F.greatest(F.size(lines(c)) - 1, F.lit(0)))

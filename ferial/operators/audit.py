@@ -55,6 +55,13 @@ def singletons(df: DataFrame, unit: str, text: str) -> DataFrame:
     return df.groupBy(text).agg(F.min(unit).alias(unit), F.max(unit).alias("__m")).where(F.col(unit) == F.col("__m")).drop("__m")
 
 
+def lonely_cues(segments: DataFrame, unit: str, part: list[str], order: list[str], shared: str) -> DataFrame:
+    """``unit, text`` of rubrics right before a reference to the block ``shared`` whose wording only one unit has."""
+    before = Window.partitionBy(unit, *part).orderBy(*order)
+    held = segments.withColumn("__k", F.lag("kind").over(before)).withColumn("__t", F.lag("text").over(before))
+    return singletons(held.where((F.col("shared_key") == shared) & (F.col("__k") == "rubric") & F.col("__t").isNotNull()).select(unit, F.col("__t").alias("text")), unit, "text").select(unit, "text")
+
+
 def penalty_scores(failures: DataFrame, outliers: DataFrame | None = None, exempt: DataFrame | None = None, unresolved: DataFrame | None = None, unit: str = "form") -> DataFrame:
     """``unit, score``: 100 less all penalties of a unit, at least 0.
 

@@ -71,3 +71,8 @@ def text_margin(lines: DataFrame, page: str, x: str, q: float = 0.995) -> DataFr
     from ferial.operators.audit import nearest_rank
 
     return nearest_rank(lines.withColumn("parity", F.col(page) % 2), ["parity"], x, q)
+
+
+def space_advance(gaps: DataFrame, gap: str, most: float = 8.0, default: float = 2.6) -> DataFrame:
+    """One row ``space``: the median of the gaps between 0 and ``most``, both left out; ``default`` without any."""
+    return gaps.where((F.col(gap) > 0) & (F.col(gap) < most)).agg(F.coalesce(F.median(gap), F.lit(default)).alias("space"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,12 +87,14 @@ def merge_runs(df: DataFrame, part: list[str], order: list[str], same: str, text
     return marked.groupBy(*part, "run", same).agg(joined.alias(text), F.count("*").alias("merged"))
 
 
-def merge_segments(df: DataFrame, part: list[str], order: list[str]) -> DataFrame:
-    """Same-kind neighbours merged left to right: a bare ``Or`` takes the next line in, a line ending in ``continues``
-    joins with a blank, everything else with a line break; rubrics stay apart unless the last one is a bare ``Or``.
+def merge_segments(df: DataFrame, part: list[str], order: list[str], structural: str = r"(?i)^or\b|one of the following|(?:morning|evening)\s+prayer\s+continues", unfinished: str = r"(?i)(?:morning|evening)\s+prayer\s+continues|continues$") -> DataFrame:
+    """Same-kind neighbours merged left to right with a line break.
 
+    A rubric that matches ``structural`` begins a segment of its own and takes nothing in, but for a bare ``Or``, which takes its
+    name, and for a sentence that matches ``unfinished`` without a full stop at its end, which takes its rest with a blank. Blank segments go at the end.
     What was merged is looked at again before the next, so this is a fold over each part, in pandas.
     """
+    divides, open_ = re.compile(structural), re.compile(unfinished)
     cols = [*part, "kind", "text"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*cols).schema.fields) + ", seq int"
 
@@ -101,11 +105,13 @@ def merge_segments(df: DataFrame, part: list[str], order: list[str]) -> DataFram
             text = text or ""
             if out and out[-1][0] == kind:
                 last = out[-1][1]
-                bare = last.strip().lower() == "or"
-                if kind != "rubric" or bare:
-                    out[-1][1] = last + (" " if bare or last.rstrip().endswith("continues") else "\n") + text
+                bare = kind == "rubric" and last.strip().lower() == "or"
+                begun = kind == "rubric" and bool(open_.search(last)) and not last.rstrip().endswith(".")
+                if kind != "rubric" or not (divides.search(text) or (divides.search(last) and not bare and not begun)):
+                    out[-1][1] = last + (" " if begun else "\n") + text
                     continue
             out.append([kind, text])
+        out = [x for x in out if x[1].strip()]
         rows = pd.DataFrame(out, columns=["kind", "text"])
         for c in part[::-1]:
             rows.insert(0, c, pdf[c].iloc[0])

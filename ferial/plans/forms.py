@@ -48,6 +48,86 @@ def is_date_line(line: Column) -> Column:
     return F.trim(line).rlike(rf"^(?:\d{{1,2}} (?:{MONTHS})|(?:{MONTHS}) \d{{1,2}})$")
 
 
+def section_of_page(page: Column, bounds: list[tuple[int, str]], rest: str) -> Column:
+    """The section a page lies in, by the last page of each; ``rest`` after all of them."""
+    out = None
+    for last, name in bounds:
+        out = F.when(page <= last, name) if out is None else out.when(page <= last, name)
+    return F.lit(rest) if out is None else F.when(page.isNotNull(), out.otherwise(rest))
+
+
+def date_in_name(name: Column) -> Column:
+    """``12 January`` in a name, but not as the end of a span (``… and 12 January``)."""
+    return F.nullif(F.regexp_extract(name, rf"(?<! and )\b(\d{{1,2}} (?:{MONTHS}))\b", 1), F.lit(""))
+
+
+def date_above(text: Column, marker: str) -> Column:
+    """The date in the last line that is not blank above a line that is only ``marker``."""
+    above = F.regexp_extract(text, rf"(?ms)\A(.*?)^{marker}[ \t]*$", 1)
+    last = F.regexp_extract(F.rtrim(F.regexp_replace(above, r"\s+\z", "")), r"([^\n]*)\z", 1)
+    return F.nullif(F.regexp_extract(last, rf"\b(\d{{1,2}} (?:{MONTHS}))\b", 1), F.lit(""))
+
+
+def day_markers(day: Column, active: Column, observances: Column, commemorations: Column, eve: Column, labels: dict[str, str]) -> Column:
+    """What a day's header carries beside its title: the day itself where an eve took the title, eves and labelled tags but for the title's own, and
+    those commemorated under the day (``commemorations``: struct of name and coequal)."""
+    table = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    named = F.transform(F.coalesce(observances, F.expr("cast(array() as array<string>)")), lambda t: F.when(t.startswith("eve_of:"), F.concat(F.lit("Eve of "), F.substr(t, F.lit(8)))).otherwise(F.try_element_at(table, t)))
+    eves = F.filter(named, lambda x: x.isNotNull() & ~(x.startswith("Eve of ") & (x == active)))
+    under = F.transform(F.filter(commemorations, lambda c: ~F.coalesce(c["coequal"], F.lit(False))), lambda c: c["name"])
+    own = F.when(eve & (day != active), F.array(day)).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.concat(own, eves, F.coalesce(under, F.expr("cast(array() as array<string>)")))
+
+
+def _all_groups(groups: Column, test) -> Column:
+    return F.coalesce(F.forall(groups, lambda g: F.coalesce(test(g), F.lit(False))), F.lit(False))
+
+
+def is_doxology(groups: Column) -> Column:
+    """Three options that all begin with ``Glory``; ``groups`` is an array of struct(label, segments of struct(type, text))."""
+    return (F.size(groups) == 3) & _all_groups(groups, lambda g: F.try_element_at(g["segments"], F.lit(1))["text"].startswith("Glory"))
+
+
+def is_affirmation(groups: Column) -> Column:
+    """Two options, the first labelled as the Apostles'."""
+    return (F.size(groups) == 2) & F.coalesce(F.try_element_at(groups, F.lit(1))["label"].startswith("Apostles"), F.lit(False))
+
+
+def is_blessings(groups: Column) -> Column:
+    """Three options of two segments, the first a leader's ``Blessed be``."""
+    first = lambda g: F.try_element_at(g["segments"], F.lit(1))
+    return (F.size(groups) == 3) & _all_groups(groups, lambda g: (F.size(g["segments"]) == 2) & (first(g)["type"] == "leader") & first(g)["text"].startswith("Blessed be"))
+
+
+def split_suffix(groups: Column, suffix: str = "\nAlleluia.") -> Column:
+    """``struct(groups, cut)``: a closing response that every option has, taken from all of them; unchanged where one lacks it."""
+    has = lambda g: (F.try_element_at(g["segments"], F.lit(-1))["type"] == "response") & F.try_element_at(g["segments"], F.lit(-1))["text"].endswith(suffix)
+    cut = (F.size(groups) > 0) & _all_groups(groups, has)
+
+    def short(g: Column) -> Column:
+        n = F.size(g["segments"])
+        return F.struct(g["label"].alias("label"), F.transform(g["segments"], lambda s, i: F.struct(s["type"].alias("type"), F.when(i == n - 1, F.substring(s["text"], F.lit(1), F.length(s["text"]) - len(suffix))).otherwise(s["text"]).alias("text"))).alias("segments"))
+
+    return F.struct(F.when(cut, F.transform(groups, short)).otherwise(groups).alias("groups"), cut.alias("cut"))
+
+
+def in_fixed_order(groups: Column, order: list[str], labels: tuple[str, ...] = ("I", "II", "III", "IV", "V")) -> Column:
+    """Options in the order their first lines have in ``order``, labelled anew; unchanged unless each line of it begins an option."""
+    lines_ = F.array(*[F.lit(x) for x in order])
+    found = F.transform(lines_, lambda x: F.try_element_at(F.filter(groups, lambda g: F.coalesce(F.try_element_at(g["segments"], F.lit(1))["text"] == x, F.lit(False))), F.lit(-1)))
+    names = F.array(*[F.lit(x) for x in labels])
+    named = F.transform(found, lambda g, i: F.struct(F.element_at(names, i + 1).alias("label"), g["segments"].alias("segments")))
+    return F.when(F.forall(found, lambda g: g.isNotNull()), named).otherwise(groups)
+
+
+def commemoration_collects(days: DataFrame, ref: str, collects: DataFrame) -> DataFrame:
+    """``days`` with ``ord, title, text`` for every page that a collect reference names for a commemoration and ``collects (page, name, text)`` has."""
+    pages = days.select("*", F.posexplode(F.flatten(F.transform(grammar.commemoration_pages(F.col(ref)), lambda c: F.transform(c["pages"], lambda p: F.struct(c["of"].alias("of"), p.alias("page")))))).alias("ord", "__c"))
+    found = pages.join(collects.select(F.col("page").alias("__p"), F.col("name").alias("__n"), F.col("text").alias("__t")), F.col("__c.page") == F.col("__p"))
+    title = F.when(F.col("__c.of") != "", F.concat_ws(": ", F.col("__c.of"), F.col("__n"))).otherwise(F.col("__n"))
+    return found.select(*days.columns, "ord", title.alias("title"), F.col("__t").alias("text"))
+
+
 def citation_key(c: Column) -> Column:
     """What two writings of one citation have in common: its verses, dashes alike, without blanks or the book."""
     return F.regexp_replace(F.translate(F.regexp_extract(c, r"(\d+:.*|\d+)$", 1), "–—‑", "---"), r"\s+", "")

@@ -395,3 +395,73 @@ def _malformed(spark):
         small(spark, [(body or " ",)], "value string").coalesce(1).write.text(f"{path}/{name}.json")
     found = readers.malformed(spark, f"{path}/*/part-*")
     return found.select(F.regexp_extract("file", r"([abc]\.json)", 1).alias("file"))
+
+
+values("quality_faults", lambda c: F.array_join(text.quality_findings(c, ("OrdinaryTime",), ("ever",)), ","), [
+    ("mercyGod is", "missing_space"), ("McDonald and OrdinaryTime", ""), ("Mt 1:2 aB", ""), ("MINISTER", ""), ("the the end", "duplicate_word"), ("at at", ""), ("a" * 30, "long_token"),
+    ("half-\ndone", "hanging_hyphen"), ("ever-\nliving", ""), ("xY\nno no Nobody nobody", "missing_space,duplicate_word"),
+])
+values("page_sections", lambda c: forms.section_of_page(c, [(395, "Sundays"), (397, "Special")], "Occasional"), [(1, "Sundays"), (395, "Sundays"), (396, "Special"), (400, "Occasional")], "int")
+values("dates_in_names", forms.date_in_name, [("Saint Mark, 25 April", "25 April"), ("Sunday between 3 and 9 July", None), ("Easter", None)])
+values("dates_above_markers", lambda c: forms.date_above(c, "Sentence"), [("x\n1 May Ann\n\nSentence \ntext 2 May", "1 May"), ("1 May\nname\nSentence", None), ("1 May", None)])
+
+
+@rows("header_markers", ["k", "markers"], [(1, "Day / Eve of X / Fast / Becket"), (2, "Fast"), (3, "")])
+def _markers(spark):
+    given = small(spark, [
+        (1, "Day", "Eve of Y", ["eve_of:X", "eve_of:Y", "fast_day", "other"], [("Becket", False), ("Peer", True)], True), (2, "Day", "Day", ["fast_day"], None, False), (3, "Day", "Day", None, [("Peer", True)], True),
+    ], "k int, day string, active string, obs array<string>, com array<struct<name:string,coequal:boolean>>, eve boolean")
+    marks = forms.day_markers(F.col("day"), F.col("active"), F.col("obs"), F.col("com"), F.col("eve"), {"fast_day": "Fast"})
+    return given.select("k", F.array_join(marks, " / ").alias("markers"))
+
+
+_GROUPS = "k int, groups array<struct<label:string,segments:array<struct<type:string,text:string>>>>"
+
+
+def _group(label, *texts):
+    return {"label": label, "segments": [{"type": t, "text": x} for t, x in texts]}
+
+
+def _blocks_of(spark):
+    glory = [_group(x, ("leader", f"Glory {x}"), ("response", f"as {x}\nAlleluia.")) for x in ("b", "a", "c")]
+    bless = [_group("I", ("leader", "Blessed be"), ("response", "x"))] * 3
+    return small(spark, [(1, glory), (2, bless), (3, [_group("Apostles’ Creed", ("leader", "y")), _group("Other")]), (4, glory[:2]), (5, None)], _GROUPS)
+
+
+@rows("block_kinds", ["k", "doxology", "blessings", "affirmation"], [(1, True, False, False), (2, False, True, False), (3, False, False, True), (4, False, False, False), (5, False, False, False)])
+def _kinds(spark):
+    g = F.col("groups")
+    no = F.lit(False)
+    return _blocks_of(spark).select("k", F.coalesce(forms.is_doxology(g), no).alias("doxology"), F.coalesce(forms.is_blessings(g), no).alias("blessings"), F.coalesce(forms.is_affirmation(g), no).alias("affirmation"))
+
+
+@rows("blocks_in_order", ["k", "first_lines", "cut", "last"], [(1, "I Glory a/II Glory b/III Glory c", True, "as c"), (2, "I Blessed be/I Blessed be/I Blessed be", False, "x"), (4, "b Glory b/a Glory a", True, "as a")])
+def _ordered(spark):
+    s = forms.split_suffix(F.col("groups"))
+    out = _blocks_of(spark).where("k IN (1, 2, 4)").select("k", s.getField("cut").alias("cut"), forms.in_fixed_order(s.getField("groups"), ["Glory a", "Glory b", "Glory c"]).alias("g"))
+    lines = _listed(F.col("g"), lambda x: F.concat_ws(" ", x["label"], F.element_at(x["segments"], 1)["text"]), "/")
+    return out.select("k", lines.alias("first_lines"), "cut", F.element_at(F.element_at("g", -1)["segments"], -1)["text"].alias("last"))
+
+
+@rows("collects_of_commemorations", ["day", "ord", "title", "text"], [("d1", 0, "Ann: Four", "t4"), ("d1", 1, "Ann: Five", "t5"), ("d2", 0, "Four", "t4")])
+def _commemorated(spark):
+    days = small(spark, [("d1", "12 (Com Ann: 438/9)"), ("d2", "3 (Com: 438 or 777)"), ("d3", "5"), ("d4", None)], "day string, ref string")
+    return forms.commemoration_collects(days, "ref", small(spark, [("438", "Four", "t4"), ("439", "Five", "t5")], "page string, name string, text string"))
+
+
+@rows("lonely_cues", ["form", "text"], [("g", "Say:")])
+def _cues(spark):
+    seg = [(f, "canticle", i, k, t, s) for f, own in (("f", "At the end:"), ("g", "Say:"), ("h", "At the end:")) for i, (k, t, s) in enumerate([("rubric", own, None), ("shared", None, "doxology"), ("rubric", f"only {f}", None), ("shared", None, "other")])]
+    s = small(spark, seg, "form string, section string, seq int, kind string, text string, shared_key string")
+    return audit.lonely_cues(s, "form", ["section"], ["seq"], "doxology")
+
+
+@rows("blank_widths", ["k", "space"], [("none", 2.6), ("some", 2.5)])
+def _advance(spark):
+    gaps = small(spark, [(0.0,), (2.0,), (3.0,), (8.0,), (40.0,)], "gap double")
+    return geometry.space_advance(gaps, "gap").select(F.lit("some").alias("k"), "space").unionByName(geometry.space_advance(gaps.where("gap > 8"), "gap").select(F.lit("none").alias("k"), "space"))
+
+
+@rows("manifest_rows", ["name", "sha256", "bytes"], [("a", "h", 1), ("gone", None, None), ("version:tool", "1.2", None), ("written", "2030-01-01T00:00:00Z", None)])
+def _manifest(spark):
+    return sinks.manifest(small(spark, [("a", "h", 1)], "name string, sha256 string, bytes bigint"), ["a", "gone"], {"tool": "1.2"}, "2030-01-01T00:00:00Z")

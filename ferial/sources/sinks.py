@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferial.runtime import small
+
 
 def write_months(days: DataFrame, path: str, date: str = "date") -> None:
     """JSON files partitioned by month; only months that have rows are replaced."""
@@ -48,6 +50,16 @@ def composite_hash(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.sha2(F.array_join(parts, "\n"), 256).alias("sha256"), F.count("*").alias("files"))
 
 
+def manifest(files: DataFrame, expected: list[str], versions: dict[str, str], at: str) -> DataFrame:
+    """``name, sha256, bytes`` of the files of a manifest, a null hash for each expected name that is absent, and the versions of the tools and the
+    time of writing as rows of their own (``version:…``, ``written``)."""
+    spark = files.sparkSession
+    here = files.select("name", "sha256", "bytes")
+    absent = small(spark, [(n,) for n in expected], "name string").join(here.select("name"), "name", "left_anti")
+    rows = [(f"version:{k}", v, None) for k, v in sorted(versions.items())] + [("written", at, None)]
+    return here.unionByName(absent.select("name", F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("bigint").alias("bytes"))).unionByName(small(spark, rows, "name string, sha256 string, bytes bigint"))
+
+
 def manifest_drift(current: DataFrame, recorded: DataFrame) -> DataFrame:
     """``name, drift``: changed, missing or new; a recorded null stands for a file that is absent."""
     both = current.select("name", F.col("sha256").alias("now")).join(recorded.select("name", F.col("sha256").alias("then")), "name", "full_outer")

@@ -157,7 +157,11 @@ def test_runs_and_merges(spark):
     s = seg(spark, ("leader", "a"), ("leader", "b"), ("rubric", "Or"), ("rubric", "c"), ("leader", "d continues"), ("leader", "e"), (None, None), (None, None))
     assert rows(segments.merge_runs(s, ["form"], ["seq"], "kind", "text", "/"), "run", "text", "merged") == [(1, "a/b", 2), (2, "Or/c", 2), (3, "d continues/e", 2), (4, "", 2)]
     m = rows(segments.merge_segments(s.where("kind IS NOT NULL"), ["form"], ["seq"]), "seq", "kind", "text")
-    assert m == [(0, "leader", "a\nb"), (1, "rubric", "Or c"), (2, "leader", "d continues e")]
+    assert m == [(0, "leader", "a\nb"), (1, "rubric", "Or\nc"), (2, "leader", "d continues\ne")]
+    t = seg(spark, *[("rubric", x) for x in ("Stand.", "Or", "The Song of Dusk", "Kneel.", "Evening Prayer continues", "with the Psalm.", "Sit.", "One of the following", "Bow.")], ("leader", " "))
+    texts = [x[1] for x in rows(segments.merge_segments(t, ["form"], ["seq"]), "seq", "text")]
+    # a bare Or takes its name, and is then an ordinary named option that takes nothing more in
+    assert texts == ["Stand.", "Or\nThe Song of Dusk", "Kneel.", "Evening Prayer continues with the Psalm.", "Sit.", "One of the following", "Bow."]
 
 
 def test_alternation_resets_at_groups(spark):
