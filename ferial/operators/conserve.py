@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ferial.functions.text import grams, nfc, squash, strip
 from ferial.operators.hot import running_sum
-from ferial.runtime import null_safe_hash
+from ferial.runtime import broadcast_below, null_safe_hash, written
 
 UNACCOUNTED = "UNACCOUNTED"
+_NEEDLES = 500_000  # lines sought that may be broadcast
 
 
 def line_key(c: Column) -> Column:
@@ -49,7 +50,7 @@ def found_in(hay: DataFrame, needles: DataFrame) -> DataFrame:
     key = F.when(F.size(w) >= 4, longest).when(F.size(w) == 3, F.concat(F.lit("w"), F.element_at(w, 2))).otherwise(F.concat(F.lit("g"), size.cast("string"), F.substring("n", 1, 3)))
     # units meet by a hash that tells a null from every value; texts are named by a hash, so that keys travel without them
     unit = null_safe_hash(F.col("unit")).alias("u")
-    wanted = needles.where("n <> ''").distinct().withColumn("k", key).select(unit, "unit", "n", "k")
+    wanted = written(needles.where("n <> ''").distinct().withColumn("k", key).select(unit, "unit", "n", "k"))
     kinds = wanted.groupBy("u").agg(
         F.bool_or(F.col("k").startswith("b")).alias("__b"), F.bool_or(F.col("k").startswith("w")).alias("__w"), *[F.bool_or(F.col("k").startswith(f"g{z}")).alias(f"__g{z}") for z in (1, 2, 3)]
     )
@@ -61,7 +62,9 @@ def found_in(hay: DataFrame, needles: DataFrame) -> DataFrame:
         *[F.when(F.col(f"__g{z}"), cut(z)).otherwise(none) for z in (1, 2, 3)],
     )
     laid = texts.join(kinds, "u").select("u", "t", F.explode(F.array_distinct(F.transform(keys, lambda y: F.xxhash64(y)))).alias("k"))
-    near = wanted.withColumn("k", F.xxhash64("k")).join(laid, ["u", "k"]).select("u", "t", "unit", "n").distinct()
+    # few needles go to the keys, so that the keys of all texts are not shuffled
+    asked = broadcast_below(wanted, F.lit(1), _NEEDLES).withColumn("k", F.xxhash64("k"))
+    near = laid.join(asked, ["u", "k"]).select("u", "t", "unit", "n").distinct()
     return near.join(texts, ["u", "t"]).where(F.contains(F.col("h"), F.col("n"))).select("unit", "n").distinct()
 
 
@@ -89,12 +92,16 @@ def page_to_data(page: DataFrame, shipped: DataFrame, chain: Chain = Chain(), re
     ``shipped (unit, section, type, text)`` has a block a row. Blank and null lines are left out; repeated ones each count.
     """
     p = page.withColumn("n", line_key(F.col("text"))).where("n <> ''").withColumn("fixed", line_key(chain.fix(F.col("text")))).withColumn("named", line_key(chain.label(F.col("text"))))
-    lines, blocks = _lines(shipped), _blocks(shipped)
+    # keys need Python: they are made once
+    p, lines, blocks = written(p), written(_lines(shipped)), written(_blocks(shipped))
     labels = lines.where("type = 'label'").select("unit", "n")
     asked = p.select("unit", "n", "fixed", "named").distinct()
-    out = _flag(_flag(asked, lines, "n", "__verbatim"), lines, "fixed", "__fixed_line")
+    out = written(_flag(_flag(asked, lines, "n", "__verbatim"), lines, "fixed", "__fixed_line"))
+    # each search is for what the rules before it leave
     open_ = out.where("NOT __verbatim")
-    out = _flag(out, found_in(blocks, open_.select("unit", "n")), "n", "__reflowed")
+    reflowed = written(found_in(blocks, open_.select("unit", "n")))
+    open_ = written(_flag(open_, reflowed, "n", "__r").where("NOT __r AND NOT __fixed_line").select("unit", "n", "fixed"))
+    out = _flag(out, reflowed, "n", "__reflowed")
     out = _flag(out, found_in(blocks, open_.select("unit", F.col("fixed").alias("n"))), "fixed", "__fixed_part")
     out = _flag(out, labels, "named", "__label")
     if rebuilt is None:
@@ -117,8 +124,11 @@ def page_to_data(page: DataFrame, shipped: DataFrame, chain: Chain = Chain(), re
 def page_stream(page: DataFrame, order: list[str], longest: int) -> DataFrame:
     """``unit, h``: a unit's printed lines joined by a blank, in pieces that overlap so that any run of up to ``longest`` characters
     lies in one. No unit is gathered whole."""
+    return _pieces(page.select("unit", *order, line_key(F.col("text")).alias("n")).where("n <> ''"), order, longest)
+
+
+def _pieces(p: DataFrame, order: list[str], longest: int) -> DataFrame:
     reach = max(longest, 2_000)
-    p = page.withColumn("n", line_key(F.col("text"))).where("n <> ''")
     placed = running_sum(p, ["unit"], order, F.length("n") + 1, "__end").withColumn("__c", F.floor((F.col("__end") - F.length("n") - 1) / reach))
     both = placed.select("unit", *order, "n", F.explode(F.array(F.col("__c"), F.col("__c") - 1)).alias("__c"))
     items = F.array_sort(F.collect_list(F.struct(*order, "n")))
@@ -132,15 +142,20 @@ def data_to_page(page: DataFrame, shipped: DataFrame, order: list[str], chain: C
     repaired), label (what the label of a printed option is), structural (a label the structure gives), corrected (the corrections brought it: a rebuilt
     block holds it after them and not before), else UNACCOUNTED. A line of several blocks has the least of their sections.
     """
-    lines = _lines(shipped).groupBy("unit", "n").agg(F.min(F.struct("section", "type")).alias("o")).select("unit", "n", "o.*")
-    p = page.withColumn("n", line_key(F.col("text"))).where("n <> ''")
-    out = _flag(lines, p.select("unit", "n"), "n", "__printed")
+    # keys need Python: they are made once
+    lines = written(_lines(shipped).groupBy("unit", "n").agg(F.min(F.struct("section", "type")).alias("o")).select("unit", "n", "o.*"))
+    p = written(page.select("unit", *order, "text", line_key(F.col("text")).alias("n"), line_key(chain.label(F.col("text"))).alias("named")).where("n <> ''"))
+    out = written(_flag(lines, p.select("unit", "n"), "n", "__printed"))
     longest = lines.agg(F.max(F.length("n"))).first()[0] or 1
-    stream = page_stream(page, order, longest)
+    stream = written(_pieces(p, order, longest))
+    # each search is for what the rules before it leave
     open_ = out.where("NOT __printed").select("unit", "n")
-    out = _flag(out, found_in(stream, open_), "n", "__joined")
-    out = _flag(out, found_in(stream.select("unit", line_key(chain.fix(F.col("h"))).alias("h")), open_), "n", "__fixed")
-    out = _flag(out, p.select("unit", line_key(chain.label(F.col("text"))).alias("n")), "n", "__label")
+    joined = written(found_in(stream, open_))
+    open_ = written(open_.subtract(joined))
+    fixed = written(found_in(stream.select("unit", line_key(chain.fix(F.col("h"))).alias("h")), open_))
+    open_ = open_.subtract(fixed)
+    out = _flag(_flag(out, joined, "n", "__joined"), fixed, "n", "__fixed")
+    out = _flag(out, p.select("unit", F.col("named").alias("n")), "n", "__label")
     if rebuilt is None:
         out = out.withColumn("__corrected", F.lit(False))
     else:
