@@ -54,7 +54,7 @@ def found_in(hay: DataFrame, needles: DataFrame) -> DataFrame:
     kinds = wanted.groupBy("u").agg(
         F.bool_or(F.col("k").startswith("b")).alias("__b"), F.bool_or(F.col("k").startswith("w")).alias("__w"), *[F.bool_or(F.col("k").startswith(f"g{z}")).alias(f"__g{z}") for z in (1, 2, 3)]
     )
-    texts = hay.where("h IS NOT NULL").select(unit, "h").distinct().select("u", "h", F.xxhash64("h").alias("t"))
+    texts = hay.where("h IS NOT NULL").select(unit, "h", F.xxhash64("h").alias("t"))
     x, none = words(F.col("h")), F.expr("cast(array() as array<string>)")
     cut = lambda z: F.transform(grams(F.col("h"), z), lambda g: F.concat(F.lit(f"g{z}"), g))
     keys = F.concat(

@@ -87,9 +87,10 @@ def psalter_assembly(spark, d):
     return forms.assemble_psalter(slate._psalter(spark, d), ["psalter"], ["page_no", "seq", "line_id"])
 
 
-@query(f"SELECT section, min(text) AS content FROM {slate._SEG} WHERE kind = 'label' AND text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT text) = 1 AND count(DISTINCT form) > 1")
+@query(f"SELECT shared_key, min(section) AS content FROM {slate._SEG} WHERE kind = 'shared' AND shared_key IS NOT NULL AND section IS NOT NULL GROUP BY 1 HAVING count(DISTINCT section) = 1 AND count(DISTINCT form) > 1")
 def hoisted_blocks(spark, d):
-    return forms.hoist_if_agreed(slate._segments(spark, d).where("kind = 'label' AND text IS NOT NULL"), "section", "form", F.col("text"))
+    """Shared blocks that all forms refer to from the same section."""
+    return forms.hoist_if_agreed(slate._segments(spark, d).where("kind = 'shared' AND shared_key IS NOT NULL AND section IS NOT NULL"), "shared_key", "form", F.col("section"))
 
 
 _CLEAN = slate._STRIPPED.format(r"replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(name, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', chr(39)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&ndash;', '–'), '&mdash;', '—'), '&amp;', '&')").replace('\\"', '"')

@@ -1025,10 +1025,11 @@ def population_counts(spark, d):
 
 
 @query("""
-    SELECT section FROM (SELECT DISTINCT section FROM form_lines_app EXCEPT SELECT section FROM form_lines_print UNION (SELECT DISTINCT section FROM form_lines_print EXCEPT SELECT section FROM form_lines_app))""")
+    (SELECT form, section, type FROM form_lines_app EXCEPT SELECT form, section, type FROM form_lines_print) UNION ALL (SELECT form, section, type FROM form_lines_print EXCEPT SELECT form, section, type FROM form_lines_app)""")
 def section_set_difference(spark, d):
-    a, b = (table(spark, d, f"form_lines_{x}").select("section") for x in ("app", "print"))
-    return a.exceptAll(a.limit(0)).distinct().subtract(b).union(b.distinct().subtract(a))
+    """Kinds of line that a section of a form has in one of the copies only."""
+    a, b = (table(spark, d, f"form_lines_{x}").select("form", "section", "type") for x in ("app", "print"))
+    return a.subtract(b).union(b.subtract(a))
 
 
 # composites

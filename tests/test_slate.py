@@ -14,6 +14,8 @@ from ferial.plans import office
 
 DATA = "/root/testdata/sf0.001"
 NAMES = sorted(entry.queries())
+#: queries that find nothing in the smallest tables
+SPARSE = {"hoisted_blocks"}
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +42,7 @@ def test_query(spark, con, name):
     df = entry.queries()[name](spark, DATA)
     cols = sorted(df.columns)
     got = Counter(tuple(norm(v) for v in r) for r in df.select(*[F.col(f"`{c}`") for c in cols]).collect())
+    assert got or name in SPARSE
     sql = entry.oracle_sql().get(name)
     if sql:
         rel = con.execute(sql)
