@@ -902,8 +902,8 @@ def coherence_rules(spark, d):
     return _rules(spark, d)
 
 
-_EXEMPT = [("segments", 5), ("litany", 3)]
-_OUTLIER_SQL = "(SELECT form, 'segments' AS metric, z, false AS flag FROM ({z}) UNION ALL SELECT form, 'litany', NULL, true FROM ({b}))"
+_EXEMPT = [("litany_segments", 5), ("litany", 3)]
+_OUTLIER_SQL = "(SELECT form, 'litany_segments' AS metric, z, false AS flag FROM ({z}) UNION ALL SELECT form, 'litany', NULL, true FROM ({b}))"
 
 
 @query(f"""
@@ -913,7 +913,7 @@ _OUTLIER_SQL = "(SELECT form, 'segments' AS metric, z, false AS flag FROM ({z})
     SELECT form, CAST(greatest(0, 100 - sum(cost)) AS BIGINT) AS score FROM x GROUP BY 1""")
 def penalty_score(spark, d):
     """Rules, outliers but for the expected ones, and forms whose day did not resolve (here those numbered 13)."""
-    far = peer_zscore(spark, d).select("form", F.lit("segments").alias("metric"), "z", F.lit(False).alias("flag"))
+    far = peer_zscore(spark, d).select("form", F.lit("litany_segments").alias("metric"), "z", F.lit(False).alias("flag"))
     rare = boolean_minority(spark, d).select("form", F.lit("litany").alias("metric"), F.lit(None).cast("double").alias("z"), F.lit(True).alias("flag"))
     outliers = far.unionByName(rare)
     expected = F.lit(False)

@@ -15,7 +15,7 @@ from ferial.plans import office
 DATA = "/root/testdata/sf0.001"
 NAMES = sorted(entry.queries())
 #: queries that find nothing in the smallest tables
-SPARSE = {"hoisted_blocks"}
+SPARSE = {"hoisted_blocks", "retention_window"}
 
 
 @pytest.fixture(scope="module")
