@@ -14,7 +14,7 @@ from ferial.operators.packed import unpacked
 from ferial.operators.rejects import CALENDAR, parse_records
 from ferial.plans import coherence, office
 from ferial.plans import forms as form_rules
-from ferial.runtime import checkpoint, ensure_checkpoint_dir, small, table
+from ferial.runtime import checkpoint, ensure_checkpoint_dir, small, table, written
 from ferial.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -869,13 +869,13 @@ _RULE_SQL = rf"""(
             AND NOT EXISTS (SELECT 1 FROM ({_values(_SANCTIONED)}) q(who, part, said) WHERE starts_with(l.form, who) AND part = l.section AND said = l.line)) WHERE x)"""
 
 
-def _form_facts(spark, d):
+def _form_facts(spark, d, held):
     """What a bound day would appoint, read off the form: season and office by its name, the rest from its sections."""
     first, hour = F.split("form", "_")[0], F.regexp_extract("form", "_(mp|ep|midday)_", 1)
     season = F.when(first.isin("ordinary", "weekday"), "OrdinaryTime").when(first == "all", "AllSaints").otherwise(F.concat(F.upper(F.substring(first, 1, 1)), F.substr(first, F.lit(2))))
     here = lambda name: F.count_if(F.col("section") == name)
     label = (F.col("section") == "canticle") & (F.col("kind") == "label") & F.col("text").isNotNull()
-    facts = _segments(spark, d).where("form <> '_shared'").groupBy("form").agg(
+    facts = held.groupBy("form").agg(
         here("psalmody").alias("psalms"), here("reading").alias("lessons"), (here("doxology") > 0).alias("doxology"), (here("reading_response") > 0).alias("lesson_response"), here("collect").alias("collects"),
         F.min_by("text", F.when(label, F.struct(*_ORDER))).alias("canticle"), F.count_if((F.col("section") == "collect") & (F.col("kind") == "leader")).alias("items"),
     )
@@ -891,7 +891,9 @@ def _by_prefix(facts, rows, schema):
 
 
 def _rules(spark, d):
-    facts, s = checkpoint(_form_facts(spark, d)), _segments(spark, d).where("form <> '_shared'")
+    # repeated rows are dropped once for all rules
+    held = written(_segments(spark, d).where("form <> '_shared'").select("seg_id", "form", "section", "seq", "path", "group_no", "kind", "text"))
+    facts, s = checkpoint(_form_facts(spark, d, held)), held
     fixed = coherence.static_findings(s, facts.select("form", "season", "title"), _by_prefix(facts, _HYMN_LINES, "least int"), _RULE_SECTIONS)
     return fixed.unionByName(coherence.dynamic_findings(s, facts, _by_prefix(facts, _SANCTIONED, "section string, line string"), _RULE_SECTIONS))
 
