@@ -10,7 +10,11 @@ from ferial.functions.dates import week_index, weekday
 from ferial.operators.calendar import as_of, form_key, season_intervals
 from ferial.operators.lookup import verses_in_ranges
 from ferial.operators.packed import unpacked
-from ferial.runtime import checkpoint
+from ferial.runtime import checkpoint, written
+
+#: rows of psalms that a task makes, and bytes of psalm lines that are broadcast; beyond, entries and lines meet by shuffle
+PSALM_ROWS = 1_000_000
+MAX_LINES_BYTES = 64_000_000
 
 
 def _key(df: DataFrame) -> list[str]:
@@ -50,9 +54,22 @@ def psalm_rows(offices: DataFrame, psalm_verses: DataFrame) -> DataFrame:
     """Appointed verses of ``psalm_verses (num, v, text)``; all of a psalm where no verses are named."""
     key = [*_key(offices), "office", "slot"]
     sets = offices.select(*key, F.posexplode(g.psalm_sets(F.col("psalms"))).alias("choice", "tokens"))
-    entries = sets.select(*key, "choice", F.posexplode(g.psalm_entries(F.col("tokens"))).alias("ord", "e")).select(*key, "choice", "ord", "e.*")
+    entries = written(sets.select(*key, "choice", F.posexplode(g.psalm_entries(F.col("tokens"))).alias("ord", "e")).select(*key, "choice", "ord", "e.*").where("num IS NOT NULL"))
+    lines = written(psalm_verses.where("num IS NOT NULL"))
+    # few psalms, each with many entries and many lines: tasks are cut by the rows they make, not by the bytes they read
+    per = lines.groupBy("num").agg(F.count("*").alias("__n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32).alias("__b"))
+    made = per.join(entries.groupBy("num").agg(F.count("*").alias("__m")), "num", "left").select((F.col("__m") * F.col("__n")).alias("__rows"), "__b")
+    total, most, size = made.agg(F.sum("__rows"), F.max("__rows"), F.sum("__b")).first()
+    parts, turn = -(-(total or 0) // PSALM_ROWS) or 1, F.xxhash64(*key, "choice", "ord")
     inside = F.col("first").isNull() | F.col("v").between(F.col("first"), F.col("last"))
-    return entries.join(psalm_verses, "num").where(inside).select(*key, "choice", "ord", "num", "v", "optional", "text")
+    if (size or 0) <= MAX_LINES_BYTES:
+        # neighbouring numbers stay together, so that a file holds the lines of few psalms
+        met = entries.repartitionByRange(parts, F.col("num"), turn).join(F.broadcast(lines), "num")
+    else:
+        k = -(-most // PSALM_ROWS)
+        salted = entries.withColumn("__s", F.pmod(turn, F.lit(k)).cast("int")).repartition(parts, "num", "__s")
+        met = salted.join(lines.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).repartition(parts, "num", "__s"), ["num", "__s"])
+    return met.where(inside).select(*key, "choice", "ord", "num", "v", "optional", "text")
 
 
 def lesson_rows(offices: DataFrame, verses: DataFrame, books: DataFrame) -> DataFrame:
@@ -106,7 +123,7 @@ def assemble(
     label = F.col("group_label") if "group_label" in forms.columns else F.lit(None).cast("string")
     body = bound.join(text, "form").select(part(F.when(F.col("section_ord") < 10, 1).otherwise(5), F.col("kind"), F.col("section_ord") * 10_000 + F.col("seq"), label=label))
     psalms = psalm_rows(offices, psalm_verses).select(part(F.lit(2), F.lit("psalm"), F.col("ord") * 10_000 + F.col("v"), F.col("choice")))
-    found = lesson_rows(offices, verses, books)
+    found = written(lesson_rows(offices, verses, books))  # read for its rows and for what has none
     at = F.col("ord").cast("bigint") * 100_000_000
     lessons = found.select(part(F.lit(3), F.lit("lesson"), at + F.col("part") * 1_000_000 + F.col("ch") * 1_000 + F.col("v")))
     cited = offices.select(*spot, F.posexplode("lessons").alias("ord", "l")).select(*spot, "ord", F.col("l.citation").alias("text"))

@@ -1090,22 +1090,23 @@ def office_assembly(spark, d):
     last = readers.keep_last(cal.select("calendar_id", "cal_date", "src_file", "row_id", "name", "eucharist", "morning", "evening", "extra"), ["calendar_id", "cal_date"], [F.col("src_file"), F.col("row_id")])
     days = office.parse_days(last.withColumnRenamed("cal_date", "date"))
     bounds = small(spark, _BOUNDS, "key string, d string").select("key", F.to_date("d").alias("start"))
-    s = _segments(spark, d)
+    s = written(_segments(spark, d).select("form", "section_ord", "section", "seq", "kind", "text", "group_label", "shared_key"))  # read by every level of shared blocks
     blocks = s.where("form = '_shared'").select(F.col("section").alias("key"), "seq", "kind", "text", "group_label", "shared_key")
     forms = segments.expand_shared(s.where("form <> '_shared'"), blocks)
     # all_saints_mp_0000012 serves allsaints-mp, ordinary_mp_0000007 the seven ordinary-…day-mp
     season, hour = F.replace(F.regexp_extract("form", r"^(.*)_[a-z]+_\d+$", 1), F.lit("_"), F.lit("")), F.regexp_extract("form", r"_([a-z]+)_\d+$", 1)
     names = F.when(season == "ordinary", F.array(*[F.lit(f"ordinary-{x}") for x in ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")])).otherwise(F.array(season))
     editions = s.where("form <> '_shared'").select("form").distinct().select("form", F.explode(names).alias("name")).select("form", F.concat_ws("-", "name", hour).alias("key"))
-    p = _psalter(spark, d).where("psalter = 'psalter_common' AND type <> 'head'").select(F.col("psalm").try_cast("int").alias("num"), F.col("seq").alias("v"), "text")
+    lines = written(_psalter(spark, d))
+    p = lines.where("psalter = 'psalter_common' AND type <> 'head'").select(F.col("psalm").try_cast("int").alias("num"), F.col("seq").alias("v"), "text")
     # no table of scripture: each book the calendar cites is read from a psalter, psalms for chapters
     placed = Window.partitionBy("psalter", "psalm").orderBy("page_no", "seq", "line_id")
-    verses = _psalter(spark, d).where("type = 'verse' AND text IS NOT NULL").select(F.col("psalter").alias("book"), F.col("psalm").try_cast("int").alias("ch"), F.row_number().over(placed).alias("v"), "text").where("ch IS NOT NULL")
+    verses = lines.where("type = 'verse' AND text IS NOT NULL").select(F.col("psalter").alias("book"), F.col("psalm").try_cast("int").alias("ch"), F.row_number().over(placed).alias("v"), "text").where("ch IS NOT NULL")
     in_turn = lambda df, name: df.distinct().withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(name)) - 1)  # noqa: E731  # a row per book
     cited = _offices(spark, d).select(F.explode(F.regexp_extract_all("raw", F.lit(_CITE), F.lit(0))).alias("c")).select(grammar.citation(F.col("c")).getField("book").alias("abbrev")).where("abbrev <> 'Ps'")
     psalters = checkpoint(in_turn(verses.select("book"), "book"))
     books = in_turn(cited, "abbrev").withColumn("i", F.pmod("i", F.lit(max(psalters.count(), 1)))).join(psalters, "i").select("abbrev", "book")
-    collects = _psalter(spark, d).where("type = 'head'").groupBy(F.col("page_no").cast("string").alias("page")).agg(F.min("title").alias("text"))
+    collects = lines.where("type = 'head'").groupBy(F.col("page_no").cast("string").alias("page")).agg(F.min("title").alias("text"))
     return office.assemble(days, bounds, forms, p, verses, books, collects, editions)
 
 

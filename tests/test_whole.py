@@ -110,3 +110,22 @@ def test_every_part_of_the_office_occurs(spark):
     assert set(parts) == {1, 2, 3, 4, 5} and min(parts.values()) > 0
     kinds = {r.kind for r in slate.office_assembly(spark, "/root/testdata/sf0.001").where("part = 3").select("kind").distinct().collect()}
     assert kinds == {"lesson", "citation"}
+
+
+def test_psalm_rows_are_cut_by_the_rows_they_make(spark, monkeypatch):
+    key = "date date, office string, slot string, psalms string"
+    offices = spark.createDataFrame([(date(2030, 1 + i // 28, 1 + i % 28), "mp", "primary", f"Ps 1, 2:2-3 or {3 + i % 2}") for i in range(80)], key)
+    lines = spark.createDataFrame([(n, v, f"p{n} {v} {copy}") for n in (1, 2, 3) for v in (1, 2, 3, 4) for copy in ("a", "b")], "num int, v int, text string")
+    want = sorted((o.date, c, n, v, f"p{n} {v} {copy}") for i, o in enumerate(offices.collect()) for c, n, vs in [(0, 1, (1, 2, 3, 4)), (0, 2, (2, 3)), (1, 3 + i % 2, (1, 2, 3, 4))] if n < 4 for v in vs for copy in ("a", "b"))
+    monkeypatch.setattr(office, "PSALM_ROWS", 100, raising=False)
+    for most in (office.MAX_LINES_BYTES, 0):  # lines broadcast, and met by shuffle
+        monkeypatch.setattr(office, "MAX_LINES_BYTES", most)
+        rows = office.psalm_rows(offices, lines)
+        assert sorted((r.date, r.choice, r.num, r.v, r.text) for r in rows.collect()) == want
+        sizes = [n for n in rows.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
+        assert len(sizes) > 5 and max(sizes) <= 500
+
+
+def test_office_assembly_reads_its_tables_once(spark):
+    read = " ".join(slate.office_assembly(spark, "/root/testdata/sf0.001").inputFiles())
+    assert "segments.parquet" not in read and "psalter_lines.parquet" not in read
